@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from array import array
 from collections.abc import Iterator
@@ -22,6 +23,7 @@ WORDS = 500_000
 MARKS = ".,;:!?%*$#&|"
 
 
+@functools.cache  # a Python worker serves many tasks; what it knows of the words lasts
 def _tokeniser(path: str):
     """text -> ids as little-endian uint32 bytes.
 
@@ -111,10 +113,10 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 def pack(parts: DataFrame, *, keep: list[str], length_col: str = "length", order: list[str] | None = None, capacity: int = 2048, rows: int | None = None, group: int = GROUP) -> DataFrame:
     """Give every piece a sequence and a place in it: `keep` columns, length_col, sequence_id long, offset long.
 
-    Pieces of length `capacity` are sequences by themselves and take part in no packing.  The others are dealt evenly,
-    by a hash of the `order` columns (those of `keep` if not given), to ceil(rows / group) groups; each group is
-    packed for itself, longest first, equal lengths by the order columns, so a lost task repeats its result.  No group
-    holds more than about `group` pieces, however many there are.  `rows` is the number of pieces, counted if not given.
+    Pieces are dealt evenly, by a hash of the `order` columns (those of `keep` if not given), to ceil(rows / group)
+    groups; each group is packed for itself, longest first, equal lengths by the order columns, so a lost task repeats
+    its result.  A group holds about `group` pieces, however many there are; pieces of length `capacity` are sequences
+    by themselves.  `rows` is the number of pieces, or near it, counted if not given.
     Lengths below 1 or above capacity, and null ones, are errors; no rows give no rows.
     """
     order = order or keep
@@ -127,11 +129,11 @@ def pack(parts: DataFrame, *, keep: list[str], length_col: str = "length", order
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([length_col, *order], ascending=[False] + [True] * len(order), kind="stable", ignore_index=True)
-        pdf[b], pdf[o] = sum_of_squares(pdf[length_col].to_numpy(), capacity)
+        lengths = pdf[length_col].to_numpy()
+        full = int((lengths == capacity).sum())
+        where, offset = sum_of_squares(lengths[full:], capacity)
+        pdf[b], pdf[o] = np.append(np.arange(full), where + full), np.append(np.zeros(full, dtype=np.int64), offset)
         return pdf
 
-    packed = dealt.where(F.col(length_col) < capacity).groupBy(g).applyInPandas(place, schema)
-    full = checked.where(F.col(length_col) == capacity)
-    return packed.select(*keep, length_col, (F.col(b) * F.lit(groups) + F.col(g)).alias("sequence_id"), F.col(o).alias("offset")).unionByName(
-        full.select(*keep, length_col, (F.lit(-1).cast("long") - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    )
+    packed = dealt.groupBy(g).applyInPandas(place, schema)
+    return packed.select(*keep, length_col, (F.col(b) * F.lit(groups) + F.col(g)).alias("sequence_id"), F.col(o).alias("offset"))
