@@ -31,10 +31,14 @@ class _Hashes(dict):
         return h
 
 
-def word_hashes(text: str | None, known: _Hashes) -> np.ndarray:
+#: Kept between the tasks of a worker.
+_KNOWN = _Hashes()
+
+
+def word_hashes(text: str | None) -> np.ndarray:
     """One 64-bit hash for each word `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z lower-cased."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().translate(_SPACES).split()
-    return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+    return np.fromiter(map(_KNOWN.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def kgrams(words: np.ndarray, k: int) -> np.ndarray:
@@ -69,9 +73,8 @@ class _Block:
     """The benchmark items of one block: their words' hashes end to end, and their winnowed fingerprints, sorted."""
 
     def __init__(self, items: list[tuple[object, str | None]], span: int, k: int):
-        known = _Hashes()
         self.span, self.k, self.window = span, k, span - k + 1
-        hashed = [(i, h) for i, t in items if len(h := word_hashes(t, known))]
+        hashed = [(i, h) for i, t in items if len(h := word_hashes(t))]
         self.ids = [i for i, _ in hashed]
         self.words = np.concatenate([h for _, h in hashed] or [np.empty(0, np.uint64)])
         self.start = np.cumsum([0] + [len(h) for _, h in hashed])
@@ -153,12 +156,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
         schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in passed) + f", `{new[0]}` long, `{new[1]}` long, `{new[2]}` binary, `{new[3]}` array<{item_type}>"
 
         def mark(batches: Iterator[pa.RecordBatch], shared=shared, passed=passed, number=number) -> Iterator[pa.RecordBatch]:
-            block, known = _Block(shared.value, span, k), _Hashes()
+            block = _Block(shared.value, span, k)
             for batch in batches:
                 made = [[], [], [], []]
                 before = zip(*(batch.column(c).to_pylist() for c in new[2:])) if number else ((None, ()) for _ in range(batch.num_rows))
                 for text, (old, items) in zip(batch.column(text_col), before):
-                    words = word_hashes(text.as_py(), known)
+                    words = word_hashes(text.as_py())
                     hit, found = block.hits(words)
                     if old:
                         hit |= np.unpackbits(np.frombuffer(old, np.uint8), bitorder="little")[: len(words)].astype(bool)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, packing, simhash
+from . import decontaminate, line_dedup, packing, simhash, site_style, toxicity
 from ._common import table
 
 
@@ -15,6 +15,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = site_style.main_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return out.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
@@ -34,5 +39,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(parts, keep=["doc_id", "piece", "start", "ids_crc32"], order=["doc_id", "piece"], rows=docs.count())
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash, op7_decontaminate, op8_line_dedup, op9_packing)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~toxicity.held_out()))
+    out = toxicity.score(docs, model, keep=["doc_id"])
+    return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op4_simhash, op6_main_text, op7_decontaminate, op8_line_dedup, op9_packing, op10_toxicity)}
 ORACLE: dict[str, str] = {}
