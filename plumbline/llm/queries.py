@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, packing, simhash, site_style, toxicity
+from . import decontaminate, fingerprints, line_dedup, packing, simhash, site_style, toxicity
 from ._common import table
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.simhash_components(table(spark, sf_dir, "documents"), words=3, radius=2)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -46,5 +50,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash, op6_main_text, op7_decontaminate, op8_line_dedup, op9_packing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op4_simhash, op6_main_text, op7_decontaminate, op8_line_dedup, op9_packing, op10_toxicity)}
 ORACLE: dict[str, str] = {}
