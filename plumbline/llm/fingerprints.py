@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,9 +10,11 @@ from pyspark.sql.window import Window
 from ._common import fresh, partitions
 
 #: Slots of a signature are computed in rows of WIDTH, which keeps generated code small enough to be compiled well.
-SLOTS, WIDTH = 64, 8
+SLOTS, WIDTH = 48, 16
 #: Hex digits that a slot's sample takes in a fingerprint.
 DIGITS = 6
+#: A sample is missed once in e^SURE; a text's slot without any is zero, so equal texts still agree.
+SURE = 30.0
 
 
 def _words(text: Column) -> Column:
@@ -19,7 +22,8 @@ def _words(text: Column) -> Column:
 
 
 def terms(df: DataFrame, text_col: str, out: str) -> DataFrame:
-    """df with `out`, array<struct<h long, lw double>>: each distinct word's hash and the log of its count.
+    """df with `out`, array<struct<h long, lw double, share double>>: each distinct word's hash, the
+    log of its count, and SURE times its share of all words.
 
     Words are what white space parts, lower-cased; counts come from runs in the sorted hashes.  Null and blank texts
     have none.
@@ -29,29 +33,39 @@ def terms(df: DataFrame, text_col: str, out: str) -> DataFrame:
     n = F.size(s)
     index = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     df = df.withColumn(at, F.filter(index, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1))))
-    weigh = F.transform(at, lambda i, j: F.struct(F.get(s, i).alias("h"), F.log((F.coalesce(F.get(at, j + 1), n) - i).cast("double")).alias("lw")))
+    count = lambda i, j: (F.coalesce(F.get(at, j + 1), n) - i).cast("double")
+    weigh = F.transform(at, lambda i, j: F.struct(F.get(s, i).alias("h"), F.log(count(i, j)).alias("lw"), (SURE * count(i, j) / n).alias("share")))
     return df.withColumn(out, weigh).drop(s, at)
 
 
-def _sample(h: Column, group: Column, slot: int, log_weight: Column) -> Column:
+def _seed(i: int) -> int:
+    """The i-th of a fixed row of random longs."""
+    return xxhash.xxh64_intdigest(i.to_bytes(8, "little"), 42) - (1 << 63)
+
+
+def _sample(h: Column, slot: int, log_weight: Column, share: Column) -> Column:
     """One slot's sample of a weighted term: its rank above 24 bits that identify it; the least rank wins.
 
     With r and c from Gamma(2, 1) and b uniform, all fixed by term and slot: t = floor(ln(w) / r + b), and
     ln(a) = ln(c) - r (t - b + 1).  Two weights of a term share (term, t) consistently, and the term with the least a is the
     same in two documents with their generalised Jaccard similarity as probability.
+
+    The least a of a text is exponential with the total weight W as rate, so it exceeds SURE / W once in e^SURE slots.
+    Terms that are sure to have a larger a need no logarithms: a w = c q^x for q = exp(-r) and some x in 0 to 1, with
+    x = 1 - b if w is 1; and c = -ln(p) >= 1 - p, q^x >= q / (x + (1 - x) q), the latter least for x = 1.
     """
-    u, v = F.xxhash64(h, group, F.lit(2 * slot)), F.xxhash64(h, group, F.lit(2 * slot + 1))
+    u, v = F.xxhash64(h.bitwiseXOR(F.lit(_seed(2 * slot)))), F.xxhash64(h.bitwiseXOR(F.lit(_seed(2 * slot + 1))))
 
     def uniform(x: Column, low: int, bits: int) -> Column:
-        return (F.shiftrightunsigned(x, low).bitwiseAND(F.lit((1 << bits) - 1)).cast("double") + 0.5) / float(1 << bits)
+        return (F.shiftrightunsigned(x, low).bitwiseAND(F.lit((1 << bits) - 1)).cast("double") + 0.5) * 2.0**-bits
 
-    r = -F.log(uniform(u, 0, 21) * uniform(u, 21, 21))
-    c = -F.log(uniform(v, 0, 32) * uniform(v, 32, 32))
-    b = uniform(u, 42, 22)
+    q, p, b = uniform(u, 0, 21) * uniform(u, 21, 21), uniform(v, 0, 32) * uniform(v, 32, 32), uniform(u, 42, 22)
+    r = -F.log(q)
     t = F.floor(log_weight / r + b)
-    rank = F.log(c) - r * (t.cast("double") - b + 1.0)  # within -70 and 5
+    rank = F.log(-F.log(p)) - r * (t.cast("double") - b + 1.0)  # within -70 and 5
     name = u.bitwiseXOR(t * F.lit(0x9E3779B1)).bitwiseAND(F.lit(0xFFFFFF))
-    return F.shiftleft(((rank + 100.0) * float(1 << 31)).cast("long"), 24).bitwiseOR(name)
+    less = F.when(log_weight == 0.0, b).otherwise(0.0)  # 1 - x
+    return F.when((1.0 - p) * q <= share * (1.0 - less + less * q), F.shiftleft(((rank + 100.0) * float(1 << 31)).cast("long"), 24).bitwiseOR(name))
 
 
 def signatures(df: DataFrame, keys: list[str], terms_col: str, out: str) -> DataFrame:
@@ -61,9 +75,11 @@ def signatures(df: DataFrame, keys: list[str], terms_col: str, out: str) -> Data
     its task; a frame that is partitioned by some of the keys is not shuffled at all.
     """
     groups, slots = SLOTS // WIDTH, [f"__m{j}" for j in range(WIDTH)]
-    rows = df.select(*keys, F.explode_outer(terms_col).alias("__t")).select(*keys, F.col("__t.h").alias("__h"), F.col("__t.lw").alias("__lw"))
-    rows = rows.select(*keys, "__h", "__lw", F.explode(F.array(*map(F.lit, range(groups)))).alias("__g"))
-    least = rows.groupBy(*keys, "__g").agg(*[F.min(_sample(F.col("__h"), F.col("__g"), j, F.col("__lw"))).alias(m) for j, m in enumerate(slots)])
+    rows = df.select(*keys, F.explode_outer(terms_col).alias("__t")).select(*keys, F.col("__t.h").alias("__h"), F.col("__t.lw").alias("__lw"), F.col("__t.share").alias("__share"))
+    salts = F.array(*[F.struct(F.lit(g).alias("g"), F.lit(_seed(1000 + g)).alias("x")) for g in range(groups)])
+    rows = rows.select(*keys, "__h", "__lw", "__share", F.explode(salts).alias("__s"))
+    rows = rows.select(*keys, "__lw", "__share", F.col("__s.g").alias("__g"), F.col("__h").bitwiseXOR(F.col("__s.x")).alias("__h"))
+    least = rows.groupBy(*keys, "__g").agg(*[F.min(_sample(F.col("__h"), j, F.col("__lw"), F.col("__share"))).alias(m) for j, m in enumerate(slots)])
     digits = F.concat(*[F.lpad(F.lower(F.hex(F.coalesce(F.col(m).bitwiseAND(F.lit(0xFFFFFF)), F.lit(0)))), DIGITS, "0") for m in slots])
     parts = F.array_sort(F.collect_list(F.struct("__g", digits.alias("s"))))
     return least.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda p: p["s"]), "").alias(out))
