@@ -6,14 +6,39 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, line_dedup, packing, simhash, site_style, toxicity
+from . import chat, decontaminate, fingerprints, licences, line_dedup, packing, quality, simhash, site_style, toxicity
 from ._common import table
+from .oracle import ORACLE  # noqa: F401
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2k and 2k + 1 as chosen and rejected answers; a missing one is empty."""
+    turns = table(spark, sf_dir, "conversations")
+    ids = turns.select((F.floor(F.col("conv_id") / 2) * 2).alias("chosen_id")).distinct()
+    out = chat.preference(ids.withColumn("rejected_id", F.col("chosen_id") + 1), turns)
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return out.select("chosen_id", "rejected_id", "n_common", "prompt", "chosen", "rejected", text("chosen_spans").alias("chosen_spans"), text("rejected_spans").alias("rejected_spans"))
+
+
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licences.scan(docs).groupBy("doc_id").agg(F.count("*").alias("n_matches"), F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("licences"), F.round(F.max("dice"), 9).alias("best_dice"))
+    return docs.select("doc_id").distinct().join(found, "doc_id", "left").select("doc_id", F.coalesce("n_matches", F.lit(0).cast("long")).alias("n_matches"), F.coalesce("licences", F.lit("")).alias("licences"), F.coalesce("best_dice", F.lit(0.0)).alias("best_dice"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host: the document's source; path: its language there."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality.evidence(docs.select("doc_id", "text", "source", "lang"), model, keep=["doc_id", "source", "lang"])
+    out = quality.posteriors(scored, host_col="source", path_col="lang", base=model.base if model else 0.5)
+    return out.select("doc_id", "evidence", "site_mean", F.col("posterior").alias("score"), (F.col("posterior") >= 0.5).alias("keep"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.simhash_components(table(spark, sf_dir, "documents"), words=3, radius=2)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -50,5 +75,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op4_simhash, op6_main_text, op7_decontaminate, op8_line_dedup, op9_packing, op10_toxicity)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_chat, op3_licences, op4_simhash, op5_quality, op6_main_text, op7_decontaminate, op8_line_dedup, op9_packing, op10_toxicity)}

@@ -1,0 +1,153 @@
+"""Operators 2, 3 and 5."""
+
+import random
+import re
+
+import numpy as np
+import pytest
+
+from plumbline.llm import chat, licences, quality
+from plumbline.llm import queries as q
+
+SF2 = "/root/testdata/sf0.01"
+
+
+# ---- 2: preference formatting
+
+
+def slow_preference(a, b, role="assistant"):
+    shown = lambda t: f"<|{t[0]}|>\n{t[1]}\n<|end|>\n"
+    n = 0
+    while n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+
+    def side(turns):
+        out, spans = "", []
+        for t in turns[n:]:
+            if t[0] == role:
+                spans.append((len(out) + len(f"<|{t[0]}|>\n"), len(out) + len(shown(t))))
+            out += shown(t)
+        return out, spans
+
+    return (n, "".join(map(shown, a[:n])), *side(a), *side(b))
+
+
+def test_preference_equals_brute_force(spark):
+    rng = random.Random(4)
+    convs = {i: [(rng.choice(["user", "assistant", "é"]), rng.choice(["", "a", "bé𝄞", "c\n"])) for _ in range(rng.randrange(0, 7))] for i in range(80)}
+    for i in range(0, 80, 2):
+        convs[i + 1] = convs[i][: rng.randrange(0, 8)] + convs[i + 1]
+    rows = [(i, n, *t) for i, c in convs.items() for n, t in enumerate(c)]
+    rng.shuffle(rows)
+    turns = spark.createDataFrame(rows + rows[:5] + [(None, 1, "user", "x"), (3, None, "user", "x")], "conv_id long, turn long, role string, text string")
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(0, 80, 2)] + [(0, 0), (999, 1), (None, 2)], "chosen_id long, rejected_id long").selectExpr("*", "1 AS extra")
+    got = chat.preference(pairs, turns).collect()
+    assert len(got) == 43
+    for r in got:
+        want = slow_preference(convs.get(r["chosen_id"], []), convs.get(r["rejected_id"], []))
+        spans = lambda s: [(x["start"], x["end"]) for x in s]
+        assert (r["n_common"], r["prompt"], r["chosen"], spans(r["chosen_spans"]), r["rejected"], spans(r["rejected_spans"])) == want
+        for s, text in ((r["chosen_spans"], r["chosen"]), (r["rejected_spans"], r["rejected"])):
+            assert all(text[x["start"] : x["end"]].endswith("<|end|>\n") for x in s)
+
+
+def test_preference_nulls_and_empty(spark):
+    turns = spark.createDataFrame([(0, 0, None, None), (1, 0, "", ""), (1, 1, "assistant", None)], "conv_id long, turn long, role string, text string")
+    pairs = spark.createDataFrame([(0, 1)], "chosen_id long, rejected_id long")
+    r = chat.preference(pairs, turns).first()
+    assert (r["n_common"], r["chosen"], r["rejected"]) == (1, "", "<|assistant|>\n\n<|end|>\n")
+    assert chat.preference(pairs.limit(0), turns).count() == 0
+    assert chat.preference(pairs, turns.limit(0)).first()["prompt"] == ""
+
+
+def test_chat_query_covers_all_conversations(spark):
+    out = q.op2_chat(spark, SF2).collect()
+    ids = {r["conv_id"] for r in spark.read.parquet(f"{SF2}/conversations.parquet").collect()}
+    assert ids <= {i for r in out for i in (r["chosen_id"], r["rejected_id"])}
+
+
+# ---- 3: licences
+
+
+def slow_scan(docs, templates, least=0.8):
+    def grams(t):
+        w = [x for x in re.split(r"[^\w]+|_+", (t or "").lower().replace("licence", "license")) if x]
+        return {f"{a} {b}" for a, b in zip(w, w[1:])} or set(w)
+
+    t, out = [(name, grams(x)) for name, x in templates], set()
+    for d, text in docs:
+        lines = (text or "").split("\n")
+        for n, x in [*enumerate(lines), *([(-1, text)] if len(lines) > 1 else [])]:
+            g = grams(x)
+            found = [(-2 * len(g & b) / (len(g) + len(b)), name) for name, b in t if g and 2 * len(g & b) / (len(g) + len(b)) >= least]
+            if found:
+                best = min(found)
+                out.add((d, n, best[1], round(-best[0], 9)))
+    return out
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 10**6])
+def test_scan_equals_brute_force(spark, broadcast_rows):
+    rng = random.Random(7)
+    texts = [t for _, t in licences.TEMPLATES]
+    docs = [(1, None), (2, ""), (3, "..."), (4, "x " * 5000), (5, "Copyright"), (6, "\n".join(texts))]
+    for i in range(60):
+        words = rng.choice(texts).split()
+        for _ in range(rng.randrange(0, 4)):
+            words[rng.randrange(len(words))] = rng.choice(["the", "Licence", "foo"])
+        docs.append((10 + i, rng.choice(["", "First line\n"]) + rng.choice([" ", "\t* "]).join(words).upper() + rng.choice(["", "\nmore, after it"])))
+    df = spark.createDataFrame(docs + docs[-1:], "doc_id long, text string").selectExpr("*", "1 AS line")
+    got = {(r["doc_id"], r["line"], r["licence"], round(r["dice"], 9)) for r in licences.scan(df, broadcast_rows=broadcast_rows).collect()}
+    assert got == slow_scan(docs, licences.TEMPLATES) and len(got) > 40
+
+
+def test_scan_empty(spark):
+    docs = spark.createDataFrame([(1, "Released under the MIT License.")], "doc_id long, text string")
+    assert licences.scan(docs.limit(0)).count() == 0
+    assert licences.scan(docs, spark.createDataFrame([], "licence string, template string")).count() == 0
+
+
+# ---- 5: quality
+
+
+def test_quality_query_separates_labels(spark):
+    out = {r["doc_id"]: r["keep"] for r in q.op5_quality(spark, SF2).collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF2}/labels.parquet").collect()}
+    assert len(out) == spark.read.parquet(f"{SF2}/documents.parquet").count()
+    assert np.mean([out[d] == bool(v) for d, v in labels.items()]) > 0.97
+
+
+def test_classifier_on_held_out_rows():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(1200, 3))
+    y = ((np.abs(x[:, 0]) < 1) & (x[:, 1] > -1)).astype(float)
+    model = quality.fit(x[:800], y[:800])
+    assert ((model.logit(x[800:]) > 0) == (y[800:] == 1)).mean() > 0.9
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 1000])
+def test_posteriors_shrink_by_level(spark, broadcast_rows):
+    rows, truth = [], {}
+    rng = random.Random(0)
+    for h in range(12):
+        host = rng.choice([0.15, 0.85])
+        for p in range(4):
+            for i in range(1 if p == 3 else 40):
+                good = rng.random() < host
+                rows.append((len(rows), f"h{h}", None if p == 1 else f"p{p}", (3.0 if good else -3.0) + rng.gauss(0, 0.5)))
+                truth[len(rows) - 1] = host
+    df = spark.createDataFrame(rows, "id long, host string, path string, evidence double").selectExpr("*", "0 AS posterior")
+    out = quality.posteriors(df, host_col="host", path_col="path", base=0.5, broadcast_rows=broadcast_rows).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        assert abs(r["site_mean"] - truth[r["id"]]) < 0.35
+        assert (r["posterior_"] > 0.5) == (r["evidence"] + np.log(r["site_mean"] / (1 - r["site_mean"])) > 0)
+    assert quality.posteriors(df.limit(0), host_col="host", path_col="path", base=0.5).count() == 0
+
+
+def test_quality_without_labels_and_odd_texts(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "a " * 9000), (3, "x")], "doc_id long, text string").selectExpr("*", "'s' AS evidence")
+    assert quality.train(docs, spark.createDataFrame([(1, 1), (2, None)], "doc_id long, quality int")) is None
+    assert [r["evidence_"] for r in quality.evidence(docs, None).collect()] == [0.0] * 4
+    model = quality.train(docs, spark.createDataFrame([(1, 0), (3, 1)], "doc_id long, quality int"))
+    assert quality.evidence(docs, model).count() == 4
