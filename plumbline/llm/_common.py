@@ -12,15 +12,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir of the session.
+
+    Only where it is unset (tests on one machine) a local folder is taken.
+    """
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if folder is None:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-ck-"))
+        folder = sc.getCheckpointDir()
+    return folder
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in spark.checkpoint.dir.
+    """Cut lineage with a reliable checkpoint in the shared folder.
 
-    The setting is read from the session; only where it is unset (tests on one machine) a local folder is
-    taken.  A checkpoint is replicated storage, so a lost executor costs nothing but the task it ran.
+    A checkpoint is in shared storage, so a lost executor costs nothing but the task it ran.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="plumbline-ck-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,10 +18,17 @@ BITS = 64
 STRIDE = 1 << 16
 
 
-def _fingerprint(text: str | None, words: int) -> int:
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: lower-cases A-Z, parts at ASCII white space
+def _tokens(text: str | None) -> list[bytes]:
+    """Words between ASCII white space, A-Z lower-cased."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def _fingerprint(text: str | None, words: int, distinct: bool = False) -> int:
+    tokens = _tokens(text)
     if not tokens:
         return 0
+    if distinct:
+        tokens = list(set(tokens))
     n = max(1, len(tokens) - words + 1)
     counts = np.zeros(BITS, dtype=np.int64)
     digest = xxhash.xxh64_intdigest
@@ -32,19 +40,21 @@ def _fingerprint(text: str | None, words: int) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def simhash(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(id_col, fp long): bit i is set if it is set in over half of the XXH64 hashes (seed 42) of the word shingles.
+def simhash(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distinct_words: bool = False) -> DataFrame:
+    """(id_col, fp long, digest binary): bit i is set if it is set in over half of the XXH64 hashes (seed 42) of the shingles.
 
-    A text of fewer words is one shingle; null, empty and blank texts have fingerprint zero.  Repeated rows stay.
+    Shingles of `words` words count with repeats; with distinct_words the features are the text's distinct words.  A text
+    of fewer words is one shingle; null, empty and blank texts have fingerprint zero.  digest is 128 bits of the lower-cased
+    words, so it tells texts apart that differ in more than case and white space.  Repeated rows stay.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            fps = np.array([_fingerprint(t, words) for t in batch["t"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"k": batch["k"], "fp": fps})
+            fps = np.array([_fingerprint(t, 1 if distinct_words else words, distinct_words) for t in batch["t"]], dtype=np.uint64).view(np.int64)
+            yield pd.DataFrame({"k": batch["k"], "fp": fps, "digest": [xxhash.xxh3_128_digest(b" ".join(_tokens(t))) for t in batch["t"]]})
 
-    return docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).mapInPandas(run, f"k {kind}, fp long").withColumnRenamed("k", id_col)
+    return docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).mapInPandas(run, f"k {kind}, fp long, digest binary").withColumnRenamed("k", id_col)
 
 
 def bit_groups(fps: DataFrame, parts: int) -> list[list[int]]:
@@ -214,10 +224,104 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     are never paired.  Blank documents share fingerprint zero and are linked like any other; ids must not be null;
     repeated rows stay; an empty table gives no rows.
     """
-    fps = materialise(simhash(docs, id_col=id_col, text_col=text_col, words=words))
+    fps = materialise(simhash(docs, id_col=id_col, text_col=text_col, words=words).drop("digest"))
     nodes = materialise(fps.groupBy("fp").agg(F.min(id_col).alias("first")))
     joined = components(links(nodes.select("fp"), radius=radius, parts=parts))
     least = nodes.join(joined, F.col("fp") == F.col("node")).groupBy("component").agg(F.min("first").alias("component_id"))
     named = joined.join(least, "component").select(F.col("node").alias("fp"), "component_id")
     whole = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     return fps.join(whole, "fp").select(id_col, "fp", "component_id")
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """The pairs (a, b) whose texts' sets of word shingles have a Jaccard similarity of `least` or more."""
+
+    def shingles(text: str | None) -> set[int]:
+        t = _tokens(text)
+        return {hash(s) for s in zip(*(t[i:] for i in range(words)))} if len(t) > words else {hash(tuple(t))}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, set()
+        for batch in batches:
+            a, b, keep = batch.column("a").to_pylist(), batch.column("b").to_pylist(), []
+            for i, (x, y) in enumerate(zip(batch.column("__tb"), batch.column("__ta"))):
+                if b[i] != last:
+                    last, own = b[i], shingles(x.as_py())
+                other = shingles(y.as_py())
+                both = len(own & other)
+                if both >= least * (len(own) + len(other) - both):
+                    keep.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
+
+    left, right = (texts.select(F.col("__id").alias(k), F.col("__t").alias("__t" + k)) for k in "ab")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
+
+
+def _texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, broadcast_ids: int) -> DataFrame:
+    """Checkpointed (__id, __t) of the given ids (distinct, materialised); the ids are broadcast up to that many of them."""
+    ids = ids.select(F.col("id").alias("__id"))
+    ids = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
+    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__t")).join(ids, "__id", "left_semi")
+    return materialise(rows.dropDuplicates(["__id"]))
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, radius: int = 8, parts: int = 3, rounds: int = 6, broadcast_ids: int = 1_000_000) -> DataFrame:
+    """(id_col long) of the documents that go, so that no two of those that stay are near copies.
+
+    Two texts are near copies if the SimHash fingerprints of their distinct words differ in at most `radius` bits and their
+    sets of `words`-word shingles have a Jaccard similarity of `least` or more.  Fingerprints only find candidates; every
+    document that goes has been compared, whole text by whole text, with one that stayed at that point.
+
+    1. Equal texts (but for case and white space): the smallest id stays.
+    2. Crowds of near copies: fingerprints within 2 bits are linked by `links`, which writes no pairs within a crowd; the
+       smallest id of each linked class is compared with the rest, then the smallest of those left, `rounds` times.
+    3. All that are left: each bit group is allotted the threshold (radius - parts + 1) / parts; fingerprints are listed
+       under every value within half of it, two that share a value are verified in the join itself, by the whole
+       fingerprint, then by their texts; of linked ones the smallest id stays.
+    Null and blank texts are equal texts; ids must be distinct and not null; no rows give no rows.
+    """
+    if (radius - parts + 1) % (2 * parts):
+        raise ValueError("radius - parts + 1 must be divisible by twice the parts")
+    hashed = materialise(simhash(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")), id_col="id", text_col="t", distinct_words=True))
+    nodes = materialise(hashed.groupBy("fp", "digest").agg(F.min("id").alias("id")).drop("digest"))
+    copies = hashed.select("id").join(nodes.select("id"), "id", "left_anti")
+
+    fps = materialise(nodes.select("fp").distinct())
+    near = components(links(fps, radius=2, parts=parts)).select(F.col("node").alias("fp"), "component")
+    classed = nodes.join(near, "fp", "left").select("id", F.coalesce("component", "fp").alias("c"))
+    crowd = classed.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").select("c")
+    active = materialise(classed.join(crowd, "c", "left_semi"))
+    texts = _texts_of(docs, active, id_col, text_col, broadcast_ids)
+    gone = None
+    for _ in range(rounds):
+        first = active.groupBy("c").agg(F.min("id").alias("b"), F.count("*").alias("n"))
+        pairs = active.join(first.where("n > 1"), "c").where("id <> b").select(F.col("id").alias("a"), "b")
+        found = materialise(_similar(pairs, texts, words, least).select(F.col("a").alias("id")))
+        gone = found if gone is None else gone.unionByName(found)
+        rest = active.join(first.select("c", F.col("b").alias("id")), ["c", "id"], "left_anti").join(found, "id", "left_anti")
+        active = materialise(rest.select("id", "c"))
+        if active.isEmpty():
+            break
+
+    left = materialise(nodes.join(gone, "id", "left_anti"))
+    groups = bit_groups(left.select("fp"), parts)
+    half = (radius - parts + 1) // parts // 2
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        masks = [_flips(len(g), half) for g in groups]
+        for batch in batches:
+            fp = batch["fp"].to_numpy()
+            for i, (g, m) in enumerate(zip(groups, masks)):
+                values = (_gather(fp.view(np.uint64), g)[:, None] ^ m[None, :]).ravel()
+                yield pd.DataFrame({"id": np.repeat(batch["id"].to_numpy(), len(m)), "fp": np.repeat(fp, len(m)), "part": np.int32(i), "value": values})
+
+    keys = left.select("id", "fp").mapInPandas(listed, "id long, fp long, part int, value long")
+    shared = keys.groupBy("part", "value").agg(F.count("*").alias("n")).where("n > 1").select("part", "value")
+    keys = materialise(keys.join(shared, ["part", "value"], "left_semi"))
+    other = keys.select(F.col("id").alias("b"), F.col("fp").alias("fb"), F.col("part").alias("p2"), F.col("value").alias("v2"))
+    close = (F.col("part") == F.col("p2")) & (F.col("value") == F.col("v2")) & (F.col("id") > F.col("b")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fb"))) <= radius)
+    pairs = materialise(keys.join(other, close).select(F.col("id").alias("a"), "b").distinct())
+    ends = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    linked = components(_similar(pairs, _texts_of(docs, ends, id_col, text_col, broadcast_ids), words, least))
+    last = linked.where("node <> component").select(F.col("node").alias("id"))
+    return copies.unionByName(gone).unionByName(last).select(F.col("id").alias(id_col))
