@@ -1,7 +1,427 @@
-"""The registered queries of the document-contract operators, and their SQL."""
+"""The registered queries of the document-contract operators over the tables, and the same in SQL.
+
+Each entry is a thin use of an operator: the relation that it needs is cut from a table, whole.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import boxes, numbers, texts
+from .functions.hashing import content_sha256
+from .operators import keys, matching, ranges
+from .operators import rasters as rs
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-FLAGSHIP = ""
+FLAGSHIP = "unique_key_violations"
+
+
+def query(sql: str | None = None):
+    def put(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- keys, references, sets
+
+
+@query("SELECT l_orderkey, CAST(l_linenumber AS INTEGER) AS l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def unique_key_violations(spark, d):
+    return keys.duplicate_keys(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber")
+
+
+@query("SELECT l_orderkey, count(*) AS n FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey AND o.o_orderstatus = 'F') GROUP BY 1")
+def missing_references(spark, d):
+    parent = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return keys.missing_references(table(spark, d, "lineitem"), parent, "l_orderkey").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'left' ELSE 'right' END AS side
+FROM (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderkey % 9 = 0) a FULL JOIN (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_acctbal > 2000) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL""")
+def set_equality(spark, d):
+    left = table(spark, d, "orders").where("o_orderkey % 9 = 0").select(F.col("o_custkey").alias("k"))
+    return keys.set_difference(left, table(spark, d, "customer").where("c_acctbal > 2000").select(F.col("c_custkey").alias("k")), "k")
+
+
+@query("""SELECT k, CAST(sum(n) AS BIGINT) AS surplus FROM (SELECT o_custkey AS k, 1 AS n FROM orders UNION ALL SELECT c_custkey, -1 FROM customer) x GROUP BY k HAVING sum(n) <> 0""")
+def multiset_difference(spark, d):
+    return keys.multiset_difference(table(spark, d, "orders").select(F.col("o_custkey").alias("k")), table(spark, d, "customer").select(F.col("c_custkey").alias("k")), ["k"])
+
+
+@query("SELECT c_custkey AS k, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n FROM customer WHERE (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) <> 1")
+def exactly_one_match(spark, d):
+    return keys.exactly_one(table(spark, d, "customer").select(F.col("c_custkey").alias("k")), table(spark, d, "orders").select(F.col("o_custkey").alias("k")), "k")
+
+
+@query("SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1")
+def last_wins(spark, d):
+    return keys.last_wins(table(spark, d, "events"), "user_id", "event_id", "event_type", "value")
+
+
+@query("SELECT event_type, min(event_id) AS first_at FROM events GROUP BY 1")
+def first_seen_codes(spark, d):
+    return keys.first_seen(table(spark, d, "events"), "event_type", "event_id")
+
+
+@query("SELECT p_partkey, p_brand, (SELECT max(CAST(regexp_extract(s_name, '(\\d+)$', 1) AS BIGINT)) FROM supplier) + row_number() OVER (ORDER BY p_partkey) AS number FROM part")
+def next_id(spark, d):
+    new = table(spark, d, "part").select("p_partkey", "p_brand")
+    return keys.next_numbers(table(spark, d, "supplier"), new, number="s_name", order=["p_partkey"])
+
+
+@query("""SELECT p_partkey, p_name, CASE WHEN k = 1 THEN p_name ELSE p_name || '-' || k END AS unique_name
+FROM (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS k FROM part) x""")
+def name_dedup(spark, d):
+    return keys.unique_names(table(spark, d, "part").select("p_partkey", "p_name"), "p_name", ["p_partkey"])
+
+
+@query("""SELECT o_custkey, count(*) AS n_rows, count(DISTINCT o_orderstatus) AS n_o_orderstatus, count(DISTINCT o_orderpriority) AS n_o_orderpriority, count(DISTINCT o_orderkey) AS n_keys,
+count(DISTINCT o_orderstatus) = 1 AND count(DISTINCT o_orderpriority) = 1 AND count(DISTINCT o_orderkey) = count(*) AS homogeneous FROM orders GROUP BY 1""")
+def batch_homogeneity(spark, d):
+    return keys.homogeneity(table(spark, d, "orders"), "o_custkey", "o_orderstatus", "o_orderpriority", key="o_orderkey")
+
+
+# ---- ranges
+
+
+_LINES = "SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate) AS pos, CAST(l_linenumber AS BIGINT) - 1 AS s, CAST(l_linenumber AS BIGINT) AS e FROM lineitem"
+
+
+def _lines(spark, d):
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_shipdate")
+    n = F.col("l_linenumber").cast("long")
+    return table(spark, d, "lineitem").select("l_orderkey", F.row_number().over(w).cast("long").alias("pos"), (n - 1).alias("s"), n.alias("e"))
+
+
+@query(f"SELECT l_orderkey, pos, s, e, expected FROM (SELECT *, coalesce(lag(e) OVER (PARTITION BY l_orderkey ORDER BY pos), 0) AS expected FROM ({_LINES}) x) y WHERE s <> expected OR e <= s")
+def range_cover_breaks(spark, d):
+    return ranges.cover_breaks(_lines(spark, d), "l_orderkey", "pos", "s", "e")
+
+
+@query(f"""SELECT l_orderkey, min(pos) AS pos, arg_min(s, pos) AS s, arg_min(e, pos) AS e, arg_min(expected, pos) AS expected
+FROM (SELECT *, coalesce(lag(e) OVER (PARTITION BY l_orderkey ORDER BY pos), 0) AS expected FROM ({_LINES}) x) y WHERE s <> expected OR e <= s GROUP BY 1""")
+def range_cover_first_break(spark, d):
+    return ranges.cover_breaks(_lines(spark, d), "l_orderkey", "pos", "s", "e", first_only=True)
+
+
+@query("SELECT conv_id, turn, turn AS s, turn + 1 AS e, x AS expected FROM (SELECT *, coalesce(lag(turn + 1) OVER (PARTITION BY conv_id ORDER BY turn), 0) AS x FROM conversations) y WHERE turn <> x")
+def turn_cover_breaks(spark, d):
+    return ranges.cover_breaks(table(spark, d, "conversations").selectExpr("conv_id", "turn", "turn AS s", "turn + 1 AS e"), "conv_id", "turn", "s", "e")
+
+
+@query("""SELECT user_id, event_type, min(event_id) AS first, max(event_id) AS last, count(*) AS n FROM (
+SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY event_id) AS g FROM (
+SELECT user_id, event_id, event_type, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) IS DISTINCT FROM event_type THEN 1 ELSE 0 END AS c FROM events) x) y GROUP BY user_id, event_type, g""")
+def style_islands(spark, d):
+    return ranges.islands(table(spark, d, "events"), ["user_id"], "event_id", ["event_type"])
+
+
+@query("""SELECT o_custkey, min(day) AS start, max(day) + 1 AS "end" FROM (
+SELECT *, day - row_number() OVER (PARTITION BY o_custkey ORDER BY day) AS g FROM (SELECT DISTINCT o_custkey, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS day FROM orders) x) y GROUP BY o_custkey, g""")
+def offset_islands(spark, d):
+    days = table(spark, d, "orders").select("o_custkey", F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long").alias("day"))
+    return ranges.offset_islands(days, ["o_custkey"], "day")
+
+
+@query("""SELECT conv_id, turn, CAST(e - n AS BIGINT) AS "start", CAST(e AS BIGINT) AS "end" FROM (SELECT conv_id, turn, length(text) AS n, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS e FROM conversations) x""")
+def running_offsets(spark, d):
+    turns = table(spark, d, "conversations").select("conv_id", "turn", F.char_length("text").cast("long").alias("n"))
+    return ranges.running_offsets(turns, "conv_id", "turn", "n").drop("n")
+
+
+_OUTER = "SELECT l_orderkey AS k, CAST(l_quantity AS BIGINT) AS s, CAST(l_quantity AS BIGINT) + 10 AS e FROM lineitem"
+_INNER = "SELECT l_orderkey AS k, CAST(l_linenumber AS BIGINT) * 3 AS s, CAST(l_linenumber AS BIGINT) * 3 + 7 AS e FROM lineitem"
+
+
+@query(f"""WITH o AS ({_OUTER}), m AS (SELECT k, pt, sum(v) AS v FROM (
+SELECT k, s AS pt, 1 AS v FROM o UNION ALL SELECT k, e, -1 FROM o UNION ALL SELECT k, s, 0 FROM ({_INNER}) i UNION ALL SELECT k, e, 0 FROM ({_INNER}) i) x GROUP BY k, pt)
+SELECT k, pt AS s, nxt AS e FROM (SELECT k, pt, lead(pt) OVER (PARTITION BY k ORDER BY pt) AS nxt FROM m) y
+WHERE nxt IS NOT NULL AND EXISTS (SELECT 1 FROM o WHERE o.k = y.k AND o.s <= y.pt AND o.e > y.pt)""")
+def interval_split(spark, d):
+    t = table(spark, d, "lineitem")
+    outer = t.selectExpr("l_orderkey AS k", "CAST(l_quantity AS BIGINT) AS s", "CAST(l_quantity AS BIGINT) + 10 AS e")
+    inner = t.selectExpr("l_orderkey AS k", "CAST(l_linenumber AS BIGINT) * 3 AS s", "CAST(l_linenumber AS BIGINT) * 3 + 7 AS e")
+    return ranges.split_intervals(outer, inner, "k", "s", "e")
+
+
+@query("""WITH r AS (SELECT o_custkey AS k, o_orderkey AS r, o_orderkey % 1000 AS s, o_orderkey % 1000 + 50 AS e FROM orders),
+u AS (SELECT k, s, max(e) AS e FROM r GROUP BY k, s), p AS (SELECT c_custkey AS k, c_custkey % 1000 + 40 AS pt FROM customer)
+SELECT k, pt, CASE WHEN pt < e THEN s END AS s, CASE WHEN pt < e THEN e END AS e FROM (
+SELECT p.k, p.pt, (SELECT max(u.s) FROM u WHERE u.k = p.k AND u.s <= p.pt) AS s, (SELECT arg_max(u.e, u.s) FROM u WHERE u.k = p.k AND u.s <= p.pt) AS e FROM p) x""")
+def point_cover(spark, d):
+    r = table(spark, d, "orders").selectExpr("o_custkey AS k", "o_orderkey % 1000 AS s", "o_orderkey % 1000 + 50 AS e").groupBy("k", "s").agg(F.max("e").alias("e"))
+    p = table(spark, d, "customer").selectExpr("c_custkey AS k", "c_custkey % 1000 + 40 AS pt")
+    return ranges.covering(p, r, "k", "pt", "s", "e")
+
+
+_CELLS = "SELECT l_orderkey AS k, CAST(l_linenumber AS BIGINT) - 1 AS r, CAST(l_quantity AS BIGINT) % 3 AS c, 1 + CAST(l_quantity AS BIGINT) % 2 AS rs, 1 + CAST(l_linenumber AS BIGINT) % 2 AS cs FROM lineitem"
+
+
+@query(f"""WITH c AS ({_CELLS}), p AS (SELECT k, r + dr AS r, c + dc AS c FROM c, (VALUES (0), (1)) a(dr), (VALUES (0), (1)) b(dc) WHERE dr < rs AND dc < cs),
+n AS (SELECT k, r, c, count(*) AS n FROM p GROUP BY k, r, c), g AS (SELECT DISTINCT k, gr.r, gc.c FROM c, (SELECT unnest(range(7)) AS r) gr, (SELECT unnest(range(3)) AS c) gc)
+SELECT k, r, c, coalesce(n, 0) AS n, i IS NOT NULL AS inside FROM (SELECT k, r, c, 1 AS i FROM g) g FULL JOIN n USING (k, r, c) WHERE coalesce(n, 0) <> 1 OR i IS NULL""")
+def grid_faults(spark, d):
+    q, n = "CAST(l_quantity AS BIGINT)", "CAST(l_linenumber AS BIGINT)"
+    cells = table(spark, d, "lineitem").selectExpr("l_orderkey AS k", f"{n} - 1 AS r", f"{q} % 3 AS c", f"1 + {q} % 2 AS rs", f"1 + {n} % 2 AS cs", "7 AS rows", "3 AS columns")
+    return ranges.grid_faults(cells, "k", "r", "c", "rs", "cs", "rows", "columns")
+
+
+@query("""SELECT conv_id, array_to_string(list(length(text) ORDER BY turn), ',') AS lengths, count(*) = max(turn) + 1 AS contiguous FROM conversations GROUP BY 1""")
+def dense_points(spark, d):
+    points = table(spark, d, "conversations").select("conv_id", "turn", F.char_length("text").alias("n"))
+    out = ranges.dense_points(points, "conv_id", "turn", "n")
+    return out.select("conv_id", F.array_join(F.transform("values", lambda v: v.cast("string")), ",").alias("lengths"), "contiguous")
+
+
+# ---- joins that pick
+
+
+@query("""WITH u AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', '') AS p FROM pages),
+i AS (SELECT DISTINCT regexp_extract(p, '^(/[^/]*)', 1) AS id FROM u UNION SELECT DISTINCT p FROM u WHERE page_id % 2 = 0)
+SELECT page_id, p, (SELECT arg_max(id, length(id)) FROM i WHERE p = id OR starts_with(p, id || '/')) AS id FROM u""")
+def longest_prefix(spark, d):
+    u = table(spark, d, "pages").select("page_id", F.regexp_replace(F.regexp_replace("url", "^[a-z]+://[^/]*", ""), "[?#].*$", "").alias("p"))
+    ids = u.select(F.regexp_extract("p", "^(/[^/]*)", 1).alias("id")).union(u.where("page_id % 2 = 0").select("p")).distinct()
+    return matching.longest_prefix(u, ids, "p", "id", separator="/").select("page_id", "p", "id")
+
+
+@query("""SELECT c_custkey, o_orderkey FROM (SELECT c_custkey, o_orderkey, row_number() OVER (PARTITION BY c_custkey ORDER BY rank DESC, o_orderkey) AS k FROM (
+SELECT c_custkey, o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 2 WHEN o_orderpriority LIKE '1%' THEN 1 ELSE 0 END AS rank FROM customer JOIN orders ON c_custkey = o_custkey) x WHERE rank > 0) y WHERE k = 1""")
+def best_match(spark, d):
+    offers = table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    rank = F.when(F.col("o_orderstatus") == "F", 2).when(F.col("o_orderpriority").like("1%"), 1).otherwise(0)
+    return matching.best_match(table(spark, d, "customer").select("c_custkey"), offers.select("c_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority"), "c_custkey", rank, "o_orderkey", "o_orderkey")
+
+
+@query("""WITH p AS (SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_nationkey = c_nationkey AND abs(s_acctbal - c_acctbal) <= 20),
+l AS (SELECT s_suppkey, count(*) AS n FROM p GROUP BY 1), r AS (SELECT c_custkey, count(*) AS n FROM p GROUP BY 1)
+SELECT p.s_suppkey, p.c_custkey, CASE WHEN l.n = 1 AND r.n = 1 THEN 'matched' ELSE 'ambiguous' END AS verdict FROM p JOIN l USING (s_suppkey) JOIN r USING (c_custkey)
+UNION ALL SELECT s_suppkey, NULL, 'missing' FROM supplier WHERE s_suppkey NOT IN (SELECT s_suppkey FROM p)""")
+def tolerant_matches(spark, d):
+    left = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("k"), "s_acctbal")
+    right = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("k"), "c_acctbal")
+    return matching.tolerant_matches(left, right, "k", "s_suppkey", "c_custkey", F.abs(F.col("s_acctbal") - F.col("c_acctbal")) <= 20)
+
+
+@query("""WITH a AS (SELECT o_orderkey AS k, o_custkey % 100 AS v, o_totalprice AS p FROM orders WHERE o_orderkey % 7 <> 0), b AS (SELECT o_orderkey AS k, o_custkey % 90 AS v, round(o_totalprice, 1) AS p FROM orders WHERE o_orderkey % 5 <> 0),
+j AS (SELECT coalesce(a.k, b.k) AS k, a.k AS ak, b.k AS bk, a.v AS av, b.v AS bv, a.p AS ap, b.p AS bp FROM a FULL JOIN b ON a.k = b.k)
+SELECT k, NULL AS field, 'left_only' AS status FROM j WHERE bk IS NULL UNION ALL SELECT k, NULL, 'right_only' FROM j WHERE ak IS NULL
+UNION ALL SELECT k, 'v', 'differs' FROM j WHERE ak IS NOT NULL AND bk IS NOT NULL AND av <> bv UNION ALL SELECT k, 'p', 'differs' FROM j WHERE ak IS NOT NULL AND bk IS NOT NULL AND abs(ap - bp) > 0.025""")
+def field_mismatches(spark, d):
+    o = table(spark, d, "orders")
+    a = o.where("o_orderkey % 7 <> 0").selectExpr("o_orderkey AS k", "o_custkey % 100 AS v", "o_totalprice AS p")
+    b = o.where("o_orderkey % 5 <> 0").selectExpr("o_orderkey AS k", "o_custkey % 90 AS v", "round(o_totalprice, 1) AS p")
+    return matching.field_mismatches(a, b, ["k"], ["v"], ["p"], tolerance=0.025)
+
+
+@query("SELECT doc_id, coalesce(l.quality, d.n_chars % 2) AS quality, coalesce(l.toxic, 0) AS toxic FROM (SELECT doc_id, CAST(n_chars % 2 AS INTEGER) AS quality, n_chars FROM documents) d FULL JOIN labels l USING (doc_id)".replace("d.n_chars % 2", "d.quality"))
+def default_merge(spark, d):
+    defaults = table(spark, d, "documents").select("doc_id", (F.col("n_chars") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    return matching.merge_defaults(table(spark, d, "labels"), defaults, "doc_id", ["quality", "toxic"])
+
+
+@query("""WITH d AS (SELECT c_custkey AS k, 'style.' || c_mktsegment || '.w' AS path, c_name AS value FROM customer UNION ALL SELECT c_custkey, 'name', c_name FROM customer),
+o AS (SELECT DISTINCT o_custkey AS k, CASE WHEN o_orderstatus = 'F' THEN 'style' ELSE 'name.first' END AS path, o_orderstatus AS value FROM orders WHERE o_orderstatus IN ('F', 'O'))
+SELECT k, path, value FROM d WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.k = d.k AND (o.path = d.path OR starts_with(d.path, o.path || '.') OR starts_with(o.path, d.path || '.'))) UNION ALL SELECT * FROM o""")
+def deep_merge(spark, d):
+    c, o = table(spark, d, "customer"), table(spark, d, "orders").where("o_orderstatus IN ('F', 'O')")
+    base = c.selectExpr("c_custkey AS k", "concat('style.', c_mktsegment, '.w') AS path", "c_name AS value").unionByName(c.selectExpr("c_custkey AS k", "'name' AS path", "c_name AS value"))
+    over = o.select(F.col("o_custkey").alias("k"), F.when(F.col("o_orderstatus") == "F", "style").otherwise("name.first").alias("path"), F.col("o_orderstatus").alias("value")).distinct()
+    return matching.deep_merge(base, over, ["k"])
+
+
+@query("""SELECT c_custkey, count(o_orderkey) AS n_objects, coalesce(bool_and(ok), true) AS verified FROM customer LEFT JOIN (
+SELECT o_orderkey, o_custkey, coalesce(bool_and(l_quantity > 2), false) AS ok FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2) x ON o_custkey = c_custkey GROUP BY 1""")
+def three_way_report(spark, d):
+    """Verification rolled up twice: a parent is verified if all of its children are; children without evidence are not."""
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.bool_and(F.col("l_quantity") > 2).alias("ok"))
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey").join(lines, "o_orderkey", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+    per = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), F.bool_and("ok").alias("ok"))
+    return table(spark, d, "customer").select("c_custkey").join(per, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0).cast("long")).alias("n_objects"), F.coalesce("ok", F.lit(True)).alias("verified"))
+
+
+# ---- numbers and boxes
+
+
+@query("SELECT l_returnflag, CAST(round_even(l_extendedprice / 1000, 0) AS BIGINT) AS q, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def quantize_half_even(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_returnflag", numbers.half_even(F.col("l_extendedprice") / 1000).cast("long").alias("q")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_linenumber, CAST(round_even(l_discount * 100000, 0) AS BIGINT) AS units, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def percent_units(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_linenumber", numbers.percent_units("l_discount").alias("units")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT ((c_custkey * 37 - 5000) % 360 + 360) % 360 AS wrapped, count(*) AS n, count_if(c_custkey * 37 - 5000 >= 0 AND c_custkey * 37 - 5000 < 360) AS n_canonical FROM customer GROUP BY 1")
+def floor_mod(spark, d):
+    turn = F.col("c_custkey") * 37 - 5000
+    return table(spark, d, "customer").groupBy(numbers.wrap_rotation(turn).alias("wrapped")).agg(F.count("*").alias("n"), F.count_if(numbers.canonical_rotation(turn)).alias("n_canonical"))
+
+
+_BOX = "p_partkey % 900 AS x, p_size * 7 AS y, 20 + p_partkey % 500 AS w, 10 + p_size * 3 AS h"
+
+
+def _boxes(spark, d):
+    x = table(spark, d, "part").selectExpr("p_partkey", "p_brand", "p_partkey % 900 AS x", "CAST(p_size * 7 AS BIGINT) AS y", "20 + p_partkey % 500 AS w", "CAST(10 + p_size * 3 AS BIGINT) AS h")
+    return x.select("p_partkey", "p_brand", boxes.box("x", "y", "w", "h").alias("b"))
+
+
+@query(f"SELECT p_brand, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h FROM (SELECT p_brand, {_BOX} FROM part) t GROUP BY 1")
+def bbox_union(spark, d):
+    out = _boxes(spark, d).groupBy("p_brand").agg(boxes.union_agg("b").alias("u"))
+    return out.select("p_brand", *[F.col(f"u.{c}").cast("long").alias(c) for c in "xywh"])
+
+
+@query(f"""SELECT p_partkey, x >= 0 AND y >= 0 AND w > 0 AND h > 0 AND x + w <= 1000 AND y + h <= 400 AS inside, x < 960 AND y < 300 AS shows,
+w * h >= 0.1 * 1000 * 400 AND x <= 600 AND y <= 240 AND x + w >= 400 AND y + h >= 160 AS large FROM (SELECT p_partkey, {_BOX} FROM part) t""")
+def box_rules(spark, d):
+    b = _boxes(spark, d)
+    return b.select("p_partkey", boxes.inside("b", F.lit(1000), F.lit(400)).alias("inside"), boxes.on_page("b", F.lit(960), F.lit(300)).alias("shows"), boxes.near_full_page("b", F.lit(1000), F.lit(400), 0.1, 0.6).alias("large"))
+
+
+@query(f"""SELECT p_partkey, round(greatest(abs(x / 1000 - x / 960), abs(y / 400.0::DOUBLE - y / 384.0::DOUBLE), abs(w / 1000 - w / 960), abs(h / 400.0::DOUBLE - h / 384.0::DOUBLE)), 9) AS gap
+FROM (SELECT p_partkey, x::DOUBLE AS x, y::DOUBLE AS y, w::DOUBLE AS w, h::DOUBLE AS h FROM (SELECT p_partkey, {_BOX} FROM part) s) t""")
+def mapping_gap(spark, d):
+    frame = boxes.box(F.lit(0), F.lit(0), F.lit(1000), F.lit(400))
+    return _boxes(spark, d).select("p_partkey", F.round(boxes.mapping_gap("b", frame, "b", F.lit(960), F.lit(384)), 9).alias("gap"))
+
+
+@query(f"""WITH t AS (SELECT p_partkey, p_brand, {_BOX} FROM part)
+SELECT a.p_partkey AS a, b.p_partkey AS b FROM t a JOIN t b ON a.p_brand = b.p_brand AND a.y // 40 = b.y // 40 AND a.p_partkey < b.p_partkey
+AND greatest(a.x, b.x) < least(a.x + a.w, b.x + b.w) AND greatest(a.y, b.y) < least(a.y + a.h, b.y + b.h)""")
+def box_overlap_pairs(spark, d):
+    """Overlapping parts of one parent and band; pairs are looked for within those only."""
+    t = _boxes(spark, d).withColumn("band", F.floor(F.col("b.y") / 40))
+    a = t.select(F.col("p_partkey").alias("a"), "p_brand", "band", F.col("b").alias("ba"))
+    b = t.select(F.col("p_partkey").alias("b"), "p_brand", "band", F.col("b").alias("bb"))
+    return a.join(b, ["p_brand", "band"]).where((F.col("a") < F.col("b")) & boxes.overlaps("ba", "bb")).select("a", "b")
+
+
+@query("SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) AS z FROM orders")
+def painter_order(spark, d):
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("o_custkey").orderBy("o_orderpriority", "o_orderkey")
+    return table(spark, d, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).cast("long").alias("z"))
+
+
+@query("SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, l_suppkey DESC LIMIT 5")
+def topk_counts(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("l_suppkey")).limit(5)
+
+
+@query("SELECT c_mktsegment, median(c_acctbal) AS m FROM customer GROUP BY 1")
+def corner_median(spark, d):
+    return table(spark, d, "customer").groupBy("c_mktsegment").agg(F.median("c_acctbal").alias("m"))
+
+
+# ---- texts, names, paths
+
+
+@query("SELECT doc_id, sha256(text) AS h FROM documents")
+def content_hash(spark, d):
+    return table(spark, d, "documents").select("doc_id", content_sha256("text").alias("h"))
+
+
+@query("SELECT doc_id, length(text) AS n, length(text) = n_chars AS agrees FROM documents")
+def codepoint_length(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.char_length("text").cast("long").alias("n"), (F.char_length("text") == F.col("n_chars")).alias("agrees"))
+
+
+@query("SELECT doc_id, len(regexp_extract_all(text, '[^\\s\\x{1100}-\\x{11FF}\\x{2E80}-\\x{9FFF}\\x{A960}-\\x{A97F}\\x{AC00}-\\x{D7FF}\\x{F900}-\\x{FAFF}\\x{FE30}-\\x{FE4F}\\x{FF00}-\\x{FFEF}\\x{0590}-\\x{08FF}\\x{0900}-\\x{0DFF}\\x{0E00}-\\x{0EFF}\\x{FB1D}-\\x{FDFF}\\x{FE70}-\\x{FEFF}]')) AS latin, len(regexp_extract_all(text, '[\\x{2E80}-\\x{9FFF}\\x{AC00}-\\x{D7FF}]')) AS ea FROM documents")
+def script_class_counts(spark, d):
+    s = texts.script_counts("text")
+    return table(spark, d, "documents").select("doc_id", s["latin"].alias("latin"), s["ea"].alias("ea"))
+
+
+@query("SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages")
+def url_host_parts(spark, d):
+    return table(spark, d, "pages").select("page_id", F.regexp_extract("url", "^([a-z]+)://", 1).alias("scheme"), F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("host"), F.regexp_extract("url", "^[a-z]+://[^/?#]+([^?#]*)", 1).alias("path"))
+
+
+@query("SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1, 2")
+def json_leaf(spark, d):
+    return table(spark, d, "events").groupBy("event_type", F.get_json_object("props", "$.k").cast("long").alias("k")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id, regexp_replace(regexp_replace(url, '[^A-Za-z0-9._-]+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g') AS name FROM pages")
+def safe_names(spark, d):
+    return table(spark, d, "pages").select("page_id", texts.safe_name("url").alias("name"))
+
+
+@query("SELECT p_partkey, list_contains(list_transform(string_split(p_type, ' '), lambda x: lower(x)), 'steel') AS steel, len(string_split(p_type, ' ')) AS n FROM part")
+def style_tokens(spark, d):
+    t = texts.style_tokens(F.regexp_replace("p_type", " ", ","))
+    return table(spark, d, "part").select("p_partkey", F.array_contains(t, "steel").alias("steel"), F.size(t).cast("long").alias("n"))
+
+
+# ---- rasters: vectors read as rows of pixels
+
+
+def _vectors(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("x", "v"))
+
+
+_PAIRS = """WITH e AS (SELECT vec_id, unnest(range(len(embedding))) AS x, unnest(embedding) AS v FROM embeddings), p AS (SELECT a.vec_id, a.x, a.v::DOUBLE AS v, b.v::DOUBLE AS w FROM e a JOIN e b ON b.vec_id = a.vec_id + 1 AND b.x = a.x)"""
+
+
+def _pairs(spark, d):
+    e = _vectors(spark, d)
+    other = e.select((F.col("vec_id") - 1).alias("vec_id"), "x", F.col("v").cast("double").alias("w"))
+    return e.select("vec_id", "x", F.col("v").cast("double").alias("v")).join(other, ["vec_id", "x"])
+
+
+@query(_PAIRS + " SELECT vec_id, count_if(abs(v - w) > 0.1) AS changed FROM p GROUP BY 1")
+def vector_changed_count(spark, d):
+    return _pairs(spark, d).groupBy("vec_id").agg(F.count_if(F.abs(F.col("v") - F.col("w")) > 0.1).alias("changed"))
+
+
+@query(_PAIRS + " SELECT vec_id, round(avg(abs(v - w)), 6) AS mae FROM p GROUP BY 1")
+def vector_mae(spark, d):
+    return _pairs(spark, d).groupBy("vec_id").agg(F.round(F.avg(F.abs(F.col("v") - F.col("w"))), 6).alias("mae"))
+
+
+@query(_PAIRS + """, m AS (SELECT vec_id, count_if(v > 0.1) AS a, count_if(w > 0.1) AS b, count_if(v > 0.1 AND w > 0.1) AS c FROM p GROUP BY 1)
+SELECT vec_id, round(CASE WHEN a = 0 AND b = 0 THEN 1.0 WHEN c = 0 THEN 0.0 ELSE 2.0 * c / (a + b) END::DOUBLE, 9) AS f1 FROM m""")
+def vector_f1(spark, d):
+    return _pairs(spark, d).groupBy("vec_id").agg(F.round(rs.f1(F.col("v") > 0.1, F.col("w") > 0.1), 9).alias("f1"))
+
+
+_CHUNKS = _PAIRS + """, c AS (SELECT vec_id, x // 8 AS region, avg(CASE WHEN v > 0.1 THEN 1.0 ELSE 0.0 END) AS s, avg(CASE WHEN w > 0.1 THEN 1.0 ELSE 0.0 END) AS p FROM p GROUP BY 1, 2)
+SELECT vec_id, CAST(region AS BIGINT) AS region, round(s, 9)::DOUBLE AS source_ratio, round(p, 9)::DOUBLE AS preview_ratio, CASE WHEN s >= 0.02 THEN p < 0.002 AND p < 0.1 * s END AS missing FROM c"""
+
+
+@query(_CHUNKS)
+def region_presence(spark, d):
+    px = _pairs(spark, d).select(F.col("vec_id").alias("image"), F.col("x").cast("long").alias("x"), F.lit(0).alias("y"), F.when(F.col("v") > 0.1, 0).otherwise(255).alias("l"), F.when(F.col("w") > 0.1, 0).otherwise(255).alias("l2"))
+    size = table(spark, d, "embeddings").select(F.col("vec_id").alias("image"), F.explode(F.sequence(F.lit(0), F.floor((F.size("embedding") - 1) / 8))).alias("region"))
+    regions = size.select("image", F.col("region").cast("long").alias("region"), (F.col("region") * 8).alias("x0"), F.lit(0).alias("y0"), (F.col("region") * 8 + 8).alias("x1"), F.lit(1).alias("y1"))
+    out = rs.region_presence(px, regions)
+    return out.select(F.col("image").alias("vec_id"), "region", F.round("source_ratio", 9).alias("source_ratio"), F.round("preview_ratio", 9).alias("preview_ratio"), "missing")
+
+
+@query("""WITH e AS (SELECT label AS image, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS y, embedding FROM embeddings),
+p AS (SELECT image, y, unnest(range(len(embedding))) AS x, CAST(floor(unnest(embedding)::DOUBLE * 100) AS BIGINT) AS v FROM e),
+n AS (SELECT a.image, a.y, a.x, a.v, count(*) AS n, sum(b.v) AS s FROM p a JOIN p b ON a.image = b.image AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 GROUP BY 1, 2, 3, 4)
+SELECT image, y, x, n = 9 AND 9 * v - s > 24 AS edge FROM n""")
+def edge_mask(spark, d):
+    from pyspark.sql.window import Window
+
+    rows = table(spark, d, "embeddings").select(F.col("label").alias("image"), (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).cast("long").alias("y"), "embedding")
+    px = rows.select("image", "y", F.posexplode("embedding").alias("x", "v")).select("image", "y", F.col("x").cast("long").alias("x"), F.floor(F.col("v").cast("double") * 100).alias("l"))
+    return rs.edges(px)
