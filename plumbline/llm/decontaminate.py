@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ._common import fresh
+from ._common import fresh, kept
 
 #: Bytes of benchmark text that one pass holds in every worker.  A larger benchmark takes more passes over the documents.
 BLOCK_BYTES = 32 << 20
@@ -31,14 +31,11 @@ class _Hashes(dict):
         return h
 
 
-#: Kept between the tasks of a worker.
-_KNOWN = _Hashes()
-
-
 def word_hashes(text: str | None) -> np.ndarray:
     """One 64-bit hash for each word `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z lower-cased."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().translate(_SPACES).split()
-    return np.fromiter(map(_KNOWN.__getitem__, words), dtype=np.uint64, count=len(words))
+    known = kept("word hashes", _Hashes)
+    return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def kgrams(words: np.ndarray, k: int) -> np.ndarray:

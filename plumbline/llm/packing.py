@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import math
 from array import array
 from collections.abc import Iterator
@@ -12,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fresh
+from ._common import fresh, kept
 
 #: Pieces that one packing task takes together.  The waste of a group is a few open sequences, whatever its size.
 GROUP = 16384
@@ -23,7 +22,6 @@ WORDS = 500_000
 MARKS = ".,;:!?%*$#&|"
 
 
-@functools.cache  # a Python worker serves many tasks; what it knows of the words lasts
 def _tokeniser(path: str):
     """text -> ids as little-endian uint32 bytes.
 
@@ -65,7 +63,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
     size, last = 4 * capacity, np.asarray([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _tokeniser(tokenizer)
+        encode = kept(f"tokens {tokenizer}", lambda: _tokeniser(tokenizer))
         for batch in batches:
             rows = []
             for key, text in zip(batch["k"], batch["t"]):

@@ -19,7 +19,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that count as features beside whole words.
 STEMS = (4, 5, 6)
 #: Distinct words whose features a worker keeps.
-KNOWN = 400_000
+KNOWN = 200_000
 
 
 def word_features(word: str) -> tuple[str, ...]:
@@ -59,12 +59,13 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], n_features: int, prior: float, *, start: np.ndarray | None = None, epochs: int = 1000, rate: float = 0.05, decay: float = 1e-5, beta: float = 0.0, gamma: float = 1.0) -> tuple[np.ndarray, float]:
+def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], n_features: int, prior: float, *, start: np.ndarray | None = None, epochs: int = 400, rate: float = 0.1, decay: float = 1e-5) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear classifier with the least non-negative PU risk for the logistic loss.
 
     With l(z) = log(1 + exp(-z)), the risk is prior * mean_P l(z) + max(0, mean_U l(-z) - prior * mean_P l(-z)).  The second
-    term estimates the risk on negatives and cannot be negative; where it falls below -beta, the step goes up its
-    gradient (times gamma) instead, which undoes overfitting to the positives.  Steps are Adam's, over all rows.
+    term estimates the risk on negatives and cannot be negative; where the estimate is, which is overfitting to the
+    positives, it has no gradient.  Steps are Adam's, over all
+    rows, and become shorter to the end.
     """
     flat_p, flat_u = (np.concatenate(x or [np.empty(0, np.int32)]) for x in (positive, unlabelled))
     rows_p, rows_u = (np.repeat(np.arange(len(x)), [len(r) for r in x]) for x in (positive, unlabelled))
@@ -82,10 +83,10 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], n_feature
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         up = prior * back(flat_p, rows_p, -sigmoid(-zp) / len(positive))
         down = back(flat_u, rows_u, sigmoid(zu) / len(unlabelled)) - prior * back(flat_p, rows_p, sigmoid(zp) / len(positive))
-        grad = up + down if negative >= -beta else -gamma * down
+        grad = up + down if negative >= 0 else up
         grad[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        w -= rate * (1 - t / (epochs + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w[:-1], float(w[-1])
 
 
