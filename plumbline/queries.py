@@ -425,3 +425,130 @@ def edge_mask(spark, d):
     rows = table(spark, d, "embeddings").select(F.col("label").alias("image"), (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).cast("long").alias("y"), "embedding")
     px = rows.select("image", "y", F.posexplode("embedding").alias("x", "v")).select("image", "y", F.col("x").cast("long").alias("x"), F.floor(F.col("v").cast("double") * 100).alias("l"))
     return rs.edges(px)
+
+
+# ---- rasters as whole images
+
+
+_PIXELS = """WITH e AS (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings),
+p AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, CAST(floor((v + 1) * 127) AS INTEGER) AS r, CAST(floor(abs(v) * 255) AS INTEGER) AS g, CAST(floor((1 - abs(v)) * 255) AS INTEGER) AS b FROM e)"""
+
+
+def _pixels(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "w")).withColumn("v", F.col("w").cast("double"))
+    c = lambda x: F.floor(x).cast("int")
+    return e.select(F.col("vec_id").alias("image"), F.floor(F.col("i") / 8).alias("y"), (F.col("i") % 8).cast("long").alias("x"), c((F.col("v") + 1) * 127).alias("r"), c(F.abs("v") * 255).alias("g"), c((1 - F.abs("v")) * 255).alias("b"), F.lit(255).alias("a"))
+
+
+_LUMA = "(({0}r * 19595 + {0}g * 38470 + {0}b * 7471 + 32768) >> 16)"
+
+
+@query(_PIXELS + f""", j AS (SELECT a.vec_id AS image, abs(a.r - b.r) + abs(a.g - b.g) + abs(a.b - b.b) AS e, {_LUMA.format('a.')} AS l, {_LUMA.format('b.')} AS l2 FROM p a JOIN p b ON b.vec_id = a.vec_id + 1 AND a.y = b.y AND a.x = b.x)
+SELECT image, count(*) AS n, round(avg(e) / 3, 6) AS mae, round(avg(CASE WHEN abs(l - l2) > 8 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS changed_ratio, round(1 - coalesce(avg(abs(l - l2)) FILTER (WHERE l < 245 OR l2 < 245), 0) / 255, 6) AS foreground_similarity FROM j GROUP BY 1""")
+def raster_metrics(spark, d):
+    px = _pixels(spark, d)
+    both = rs.joined(px, px.withColumn("image", F.col("image") - 1))
+    return rs.metrics(both).select("image", "n", "mae", "changed_ratio", "foreground_similarity")
+
+
+@query(_PIXELS + """, c AS (SELECT vec_id AS image, ((r >> 5) << 21) | ((g >> 5) << 13) | ((b >> 5) << 5) AS color, count(*) AS n FROM p GROUP BY 1, 2)
+SELECT image, color, n FROM (SELECT *, row_number() OVER (PARTITION BY image ORDER BY n DESC, color DESC) AS k FROM c) t WHERE k <= 5""")
+def dominant_colors(spark, d):
+    return rs.dominant(_pixels(spark, d))
+
+
+@query(_PIXELS + """, k AS (SELECT vec_id, median(r) AS r, median(g) AS g, median(b) AS b FROM p WHERE x IN (0, 7) AND y IN (0, 7) GROUP BY 1),
+f AS (SELECT p.vec_id AS image, p.x, p.y, greatest(abs(p.r - k.r), abs(p.g - k.g), abs(p.b - k.b)) > 12 AS far FROM p JOIN k USING (vec_id))
+SELECT image, bool_or(far AND y = 0) AS top, bool_or(far AND x = 7) AS "right", bool_or(far AND y = 7) AS bottom, bool_or(far AND x = 0) AS "left" FROM f GROUP BY 1""")
+def edge_contact(spark, d):
+    return rs.edge_contact(_pixels(spark, d))
+
+
+@query()
+def flood_background(spark, d):
+    """No SQL: a flood fill takes as many rounds as its shape asks for."""
+    return rs.background(_pixels(spark, d), tolerance=40).groupBy("image").agg(F.count("*").alias("n"))
+
+
+# ---- graphs
+
+
+@query("""WITH RECURSIVE e AS (SELECT c_custkey AS a, c_custkey // 3 AS b FROM customer UNION SELECT c_custkey, c_nationkey FROM customer),
+w AS (SELECT c_custkey AS root, c_custkey AS node, 0 AS depth FROM customer WHERE c_custkey % 50 = 0 UNION SELECT root, b, depth + 1 FROM w JOIN e ON a = node WHERE depth < 30)
+SELECT root, node, min(depth) AS depth FROM w GROUP BY 1, 2""")
+def closure_depth(spark, d):
+    from .operators.closure import reachable
+
+    c = table(spark, d, "customer")
+    edges = c.selectExpr("c_custkey AS a", "c_custkey DIV 3 AS b").union(c.selectExpr("c_custkey", "CAST(c_nationkey AS BIGINT)")).distinct()
+    return reachable(edges, c.where("c_custkey % 50 = 0").select("c_custkey"), "a", "b", "c_custkey")
+
+
+@query("""WITH RECURSIVE t AS (SELECT p_partkey AS node, CASE WHEN p_partkey > 1 THEN p_partkey // 2 END AS parent, CAST(p_size AS BIGINT) AS v FROM part),
+w AS (SELECT node, 0 AS depth, v AS total_v FROM t WHERE parent IS NULL OR parent NOT IN (SELECT node FROM t) UNION ALL SELECT t.node, depth + 1, w.total_v + t.v FROM w JOIN t ON t.parent = w.node)
+SELECT node, depth, total_v FROM w""")
+def accumulated_path(spark, d):
+    from .operators.closure import accumulate
+
+    t = table(spark, d, "part").selectExpr("p_partkey", "IF(p_partkey > 1, p_partkey DIV 2, NULL) AS parent", "CAST(p_size AS BIGINT) AS v")
+    return accumulate(t, node="p_partkey", parent="parent", values=["v"])
+
+
+# ---- page documents, made of orders and their lines
+
+
+_LINE = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate) - 1"
+
+
+def page_documents(spark, d):
+    """One document an order: its lines are elements, with faults that the lines' values bring along."""
+    from .sources.documents import documents
+
+    n = lambda e: f"CAST({e} AS BIGINT)"
+    x, y, w = n("l_partkey % 800"), n("l_suppkey % 400"), n("l_quantity + 1")
+    e = table(spark, d, "lineitem").selectExpr(
+        "l_orderkey", f"{_LINE} AS pos",
+        f"""named_struct('element_id', concat('e', l_linenumber), 'kind', CASE l_returnflag WHEN 'A' THEN 'text' WHEN 'N' THEN 'shape' ELSE 'blob' END, 'layer', l_linenumber, 'editable', true,
+        'confidence', IF(l_quantity > 45, 'sure', 'high'), 'style', named_struct('rotation', IF(l_discount > 0.09, -5, 5)), 'content', named_struct('text', l_linestatus),
+        'source_bbox', array({x}, {y}, {w}, 10L), 'slide_bbox', array({x} * 10 + IF(l_tax > 0.07, 400, 0), {y} * 10, {w} * 10, 100L)) AS e""",
+    )
+    doc = e.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "e"))), lambda s: s["e"]).alias("elements"))
+    canvas = F.struct(*[F.array(F.lit(a), F.lit(b)).alias(k) for k, a, b in (("visual_size", 1600, 900), ("slide_size_emu", 16000, 9000))], F.array(*map(F.lit, (0, 0, 1600, 900))).alias("page_frame_bbox"))
+    raw = F.to_json(F.struct(F.lit(2).alias("schema_version"), canvas.alias("canvas"), "elements"))
+    return documents(doc.select(F.col("l_orderkey").cast("string").alias("doc_id"), raw.alias("raw")))
+
+
+@query("""WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber) AS k FROM lineitem),
+i AS (SELECT l_orderkey, unnest(list_filter([
+CASE WHEN k > 1 THEN 'SPEC_ELEMENT_ID_INVALID' END, CASE WHEN l_returnflag NOT IN ('A', 'N') THEN 'SPEC_ELEMENT_KIND_INVALID' END, CASE WHEN l_quantity > 45 THEN 'SPEC_ELEMENT_CONFIDENCE_INVALID' END,
+CASE WHEN l_discount > 0.09 THEN 'SPEC_ELEMENT_ROTATION_INVALID' END, CASE WHEN l_tax > 0.07 THEN 'SPEC_SLIDE_BBOX_MAPPING_INVALID' END], lambda x: x IS NOT NULL)) AS code FROM l)
+SELECT code, count(*) AS n, count(DISTINCT l_orderkey) AS n_docs FROM i GROUP BY 1""")
+def page_rule_issues(spark, d):
+    from .operators.issues import counts
+    from .plans import rules
+
+    return counts(rules.validate(page_documents(spark, d), only=["element_ids", "element_fields"]))
+
+
+@query("""SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, bool_and(NOT bad) AS valid FROM (
+SELECT l_orderkey, l_returnflag NOT IN ('A', 'N') OR l_quantity > 45 OR l_discount > 0.09 OR l_tax > 0.07 AS bad FROM lineitem) t GROUP BY 1""")
+def page_verdicts(spark, d):
+    from .plans import rules
+
+    return rules.report(page_documents(spark, d), only=["element_fields"]).select("doc_id", "valid")
+
+
+@query("SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, count(*) * 20 + 15 AS n_values FROM lineitem GROUP BY 1")
+def document_walk(spark, d):
+    from .operators import walk
+
+    n = walk.nodes(page_documents(spark, d), max_depth=5).groupBy("doc_id").agg(F.count("*").alias("n_values"))
+    return n
+
+
+@query("SELECT doc_id, sha256('{\"a\":' || doc_id || ',\"lang\":\"' || lang || '\"}') AS h FROM documents")
+def canonical_hash(spark, d):
+    from .functions.hashing import canonical_sha256
+
+    text = F.concat(F.lit('{ "lang": "'), F.col("lang"), F.lit('", "a" :'), F.col("doc_id").cast("string"), F.lit("}"))
+    return table(spark, d, "documents").select("doc_id", canonical_sha256(text).alias("h"))
