@@ -40,8 +40,8 @@ def _fingerprint(text: str | None, words: int, distinct: bool = False) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def simhash(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distinct_words: bool = False) -> DataFrame:
-    """(id_col, fp long, digest binary): bit i is set if it is set in over half of the XXH64 hashes (seed 42) of the shingles.
+def simhash(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distinct_words: bool = False, digest: bool = False) -> DataFrame:
+    """(id_col, fp long[, digest binary]): bit i is set if it is set in over half of the XXH64 hashes (seed 42) of the shingles.
 
     Shingles of `words` words count with repeats; with distinct_words the features are the text's distinct words.  A text
     of fewer words is one shingle; null, empty and blank texts have fingerprint zero.  digest is 128 bits of the lower-cased
@@ -52,9 +52,11 @@ def simhash(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fps = np.array([_fingerprint(t, 1 if distinct_words else words, distinct_words) for t in batch["t"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"k": batch["k"], "fp": fps, "digest": [xxhash.xxh3_128_digest(b" ".join(_tokens(t))) for t in batch["t"]]})
+            out = pd.DataFrame({"k": batch["k"], "fp": fps})
+            yield out.assign(digest=[xxhash.xxh3_128_digest(b" ".join(_tokens(t))) for t in batch["t"]]) if digest else out
 
-    return docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).mapInPandas(run, f"k {kind}, fp long, digest binary").withColumnRenamed("k", id_col)
+    schema = f"k {kind}, fp long" + ", digest binary" * digest
+    return docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).mapInPandas(run, schema).withColumnRenamed("k", id_col)
 
 
 def bit_groups(fps: DataFrame, parts: int) -> list[list[int]]:
@@ -224,7 +226,7 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     are never paired.  Blank documents share fingerprint zero and are linked like any other; ids must not be null;
     repeated rows stay; an empty table gives no rows.
     """
-    fps = materialise(simhash(docs, id_col=id_col, text_col=text_col, words=words).drop("digest"))
+    fps = materialise(simhash(docs, id_col=id_col, text_col=text_col, words=words))
     nodes = materialise(fps.groupBy("fp").agg(F.min(id_col).alias("first")))
     joined = components(links(nodes.select("fp"), radius=radius, parts=parts))
     least = nodes.join(joined, F.col("fp") == F.col("node")).groupBy("component").agg(F.min("first").alias("component_id"))
@@ -282,7 +284,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     if (radius - parts + 1) % (2 * parts):
         raise ValueError("radius - parts + 1 must be divisible by twice the parts")
-    hashed = materialise(simhash(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")), id_col="id", text_col="t", distinct_words=True))
+    hashed = materialise(simhash(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")), id_col="id", text_col="t", distinct_words=True, digest=True))
     nodes = materialise(hashed.groupBy("fp", "digest").agg(F.min("id").alias("id")).drop("digest"))
     copies = hashed.select("id").join(nodes.select("id"), "id", "left_anti")
 
