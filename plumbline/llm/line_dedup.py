@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import fresh, materialise
+from ._common import fresh, kept, materialise
 
 RUN = "h1 long, h2 long, n_docs long, last long"
 
@@ -32,6 +32,7 @@ def line_keys(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     """(id_col long, h1 long, h2 long): the 128-bit hashes of the distinct keys of each document's lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("nothing", dict)
         for batch in batches:
             ids, hashes = [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):

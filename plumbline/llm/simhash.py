@@ -11,9 +11,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, materialise
+from ._common import components, kept, materialise
 
 BITS = 64
+#: Fingerprints under one value that make a crowd, unless values are as large everywhere.
+CROWD = 32
 #: Words hashed at a time, which bounds a worker's memory for texts of any length.
 STRIDE = 1 << 16
 
@@ -50,6 +52,7 @@ def simhash(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept("nothing", dict)  # what other operators kept in this worker
         for batch in batches:
             fps = np.array([_fingerprint(t, 1 if distinct_words else words, distinct_words) for t in batch["t"]], dtype=np.uint64).view(np.int64)
             out = pd.DataFrame({"k": batch["k"], "fp": fps})
@@ -259,6 +262,56 @@ def _similar(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> Da
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
 
 
+def _sketches(texts: DataFrame, words: int) -> DataFrame:
+    """(id, s0 .. s7): for each text the least of 128 hashes over its word shingles, four bits of each."""
+    rng = np.random.default_rng(7)
+    mul, add = rng.integers(1, 2**63, 128, dtype=np.uint64) | np.uint64(1), rng.integers(0, 2**63, 128, dtype=np.uint64)
+    shift = (4 * np.arange(16)).astype(np.uint64)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for text in batch["__t"]:
+                t, best = _tokens(text), np.full(128, np.iinfo(np.uint64).max)
+                n = max(1, len(t) - words + 1)
+                for at in range(0, n, 4096):
+                    h = np.array([xxhash.xxh3_64_intdigest(b" ".join(t[i : i + words])) for i in range(at, min(n, at + 4096))], dtype=np.uint64)
+                    with np.errstate(over="ignore"):
+                        best = np.minimum(best, ((h[:, None] ^ (h[:, None] >> np.uint64(31))) * mul + add).min(axis=0))
+                rows.append(((best >> np.uint64(40)) & np.uint64(15)).reshape(8, 16) @ (np.uint64(1) << shift))
+            yield pd.DataFrame(np.array(rows, dtype=np.uint64).reshape(-1, 8).view(np.int64), columns=[f"s{i}" for i in range(8)]).assign(id=batch["__id"].to_numpy())
+
+    return texts.mapInPandas(run, ", ".join(f"s{i} long" for i in range(8)) + ", id long")
+
+
+def _meet(keys: DataFrame, groups: list[list[int]], radius: int, least: float | None = None) -> DataFrame:
+    """Pairs (a, b), a > b, under one value whose whole fingerprints differ in at most `radius` bits, each pair once.
+
+    Of all the values that two fingerprints share only one counts: in the first bit group where they are close, a's own
+    value, or the one between if two bits differ.  With `least`, pairs must also share so many of 128 sketch places that
+    one in ten thousand of those with that similarity is missed; only crowds are asked for that.
+    """
+    renamed = {c: f"{c}_" for c in keys.columns if c not in ("part", "value")}
+    other = keys.select("part", "value", *[F.col(c).alias(n) for c, n in renamed.items()])
+    x, own = F.col("fp").bitwiseXOR(F.col("fp_")), F.col("own").bitwiseXOR(F.col("own_"))
+    mask = lambda g: sum(1 << b for b in g) - (1 << 64) * (63 in g)
+    first = None
+    for i, g in enumerate(groups):
+        near = F.bit_count(x.bitwiseAND(F.lit(mask(g)))) <= 2
+        first = F.when(near, i) if first is None else first.when(near, i)
+    place = F.when(F.bit_count(own) < 2, F.col("own")).otherwise(F.col("own").bitwiseXOR(own.bitwiseAND(F.negative(own))))
+    close = (F.col("id") > F.col("id_")) & (F.bit_count(x) <= radius) & (F.col("part") == first) & (F.col("value") == place)
+    if least is not None:
+        differ = F.lit(0)
+        for i in range(8):
+            y = F.col(f"s{i}").bitwiseXOR(F.col(f"s{i}_"))
+            y = y.bitwiseOR(F.shiftrightunsigned(y, 1)).bitwiseOR(F.shiftrightunsigned(y, 2)).bitwiseOR(F.shiftrightunsigned(y, 3))
+            differ = differ + F.bit_count(y.bitwiseAND(F.lit(0x1111111111111111)))
+        p = (1 - least) * 15 / 16
+        close = close & (differ <= int(128 * p + 3.7 * (128 * p * (1 - p)) ** 0.5))
+    return keys.join(other, ["part", "value"]).where(close).select(F.col("id").alias("a"), F.col("id_").alias("b"))
+
+
 def _texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, broadcast_ids: int) -> DataFrame:
     """Checkpointed (__id, __t) of the given ids (distinct, materialised); the ids are broadcast up to that many of them."""
     ids = ids.select(F.col("id").alias("__id"))
@@ -277,13 +330,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     1. Equal texts (but for case and white space): the smallest id stays.
     2. Crowds of near copies: fingerprints within 2 bits are linked by `links`, which writes no pairs within a crowd; the
        smallest id of each linked class is compared with the rest, then the smallest of those left, `rounds` times.
-    3. All that are left: each bit group is allotted the threshold (radius - parts + 1) / parts; fingerprints are listed
-       under every value within half of it, two that share a value are verified in the join itself, by the whole
-       fingerprint, then by their texts; of linked ones the smallest id stays.
+    3. All that are left: each bit group is allotted the threshold (radius - parts + 1) / parts, and fingerprints are
+       listed under every value within half of it.  Values that crowds share are thinned as in 2: the smallest id is
+       compared with the rest, then the next one that is left, `rounds` times.
+    4. Two that still share a value are verified in the join itself, by the whole fingerprint, then by their texts; of
+       linked ones the smallest id stays.  Where a crowd is left, a sketch of the shingles is asked before the texts.
     Null and blank texts are equal texts; ids must be distinct and not null; no rows give no rows.
     """
-    if (radius - parts + 1) % (2 * parts):
-        raise ValueError("radius - parts + 1 must be divisible by twice the parts")
+    if radius - parts + 1 != 2 * parts:
+        raise ValueError("radius - parts + 1 must be twice the parts: each group's threshold is two")
     hashed = materialise(simhash(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")), id_col="id", text_col="t", distinct_words=True, digest=True))
     nodes = materialise(hashed.groupBy("fp", "digest").agg(F.min("id").alias("id")).drop("digest"))
     copies = hashed.select("id").join(nodes.select("id"), "id", "left_anti")
@@ -307,22 +362,45 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     left = materialise(nodes.join(gone, "id", "left_anti"))
     groups = bit_groups(left.select("fp"), parts)
-    half = (radius - parts + 1) // parts // 2
+    half = 1
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         masks = [_flips(len(g), half) for g in groups]
         for batch in batches:
             fp = batch["fp"].to_numpy()
             for i, (g, m) in enumerate(zip(groups, masks)):
-                values = (_gather(fp.view(np.uint64), g)[:, None] ^ m[None, :]).ravel()
-                yield pd.DataFrame({"id": np.repeat(batch["id"].to_numpy(), len(m)), "fp": np.repeat(fp, len(m)), "part": np.int32(i), "value": values})
-
-    keys = left.select("id", "fp").mapInPandas(listed, "id long, fp long, part int, value long")
-    shared = keys.groupBy("part", "value").agg(F.count("*").alias("n")).where("n > 1").select("part", "value")
-    keys = materialise(keys.join(shared, ["part", "value"], "left_semi"))
-    other = keys.select(F.col("id").alias("b"), F.col("fp").alias("fb"), F.col("part").alias("p2"), F.col("value").alias("v2"))
-    close = (F.col("part") == F.col("p2")) & (F.col("value") == F.col("v2")) & (F.col("id") > F.col("b")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fb"))) <= radius)
-    pairs = materialise(keys.join(other, close).select(F.col("id").alias("a"), "b").distinct())
+                own = _gather(fp.view(np.uint64), g)
+                yield pd.DataFrame({"id": np.repeat(batch["id"].to_numpy(), len(m)), "fp": np.repeat(fp, len(m)), "part": np.int32(i), "value": (own[:, None] ^ m[None, :]).ravel(), "own": np.repeat(own, len(m))})
+
+    keys = left.select("id", "fp").mapInPandas(listed, "id long, fp long, part int, value long, own long")
+    sizes = materialise(keys.groupBy("part", "value").agg(F.count("*").alias("n")).where("n > 1"))
+    keys = materialise(keys.join(sizes.select("part", "value"), ["part", "value"], "left_semi"))
+    # crowds once more, now under the listed values: those far larger than the others
+    usual = sizes.agg(F.avg("n")).first()[0] or 0.0
+    crowded = sizes.where(F.col("n") > F.lit(max(CROWD, 8 * usual))).select("part", "value", F.lit(None).cast("long").alias("last"))
+    packed = materialise(keys.join(crowded.drop("last"), ["part", "value"], "left_semi"))
+    if not packed.isEmpty():
+        texts = _texts_of(docs, materialise(packed.select("id").distinct()), id_col, text_col, broadcast_ids)
+        lost = None
+        for _ in range(rounds):
+            turn = packed.join(crowded, ["part", "value"]).where("last IS NULL OR id > last").groupBy("part", "value").agg(F.min("id").alias("b"), F.min_by("fp", "id").alias("fb"))
+            turn = materialise(turn)
+            pairs = packed.join(turn, ["part", "value"]).where((F.col("id") > F.col("b")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fb"))) <= radius)).select(F.col("id").alias("a"), "b").distinct()
+            found = materialise(_similar(pairs, texts, words, least).select(F.col("a").alias("id")).distinct())
+            lost = found if lost is None else lost.unionByName(found)
+            packed = materialise(packed.join(found, "id", "left_anti"))
+            crowded = turn.select("part", "value", F.col("b").alias("last"))
+            if turn.isEmpty():
+                break
+        lost = materialise(lost)
+        gone = gone.unionByName(lost)
+        keys = keys.join(lost, "id", "left_anti")
+    crowds = packed.select("part", "value").distinct()
+    sketched = packed if packed.isEmpty() else packed.join(_sketches(texts, words), "id")
+    pairs = _meet(keys.join(crowds, ["part", "value"], "left_anti"), groups, radius)
+    if not packed.isEmpty():
+        pairs = pairs.unionByName(_meet(sketched, groups, radius, least))
+    pairs = materialise(pairs)
     ends = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     linked = components(_similar(pairs, _texts_of(docs, ends, id_col, text_col, broadcast_ids), words, least))
     last = linked.where("node <> component").select(F.col("node").alias("id"))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fresh
+from ._common import fresh, kept
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that count as features beside whole words.
@@ -96,6 +96,7 @@ def _counts(texts: DataFrame, text_col: str, index: dict[str, int] | None) -> Da
     field = "f string" if index is None else "f int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("nothing", dict)
         out = lambda f, n: pa.RecordBatch.from_arrays([f, pa.array(n, pa.int64())], names=["f", "n"])
         if shared is None:
             for batch in batches:

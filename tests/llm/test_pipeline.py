@@ -66,7 +66,7 @@ def test_near_duplicates_equal_definition(spark, rounds):
     texts = dict(enumerate(made))
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").selectExpr("*", "1 AS id", "2 AS fp", "3 AS c")
     gone = [r["doc_id"] for r in simhash.near_duplicates(df, rounds=rounds, broadcast_ids=0 if rounds == 1 else 10**6).collect()]
-    assert len(gone) == len(set(gone)) > 60
+    assert len(gone) == len(set(gone)) > 50
     holds(texts, set(gone))
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
