@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,7 +20,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that count as features beside whole words.
 STEMS = (4, 5, 6)
 #: Distinct words whose features a worker keeps.
-KNOWN = 200_000
+KNOWN = 400_000
 
 
 def word_features(word: str) -> tuple[str, ...]:
@@ -53,6 +54,7 @@ class Model:
     index: dict[str, int]
     weights: np.ndarray
     bias: float
+    token: str = ""  # names the index in workers, which keep what they know of words between tasks
 
     def score(self, rows: list[np.ndarray]) -> np.ndarray:
         z = np.array([self.weights[r].sum() for r in rows]) + self.bias if rows else np.empty(0)
@@ -92,11 +94,10 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], n_feature
 
 def _counts(texts: DataFrame, text_col: str, index: dict[str, int] | None) -> DataFrame:
     """(f, n): in how many texts each feature occurs, of the index or of all; counted within tasks first."""
-    shared = None if index is None else texts.sparkSession.sparkContext.broadcast(index)
+    shared, token = None if index is None else texts.sparkSession.sparkContext.broadcast(index), uuid.uuid4().hex
     field = "f string" if index is None else "f int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept("nothing", dict)
         out = lambda f, n: pa.RecordBatch.from_arrays([f, pa.array(n, pa.int64())], names=["f", "n"])
         if shared is None:
             for batch in batches:
@@ -105,7 +106,7 @@ def _counts(texts: DataFrame, text_col: str, index: dict[str, int] | None) -> Da
                     total.update({f for w in set(_WORD.findall((text.as_py() or "").lower())) for f in word_features(w)})
                 yield out(pa.array(list(total), pa.string()), list(total.values()))
         else:
-            known, total = _Known(shared.value), np.zeros(len(shared.value), dtype=np.int64)
+            known, total = kept(f"features {token}", lambda: _Known(shared.value)), np.zeros(len(shared.value), dtype=np.int64)
             for batch in batches:
                 for text in batch.column(0):
                     total[features(text.as_py(), known)] += 1
@@ -160,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     taken = sample.mapInPandas(rows, "p int, x array<int>").collect()
     split = [[np.array(r["x"], dtype=np.int32) for r in taken if r["p"] == p] for p in (1, 0)]
     weights, bias = fit_nnpu(split[0], split[1], len(index), prior)
-    return Model(index, weights, bias)
+    return Model(index, weights, bias, uuid.uuid4().hex)
 
 
 def score(docs: DataFrame, model: Model | None, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -177,7 +178,7 @@ def score(docs: DataFrame, model: Model | None, *, text_col: str = "text", keep:
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + f", `{name}` double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Known(shared.value.index)
+        known = kept(f"features {shared.value.token}", lambda: _Known(shared.value.index))
         for batch in batches:
             scores = shared.value.score([features(t.as_py(), known) for t in batch.column(text_col)])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores, pa.float64())], names=[*keep, name])
