@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,9 +44,16 @@ _KEPT: dict[str, object] = {}
 
 
 def kept(name: str, make: Callable[[], object]) -> object:
-    """What a Python worker keeps between tasks, for one operator at a time: another name's takes its place."""
+    """What a Python worker keeps between tasks, for one operator at a time: another name's takes its place.
+
+    Memory that the last operator had is given back to the system, for a worker outlives it.
+    """
     if name not in _KEPT:
         _KEPT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+            trim(0)
         _KEPT[name] = make()
     return _KEPT[name]
 

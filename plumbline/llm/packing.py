@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ from ._common import fresh, kept
 GROUP = 16384
 #: A Python worker keeps the token ids of the words it met among the last WORDS to 2 * WORDS new ones.
 WORDS = 500_000
+#: Pieces that a worker holds before it passes them on.
+AT_ONCE = 1024
 #: Marks that end a word in prose.  A run of them after a letter is a token of its own for this kind of tokenizer, which
 #: also lower-cases.
 MARKS = ".,;:!?%*$#&|"
@@ -62,19 +65,28 @@ def pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
     kind = docs.schema[id_col].dataType.simpleString()
     size, last = 4 * capacity, np.asarray([end_id], dtype="<u4").tobytes()
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made(keys: pa.Array, rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        row, piece, ids = zip(*rows)
+        columns = [keys.take(pa.array(row)), pa.array(piece, pa.int32()), pa.array([i * capacity for i in piece], pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["k", "piece", "start", "length", "ids"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = kept(f"tokens {tokenizer}", lambda: _tokeniser(tokenizer))
         for batch in batches:
             rows = []
-            for key, text in zip(batch["k"], batch["t"]):
-                ids = encode(text or "") + last
-                rows += [(key, i, i * capacity, len(part := ids[at : at + size]) // 4, part) for i, at in enumerate(range(0, len(ids), size))]
-            for at in range(0, len(rows), 4096):
-                yield pd.DataFrame(rows[at : at + 4096], columns=["k", "piece", "start", "length", "ids"])
+            for n, text in enumerate(batch.column("t")):
+                ids = encode(text.as_py() or "") + last
+                for i, at in enumerate(range(0, len(ids), size)):
+                    rows.append((n, i, ids[at : at + size]))
+                    if len(rows) >= AT_ONCE:
+                        yield made(batch.column("k"), rows)
+                        rows = []
+            if rows:
+                yield made(batch.column("k"), rows)
 
     return (
         docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
-        .mapInPandas(cut, f"k {kind}, piece int, start long, length long, ids binary")
+        .mapInArrow(cut, f"k {kind}, piece int, start long, length long, ids binary")
         .withColumnRenamed("k", id_col)
     )
 

@@ -51,15 +51,18 @@ def simhash(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept("nothing", dict)  # what other operators kept in this worker
         for batch in batches:
-            fps = np.array([_fingerprint(t, 1 if distinct_words else words, distinct_words) for t in batch["t"]], dtype=np.uint64).view(np.int64)
-            out = pd.DataFrame({"k": batch["k"], "fp": fps})
-            yield out.assign(digest=[xxhash.xxh3_128_digest(b" ".join(_tokens(t))) for t in batch["t"]]) if digest else out
+            texts = batch.column("t")
+            fps = np.array([_fingerprint(t.as_py(), 1 if distinct_words else words, distinct_words) for t in texts], dtype=np.uint64).view(np.int64)
+            columns = {"k": batch.column("k"), "fp": pa.array(fps, pa.int64())}
+            if digest:
+                columns["digest"] = pa.array([xxhash.xxh3_128_digest(b" ".join(_tokens(t.as_py()))) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     schema = f"k {kind}, fp long" + ", digest binary" * digest
-    return docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).mapInPandas(run, schema).withColumnRenamed("k", id_col)
+    return docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).mapInArrow(run, schema).withColumnRenamed("k", id_col)
 
 
 def bit_groups(fps: DataFrame, parts: int) -> list[list[int]]:
