@@ -16,7 +16,7 @@ from ._common import fresh, kept
 
 #: Pieces that one packing task takes together.  The waste of a group is a few open sequences, whatever its size.
 GROUP = 16384
-#: A Python worker keeps the token ids of the words it met among the last WORDS to 2 * WORDS new ones.
+#: A Python worker keeps the token ids of the words it met among the last WORDS to 2 * WORDS new ones, if not told otherwise.
 WORDS = 500_000
 #: Pieces that a worker holds before it passes them on.
 AT_ONCE = 1024
@@ -25,7 +25,7 @@ AT_ONCE = 1024
 MARKS = ".,;:!?%*$#&|"
 
 
-def _tokeniser(path: str):
+def _tokeniser(path: str, words: int = WORDS):
     """text -> ids as little-endian uint32 bytes.
 
     White space always ends a token here, so a text is encoded word by word and each word's bytes are kept.  Only
@@ -46,7 +46,7 @@ def _tokeniser(path: str):
                     ids = self[core.lower() if core.isascii() else core] + self[word[len(core) :]]
                 else:
                     ids = array("I", model.encode(word, add_special_tokens=False).ids).tobytes()
-            if len(self) >= WORDS:
+            if len(self) >= words:
                 self.older = dict(self)
                 self.clear()
             self[word] = ids
@@ -56,11 +56,12 @@ def _tokeniser(path: str):
     return lambda text: b"".join(map(known.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-def pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, known_words: int = WORDS) -> DataFrame:
     """Cut every document's ids, closed by end_id, into pieces of at most `capacity`.
 
     Returns (id_col, piece int, start long, length long, ids binary): ids are little-endian unsigned 32-bit.  A null or
-    empty text is the one id end_id.  Rows that repeat a document give its pieces again; no rows give no pieces.
+    empty text is the one id end_id.  Workers keep the ids of known_words to twice as many words: fewer take less memory and
+    more time, and change no result.  Rows that repeat a document give its pieces again; no rows give no pieces.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     size, last = 4 * capacity, np.asarray([end_id], dtype="<u4").tobytes()
@@ -71,7 +72,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
         return pa.RecordBatch.from_arrays(columns, names=["k", "piece", "start", "length", "ids"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = kept(f"tokens {tokenizer}", lambda: _tokeniser(tokenizer))
+        encode = kept(f"tokens {known_words} {tokenizer}", lambda: _tokeniser(tokenizer, known_words))
         for batch in batches:
             rows = []
             for n, text in enumerate(batch.column("t")):
