@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, line_dedup, packing, simhash, toxicity
+from plumbline.llm import decontaminate, line_dedup, near_copies, packing, toxicity
 from plumbline.llm._common import shared_folder, table
 
 #: Rows of an Arrow batch: executors come to the later stages with full heaps, and a row may be a pair of whole texts.
@@ -45,7 +45,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near copies (five-word shingles, similarity 0.8 or more) one document stays."""
     bound_batches(spark)
-    gone = simhash.near_duplicates(docs)
+    gone = near_copies.near_copies(docs)
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 

@@ -7,6 +7,7 @@ import pytest
 
 import corpus_pipeline as pipe
 from plumbline.llm import simhash
+from plumbline.llm.near_copies import near_copies as near_copies_of
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -81,6 +82,35 @@ def test_planted_near_copies_are_found(spark):
     assert gone <= planted and len(gone) >= 0.97 * len(planted) > 40
 
 
+def greedy(texts):
+    """By ascending id a text stays unless it is a near copy, by Jaccard similarity alone, of one that stays."""
+    stay, gone = [], set()
+    for d in sorted(texts):
+        if any(jaccard(texts[d], texts[s]) >= 0.8 for s in stay):
+            gone.add(d)
+        else:
+            stay.append(d)
+    return gone
+
+
+@pytest.mark.parametrize("rounds", [1, 6])
+def test_appended_cut_and_edited_copies_all_go(spark, rounds):
+    rng = random.Random(21)
+    word = lambda: rng.choice("the of and to in".split()) if rng.random() < 0.3 else f"v{rng.randrange(3000)}"
+    base = [[word() for _ in range(rng.choice((50, 200, 600, 1500)))] for _ in range(80)]
+    made = [" ".join(b) for b in base]
+    for b in base:
+        n = len(b)
+        made.append(" ".join(b + [word() for _ in range(n * 24 // 100)]))
+        made.append(" ".join(b[: n - n * 18 // 100]))
+        made.append(" ".join(word() if rng.random() < 0.018 else w for w in b))
+    texts = dict(enumerate(made))
+    owed = greedy(texts)
+    assert len(owed) > 150 and sum(not close(texts[d % 80], texts[d]) for d in owed) > 20
+    gone = [r["doc_id"] for r in near_copies_of(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), rounds=rounds).collect()]
+    assert sorted(gone) == sorted(owed)
+
+
 def test_stages_on_their_own_input(spark, tmp_path):
     docs, seen = spark.read.parquet(f"{SF}/documents.parquet"), {}
     for name, stage in pipe.STAGES:
