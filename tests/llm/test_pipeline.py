@@ -111,6 +111,19 @@ def test_appended_cut_and_edited_copies_all_go(spark, rounds):
     assert sorted(gone) == sorted(owed)
 
 
+def test_one_rule_for_a_chain_alone_and_beside_a_crowd(spark):
+    """a ~ b ~ c with a unlike c: b goes and c stays, whatever the corpus' size, and what is left of a crowd follows the same rule."""
+    rng = random.Random(31)
+    base = [f"c{i}" for i in range(400)]
+    chain = [" ".join(base[at : at + 300]) for at in (0, 25, 50)]
+    assert jaccard(*chain[:2]) >= 0.8 and jaccard(*chain[1:]) >= 0.8 and jaccard(chain[0], chain[2]) < 0.8
+    drift = near_copies(rng, " ".join(base[:300]), 80) + near_copies(rng, chain[2], 80)
+    for more in ([], drift):
+        texts = dict(enumerate(chain + more))
+        gone = [r["doc_id"] for r in near_copies_of(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()]
+        assert sorted(gone) == sorted(greedy(texts)) and 1 in gone and not {0, 2} & set(gone)
+
+
 def test_stages_on_their_own_input(spark, tmp_path):
     docs, seen = spark.read.parquet(f"{SF}/documents.parquet"), {}
     for name, stage in pipe.STAGES:
