@@ -312,6 +312,14 @@ def box_overlap_pairs(spark, d):
     return a.join(b, ["p_brand", "band"]).where((F.col("a") < F.col("b")) & boxes.overlaps("ba", "bb")).select("a", "b")
 
 
+@query(f"""WITH t AS (SELECT p_partkey, p_brand, {_BOX} FROM part)
+SELECT a.p_partkey AS a, b.p_partkey AS b FROM t a JOIN t b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey
+AND greatest(a.x, b.x) < least(a.x + a.w, b.x + b.w) AND greatest(a.y, b.y) < least(a.y + a.h, b.y + b.h)""")
+def box_overlap_pairs_whole(spark, d):
+    """All overlapping parts of one parent, in whatever bands their tops lie."""
+    return matching.overlap_pairs(_boxes(spark, d), "p_partkey", "p_brand", "b")
+
+
 @query("SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) AS z FROM orders")
 def painter_order(spark, d):
     from pyspark.sql.window import Window

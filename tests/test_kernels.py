@@ -122,3 +122,13 @@ def test_empty_masks(spark):
 def test_numbered_without_one_partition(spark):
     df = spark.range(500).withColumn("k", (F.col("id") * 37) % 500)
     assert {r["k"]: r["row_no"] for r in keys.numbered(df, ["k"]).collect()} == {i: i + 1 for i in range(500)}
+
+
+def test_overlap_pairs_across_tiles(spark):
+    rng = random.Random(5)
+    rows = [(k, k % 3, rng.randrange(-200, 900), rng.randrange(-100, 400), rng.randrange(0, 600), rng.randrange(0, 200)) for k in range(150)]
+    df = spark.createDataFrame(rows, "k long, p long, x long, y long, w long, h long").selectExpr("k", "p", "named_struct('x', x, 'y', y, 'w', w, 'h', h) AS b")
+    over = lambda a, b: max(a[2], b[2]) < min(a[2] + a[4], b[2] + b[4]) and max(a[3], b[3]) < min(a[3] + a[5], b[3] + b[5])
+    want = sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and over(a, b))
+    assert sorted(map(tuple, matching.overlap_pairs(df, "k", "p", "b").collect())) == want
+    assert any(rows[a][3] // 40 != rows[b][3] // 40 for a, b in want)
