@@ -55,6 +55,13 @@ def set_equality(spark, d):
     return keys.set_difference(left, table(spark, d, "customer").where("c_acctbal > 2000").select(F.col("c_custkey").alias("k")), "k")
 
 
+@query("""SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'left' ELSE 'right' END AS side
+FROM (SELECT DISTINCT o_custkey AS k FROM orders) a FULL JOIN (SELECT DISTINCT user_id AS k FROM events) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL""")
+def set_equality_whole(spark, d):
+    """The customers of all orders against the users of all events."""
+    return keys.set_difference(table(spark, d, "orders").select(F.col("o_custkey").alias("k")), table(spark, d, "events").select(F.col("user_id").alias("k")), "k")
+
+
 @query("""SELECT k, CAST(sum(n) AS BIGINT) AS surplus FROM (SELECT o_custkey AS k, 1 AS n FROM orders UNION ALL SELECT c_custkey, -1 FROM customer) x GROUP BY k HAVING sum(n) <> 0""")
 def multiset_difference(spark, d):
     return keys.multiset_difference(table(spark, d, "orders").select(F.col("o_custkey").alias("k")), table(spark, d, "customer").select(F.col("c_custkey").alias("k")), ["k"])
@@ -228,6 +235,19 @@ def field_mismatches(spark, d):
     return matching.field_mismatches(a, b, ["k"], ["v"], ["p"], tolerance=0.025)
 
 
+@query("""WITH b AS (SELECT l_orderkey AS k, CASE WHEN min(l_linestatus) = max(l_linestatus) THEN min(l_linestatus) ELSE 'P' END AS v, round(sum(l_extendedprice * (1 + l_tax) * (1 - l_discount)), 2) AS p FROM lineitem GROUP BY 1),
+j AS (SELECT coalesce(a.o_orderkey, b.k) AS k, a.o_orderkey AS ak, b.k AS bk, a.o_orderstatus AS av, b.v AS bv, a.o_totalprice AS ap, b.p AS bp FROM orders a FULL JOIN b ON a.o_orderkey = b.k)
+SELECT k, NULL AS field, 'left_only' AS status FROM j WHERE bk IS NULL UNION ALL SELECT k, NULL, 'right_only' FROM j WHERE ak IS NULL
+UNION ALL SELECT k, 'v', 'differs' FROM j WHERE ak IS NOT NULL AND bk IS NOT NULL AND av <> bv UNION ALL SELECT k, 'p', 'differs' FROM j WHERE ak IS NOT NULL AND bk IS NOT NULL AND abs(ap - bp) > 0.025""")
+def field_mismatches_whole(spark, d):
+    """All orders against their status and total rebuilt from all lines."""
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(
+        F.when(F.min("l_linestatus") == F.max("l_linestatus"), F.min("l_linestatus")).otherwise("P").alias("v"),
+        F.round(F.sum(F.col("l_extendedprice") * (1 + F.col("l_tax")) * (1 - F.col("l_discount"))), 2).alias("p"),
+    )
+    return matching.field_mismatches(table(spark, d, "orders").selectExpr("o_orderkey AS k", "o_orderstatus AS v", "o_totalprice AS p"), lines, ["k"], ["v"], ["p"], tolerance=0.025)
+
+
 @query("SELECT doc_id, coalesce(l.quality, d.n_chars % 2) AS quality, coalesce(l.toxic, 0) AS toxic FROM (SELECT doc_id, CAST(n_chars % 2 AS INTEGER) AS quality, n_chars FROM documents) d FULL JOIN labels l USING (doc_id)".replace("d.n_chars % 2", "d.quality"))
 def default_merge(spark, d):
     defaults = table(spark, d, "documents").select("doc_id", (F.col("n_chars") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic"))
