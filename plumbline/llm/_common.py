@@ -1,13 +1,12 @@
-"""What the training-data operators share: materialising, naming, components."""
+"""What the training-data operators share: tables in the shared folder, naming, components."""
 
 from __future__ import annotations
 
-import ctypes
-import gc
+import re
 import tempfile
+import uuid
 from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,18 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where it is unset (tests on one machine) a local folder is taken.
+    Where it is unset, a session on one machine (tests, benchmarks) takes a local folder; on a cluster that is an error.
     """
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if folder is None:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-ck-"))
         folder = sc.getCheckpointDir()
     return folder
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder.
+    """Cut lineage with a reliable checkpoint in the shared folder; order and partitioning stay known.
 
     A checkpoint is in shared storage, so a lost executor costs nothing but the task it ran.
     """
@@ -40,22 +41,47 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-_KEPT: dict[str, object] = {}
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever file system it is in."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def kept(name: str, make: Callable[[], object]) -> object:
-    """What a Python worker keeps between tasks, for one operator at a time: another name's takes its place.
+class Tables:
+    """Tables of one run in the shared folder: compressed, columnar, and gone when they are dropped.
 
-    Memory that the last operator had is given back to the system, for a worker outlives it.
+    Like a checkpoint a table cuts lineage and survives lost executors; unlike one it is small and its end is known.
     """
-    if name not in _KEPT:
-        _KEPT.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
-            trim(0)
-        _KEPT[name] = make()
-    return _KEPT[name]
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.paths = spark, f"{shared_folder(spark)}/plumbline-{uuid.uuid4().hex}", {}
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{len(self.paths)}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = path, out
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            path, _ = self.paths[id(df)]
+            remove(self.spark, path)
+
+    def drop_all(self, *but: DataFrame) -> None:
+        for key, (path, _) in self.paths.items():
+            if key not in {id(df) for df in but}:
+                remove(self.spark, path)
+
+
+_KEPT: dict[str, tuple[object, object]] = {}
+
+
+def kept(name: str, make: Callable[[], object], version: object = None) -> object:
+    """What a Python worker keeps for one operator between tasks; another version takes the place of the last."""
+    if name not in _KEPT or _KEPT[name][0] != version:
+        _KEPT[name] = version, make()
+    return _KEPT[name][1]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -82,23 +108,25 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     node, which AQE splits where a node has very many links.  Nodes that no link touches are not returned; null ends and
     loops are ignored; repeated links count once; no links give no rows.
     """
+    kept_tables = Tables(links.sparkSession)
     edges = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
-    edges = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    sign = None
+    edges = kept_tables.put(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     for _ in range(max_rounds):
+        # done if every u has one v, and no v is a u
+        ends = edges.select(F.col("u").alias("x"), F.lit(3).alias("k")).union(edges.select("v", F.lit(4)).distinct())
+        if ends.groupBy("x").agg(F.sum("k").alias("k")).where("k > 4").isEmpty():
+            break
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large star: neighbours above u point to u's least
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialise(large.distinct())
+        large = kept_tables.put(large.distinct())
+        kept_tables.drop(edges)
         # small star: u and its neighbours below point to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = materialise(small.union(least.select("u", F.col("m").alias("v"))).distinct())
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v") % 1000003)).first()
-        if now == sign:
-            break
-        sign = now
+        edges = kept_tables.put(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        kept_tables.drop(large)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

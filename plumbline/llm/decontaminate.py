@@ -17,7 +17,7 @@ from ._common import fresh, kept
 #: Bytes of benchmark text that one pass holds in every worker.  A larger benchmark takes more passes over the documents.
 BLOCK_BYTES = 32 << 20
 #: Distinct words whose hashes a worker keeps.
-WORDS = 300_000
+WORDS = 150_000
 #: Bytes that are no part of a word, after lower-casing, become spaces.
 _SPACES = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)

@@ -17,7 +17,7 @@ from ._common import fresh, kept
 #: Pieces that one packing task takes together.  The waste of a group is a few open sequences, whatever its size.
 GROUP = 16384
 #: A Python worker keeps the token ids of the words it met among the last WORDS to 2 * WORDS new ones, if not told otherwise.
-WORDS = 500_000
+WORDS = 200_000
 #: Pieces that a worker holds before it passes them on.
 AT_ONCE = 1024
 #: Marks that end a word in prose.  A run of them after a letter is a token of its own for this kind of tokenizer, which
@@ -72,7 +72,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
         return pa.RecordBatch.from_arrays(columns, names=["k", "piece", "start", "length", "ids"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = kept(f"tokens {known_words} {tokenizer}", lambda: _tokeniser(tokenizer, known_words))
+        encode = kept("tokens", lambda: _tokeniser(tokenizer, known_words), (tokenizer, known_words))
         for batch in batches:
             rows = []
             for n, text in enumerate(batch.column("t")):

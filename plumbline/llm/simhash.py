@@ -11,11 +11,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, kept, materialise
+from ._common import Tables, components
 
 BITS = 64
-#: Fingerprints under one value that make a crowd, unless values are as large everywhere.
-CROWD = 32
 #: Words hashed at a time, which bounds a worker's memory for texts of any length.
 STRIDE = 1 << 16
 
@@ -25,12 +23,10 @@ def _tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def _fingerprint(text: str | None, words: int, distinct: bool = False) -> int:
+def _fingerprint(text: str | None, words: int) -> int:
     tokens = _tokens(text)
     if not tokens:
         return 0
-    if distinct:
-        tokens = list(set(tokens))
     n = max(1, len(tokens) - words + 1)
     counts = np.zeros(BITS, dtype=np.int64)
     digest = xxhash.xxh64_intdigest
@@ -42,27 +38,20 @@ def _fingerprint(text: str | None, words: int, distinct: bool = False) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def simhash(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distinct_words: bool = False, digest: bool = False) -> DataFrame:
-    """(id_col, fp long[, digest binary]): bit i is set if it is set in over half of the XXH64 hashes (seed 42) of the shingles.
+def simhash(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
+    """(id_col, fp long): bit i is set if it is set in over half of the XXH64 hashes (seed 42) of the shingles.
 
-    Shingles of `words` words count with repeats; with distinct_words the features are the text's distinct words.  A text
-    of fewer words is one shingle; null, empty and blank texts have fingerprint zero.  digest is 128 bits of the lower-cased
-    words, so it tells texts apart that differ in more than case and white space.  Repeated rows stay.
+    Shingles of `words` words count with repeats.  A text of fewer words is one shingle; null, empty and blank texts have
+    fingerprint zero.  Repeated rows stay.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept("nothing", dict)  # what other operators kept in this worker
         for batch in batches:
-            texts = batch.column("t")
-            fps = np.array([_fingerprint(t.as_py(), 1 if distinct_words else words, distinct_words) for t in texts], dtype=np.uint64).view(np.int64)
-            columns = {"k": batch.column("k"), "fp": pa.array(fps, pa.int64())}
-            if digest:
-                columns["digest"] = pa.array([xxhash.xxh3_128_digest(b" ".join(_tokens(t.as_py()))) for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+            fps = np.array([_fingerprint(t.as_py(), words) for t in batch.column("t")], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(fps, pa.int64())], names=["k", "fp"])
 
-    schema = f"k {kind}, fp long" + ", digest binary" * digest
-    return docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).mapInArrow(run, schema).withColumnRenamed("k", id_col)
+    return docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).mapInArrow(run, f"k {kind}, fp long").withColumnRenamed("k", id_col)
 
 
 def bit_groups(fps: DataFrame, parts: int) -> list[list[int]]:
@@ -156,11 +145,27 @@ def allocate(exact: np.ndarray, widths: list[int], density: list[float], radius:
     return taken, cost
 
 
-def links(fps: DataFrame, *, radius: int = 2, parts: int = 3, limit: int = 2 * (BITS + 1)) -> DataFrame:
+def best_parts(n: int, radius: int = 2) -> int:
+    """How many bit groups cost least for n distinct fingerprints whose values were spread evenly.
+
+    Few groups are wide, so that a value is shared by few, but need more probes; many groups need few probes, each of
+    which meets more.  The costs are those of `allocate`, with the same thresholds for all.
+    """
+
+    def cost(parts: int) -> float:
+        width = BITS // parts
+        _, c = allocate(np.full((1, parts), n / 2.0**width), [width] * parts, [n / 2.0**width] * parts, radius)
+        return float(c[0])
+
+    return min(range(2, radius + 2), key=cost)
+
+
+def links(fps: DataFrame, *, radius: int = 2, parts: int | None = None, limit: int = 2 * (BITS + 1)) -> DataFrame:
     """Links (a, b), a < b, whose closure joins all distinct fingerprints that differ in at most `radius` bits.
 
     fps: one row for each distinct fingerprint (fp long).  Every fingerprint is indexed by the value of each bit group;
-    it probes the groups within the thresholds that `allocate` gives it, and every fingerprint met is verified.
+    it probes the groups within the thresholds that `allocate` gives it, and every fingerprint met is verified.  The
+    number of groups follows the number of fingerprints (`best_parts`) if it is not given.
 
     A fingerprint whose probes would meet over `limit` others (near copies by the thousand share most bits in every
     group) takes the allocation with one partition of all 64 bits instead: it is listed under every value within
@@ -171,6 +176,7 @@ def links(fps: DataFrame, *, radius: int = 2, parts: int = 3, limit: int = 2 * (
     """
     if radius % 2:
         raise ValueError("the radius must be even")
+    parts, made = parts or best_parts(fps.count(), radius), Tables(fps.sparkSession)
     groups = bit_groups(fps, parts)
     widths = [len(g) for g in groups]
 
@@ -180,8 +186,8 @@ def links(fps: DataFrame, *, radius: int = 2, parts: int = 3, limit: int = 2 * (
             for i, g in enumerate(groups):
                 yield pd.DataFrame({"fp": batch["fp"], "part": np.int32(i), "value": _gather(fp, g)})
 
-    indexed = materialise(fps.mapInPandas(index, "fp long, part int, value long"))
-    sizes = materialise(indexed.groupBy("part", "value").agg(F.count("*").alias("n")))
+    indexed = made.put(fps.mapInPandas(index, "fp long, part int, value long"))
+    sizes = made.put(indexed.groupBy("part", "value").agg(F.count("*").alias("n")))
     square = F.sum(F.col("n").cast("double") * F.col("n")) / F.sum("n")
     shared = {r["part"]: r["x"] for r in sizes.groupBy("part").agg(square.alias("x")).collect()}  # one row a part
     density = [shared.get(i, 0.0) for i in range(parts)]
@@ -201,12 +207,12 @@ def links(fps: DataFrame, *, radius: int = 2, parts: int = 3, limit: int = 2 * (
                     values = _gather(fp[rows], groups[i])[:, None] ^ m[None, :]
                     yield pd.DataFrame({"fp": np.repeat(own[rows], len(m)), "part": np.int32(i), "value": values.ravel()})
 
-    probes = materialise(counted.mapInPandas(probe, "fp long, part int, value long"))
+    probes = made.put(counted.mapInPandas(probe, "fp long, part int, value long"))
     # what the probes really meet, for estimates may be wrong where a neighbouring value is crowded
     met = probes.where("part >= 0").join(sizes, ["part", "value"])
     crowded = met.groupBy("fp").agg(F.sum("n").alias("n")).where(F.col("n") > 2 * limit).select("fp")
-    listed = materialise(crowded.union(probes.where("part = -1").select("fp")).distinct())
-    light = materialise(met.join(listed, "fp", "left_anti").select("part", "value", F.col("fp").alias("q")))
+    listed = made.put(crowded.union(probes.where("part = -1").select("fp")).distinct())
+    light = made.put(met.join(listed, "fp", "left_anti").select("part", "value", F.col("fp").alias("q")))
     asked = light.select("part", "value").distinct()
     found = (
         light.join(indexed.join(asked, ["part", "value"], "left_semi"), ["part", "value"])
@@ -222,189 +228,23 @@ def links(fps: DataFrame, *, radius: int = 2, parts: int = 3, limit: int = 2 * (
 
     stars = listed.mapInPandas(around, "fp long, value long").groupBy("value").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
     stars = stars.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a < b")
-    return found.union(stars).distinct()
+    out = made.put(found.union(stars).distinct())
+    made.drop_all(out)
+    return out
 
 
-def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2, parts: int = 3) -> DataFrame:
+def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2, parts: int | None = None) -> DataFrame:
     """(id_col long, fp long, component_id long): documents linked through fingerprints at most `radius` bits apart.
 
     component_id is the smallest id reachable, the document's own included.  Equal fingerprints are one node, so copies
-    are never paired.  Blank documents share fingerprint zero and are linked like any other; ids must not be null;
-    repeated rows stay; an empty table gives no rows.
+    are never paired.  Blank documents share fingerprint zero and are linked like any other; rows without an id are linked
+    too, but give no component its name; repeated rows stay; an empty table gives no rows.
     """
-    fps = materialise(simhash(docs, id_col=id_col, text_col=text_col, words=words))
-    nodes = materialise(fps.groupBy("fp").agg(F.min(id_col).alias("first")))
+    made = Tables(docs.sparkSession)
+    fps = made.put(simhash(docs, id_col=id_col, text_col=text_col, words=words))
+    nodes = made.put(fps.groupBy("fp").agg(F.min(id_col).alias("first")))
     joined = components(links(nodes.select("fp"), radius=radius, parts=parts))
     least = nodes.join(joined, F.col("fp") == F.col("node")).groupBy("component").agg(F.min("first").alias("component_id"))
     named = joined.join(least, "component").select(F.col("node").alias("fp"), "component_id")
     whole = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     return fps.join(whole, "fp").select(id_col, "fp", "component_id")
-
-
-def _similar(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts' sets of word shingles have a Jaccard similarity of `least` or more."""
-
-    def shingles(text: str | None) -> set[int]:
-        t = _tokens(text)
-        return {hash(s) for s in zip(*(t[i:] for i in range(words)))} if len(t) > words else {hash(tuple(t))}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, set()
-        for batch in batches:
-            a, b, keep = batch.column("a").to_pylist(), batch.column("b").to_pylist(), []
-            for i, (x, y) in enumerate(zip(batch.column("__tb"), batch.column("__ta"))):
-                if b[i] != last:
-                    last, own = b[i], shingles(x.as_py())
-                other = shingles(y.as_py())
-                both = len(own & other)
-                if both >= least * (len(own) + len(other) - both):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
-
-    left, right = (texts.select(F.col("__id").alias(k), F.col("__t").alias("__t" + k)) for k in "ab")
-    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
-
-
-def _sketches(texts: DataFrame, words: int) -> DataFrame:
-    """(id, s0 .. s7): for each text the least of 128 hashes over its word shingles, four bits of each."""
-    rng = np.random.default_rng(7)
-    mul, add = rng.integers(1, 2**63, 128, dtype=np.uint64) | np.uint64(1), rng.integers(0, 2**63, 128, dtype=np.uint64)
-    shift = (4 * np.arange(16)).astype(np.uint64)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for text in batch["__t"]:
-                t, best = _tokens(text), np.full(128, np.iinfo(np.uint64).max)
-                n = max(1, len(t) - words + 1)
-                for at in range(0, n, 4096):
-                    h = np.array([xxhash.xxh3_64_intdigest(b" ".join(t[i : i + words])) for i in range(at, min(n, at + 4096))], dtype=np.uint64)
-                    with np.errstate(over="ignore"):
-                        best = np.minimum(best, ((h[:, None] ^ (h[:, None] >> np.uint64(31))) * mul + add).min(axis=0))
-                rows.append(((best >> np.uint64(40)) & np.uint64(15)).reshape(8, 16) @ (np.uint64(1) << shift))
-            yield pd.DataFrame(np.array(rows, dtype=np.uint64).reshape(-1, 8).view(np.int64), columns=[f"s{i}" for i in range(8)]).assign(id=batch["__id"].to_numpy())
-
-    return texts.mapInPandas(run, ", ".join(f"s{i} long" for i in range(8)) + ", id long")
-
-
-def _meet(keys: DataFrame, groups: list[list[int]], radius: int, least: float | None = None) -> DataFrame:
-    """Pairs (a, b), a > b, under one value whose whole fingerprints differ in at most `radius` bits, each pair once.
-
-    Of all the values that two fingerprints share only one counts: in the first bit group where they are close, a's own
-    value, or the one between if two bits differ.  With `least`, pairs must also share so many of 128 sketch places that
-    one in ten thousand of those with that similarity is missed; only crowds are asked for that.
-    """
-    renamed = {c: f"{c}_" for c in keys.columns if c not in ("part", "value")}
-    other = keys.select("part", "value", *[F.col(c).alias(n) for c, n in renamed.items()])
-    x, own = F.col("fp").bitwiseXOR(F.col("fp_")), F.col("own").bitwiseXOR(F.col("own_"))
-    mask = lambda g: sum(1 << b for b in g) - (1 << 64) * (63 in g)
-    first = None
-    for i, g in enumerate(groups):
-        near = F.bit_count(x.bitwiseAND(F.lit(mask(g)))) <= 2
-        first = F.when(near, i) if first is None else first.when(near, i)
-    place = F.when(F.bit_count(own) < 2, F.col("own")).otherwise(F.col("own").bitwiseXOR(own.bitwiseAND(F.negative(own))))
-    close = (F.col("id") > F.col("id_")) & (F.bit_count(x) <= radius) & (F.col("part") == first) & (F.col("value") == place)
-    if least is not None:
-        differ = F.lit(0)
-        for i in range(8):
-            y = F.col(f"s{i}").bitwiseXOR(F.col(f"s{i}_"))
-            y = y.bitwiseOR(F.shiftrightunsigned(y, 1)).bitwiseOR(F.shiftrightunsigned(y, 2)).bitwiseOR(F.shiftrightunsigned(y, 3))
-            differ = differ + F.bit_count(y.bitwiseAND(F.lit(0x1111111111111111)))
-        p = (1 - least) * 15 / 16
-        close = close & (differ <= int(128 * p + 3.7 * (128 * p * (1 - p)) ** 0.5))
-    return keys.join(other, ["part", "value"]).where(close).select(F.col("id").alias("a"), F.col("id_").alias("b"))
-
-
-def _texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, broadcast_ids: int) -> DataFrame:
-    """Checkpointed (__id, __t) of the given ids (distinct, materialised); the ids are broadcast up to that many of them."""
-    ids = ids.select(F.col("id").alias("__id"))
-    ids = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__t")).join(ids, "__id", "left_semi")
-    return materialise(rows.dropDuplicates(["__id"]))
-
-
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, radius: int = 8, parts: int = 3, rounds: int = 6, broadcast_ids: int = 1_000_000) -> DataFrame:
-    """(id_col long) of the documents that go, so that no two of those that stay are near copies.
-
-    Two texts are near copies if the SimHash fingerprints of their distinct words differ in at most `radius` bits and their
-    sets of `words`-word shingles have a Jaccard similarity of `least` or more.  Fingerprints only find candidates; every
-    document that goes has been compared, whole text by whole text, with one that stayed at that point.
-
-    1. Equal texts (but for case and white space): the smallest id stays.
-    2. Crowds of near copies: fingerprints within 2 bits are linked by `links`, which writes no pairs within a crowd; the
-       smallest id of each linked class is compared with the rest, then the smallest of those left, `rounds` times.
-    3. All that are left: each bit group is allotted the threshold (radius - parts + 1) / parts, and fingerprints are
-       listed under every value within half of it.  Values that crowds share are thinned as in 2: the smallest id is
-       compared with the rest, then the next one that is left, `rounds` times.
-    4. Two that still share a value are verified in the join itself, by the whole fingerprint, then by their texts; of
-       linked ones the smallest id stays.  Where a crowd is left, a sketch of the shingles is asked before the texts.
-    Null and blank texts are equal texts; ids must be distinct and not null; no rows give no rows.
-    """
-    if radius - parts + 1 != 2 * parts:
-        raise ValueError("radius - parts + 1 must be twice the parts: each group's threshold is two")
-    hashed = materialise(simhash(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")), id_col="id", text_col="t", distinct_words=True, digest=True))
-    nodes = materialise(hashed.groupBy("fp", "digest").agg(F.min("id").alias("id")).drop("digest"))
-    copies = hashed.select("id").join(nodes.select("id"), "id", "left_anti")
-
-    fps = materialise(nodes.select("fp").distinct())
-    near = components(links(fps, radius=2, parts=parts)).select(F.col("node").alias("fp"), "component")
-    classed = nodes.join(near, "fp", "left").select("id", F.coalesce("component", "fp").alias("c"))
-    crowd = classed.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").select("c")
-    active = materialise(classed.join(crowd, "c", "left_semi"))
-    texts = _texts_of(docs, active, id_col, text_col, broadcast_ids)
-    gone = None
-    for _ in range(rounds):
-        first = active.groupBy("c").agg(F.min("id").alias("b"), F.count("*").alias("n"))
-        pairs = active.join(first.where("n > 1"), "c").where("id <> b").select(F.col("id").alias("a"), "b")
-        found = materialise(_similar(pairs, texts, words, least).select(F.col("a").alias("id")))
-        gone = found if gone is None else gone.unionByName(found)
-        rest = active.join(first.select("c", F.col("b").alias("id")), ["c", "id"], "left_anti").join(found, "id", "left_anti")
-        active = materialise(rest.select("id", "c"))
-        if active.isEmpty():
-            break
-
-    left = materialise(nodes.join(gone, "id", "left_anti"))
-    groups = bit_groups(left.select("fp"), parts)
-    half = 1
-
-    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        masks = [_flips(len(g), half) for g in groups]
-        for batch in batches:
-            fp = batch["fp"].to_numpy()
-            for i, (g, m) in enumerate(zip(groups, masks)):
-                own = _gather(fp.view(np.uint64), g)
-                yield pd.DataFrame({"id": np.repeat(batch["id"].to_numpy(), len(m)), "fp": np.repeat(fp, len(m)), "part": np.int32(i), "value": (own[:, None] ^ m[None, :]).ravel(), "own": np.repeat(own, len(m))})
-
-    keys = left.select("id", "fp").mapInPandas(listed, "id long, fp long, part int, value long, own long")
-    sizes = materialise(keys.groupBy("part", "value").agg(F.count("*").alias("n")).where("n > 1"))
-    keys = materialise(keys.join(sizes.select("part", "value"), ["part", "value"], "left_semi"))
-    # crowds once more, now under the listed values: those far larger than the others
-    usual = sizes.agg(F.avg("n")).first()[0] or 0.0
-    crowded = sizes.where(F.col("n") > F.lit(max(CROWD, 8 * usual))).select("part", "value", F.lit(None).cast("long").alias("last"))
-    packed = materialise(keys.join(crowded.drop("last"), ["part", "value"], "left_semi"))
-    if not packed.isEmpty():
-        texts = _texts_of(docs, materialise(packed.select("id").distinct()), id_col, text_col, broadcast_ids)
-        lost = None
-        for _ in range(rounds):
-            turn = packed.join(crowded, ["part", "value"]).where("last IS NULL OR id > last").groupBy("part", "value").agg(F.min("id").alias("b"), F.min_by("fp", "id").alias("fb"))
-            turn = materialise(turn)
-            pairs = packed.join(turn, ["part", "value"]).where((F.col("id") > F.col("b")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fb"))) <= radius)).select(F.col("id").alias("a"), "b").distinct()
-            found = materialise(_similar(pairs, texts, words, least).select(F.col("a").alias("id")).distinct())
-            lost = found if lost is None else lost.unionByName(found)
-            packed = materialise(packed.join(found, "id", "left_anti"))
-            crowded = turn.select("part", "value", F.col("b").alias("last"))
-            if turn.isEmpty():
-                break
-        lost = materialise(lost)
-        gone = gone.unionByName(lost)
-        keys = keys.join(lost, "id", "left_anti")
-    crowds = packed.select("part", "value").distinct()
-    sketched = packed if packed.isEmpty() else packed.join(_sketches(texts, words), "id")
-    pairs = _meet(keys.join(crowds, ["part", "value"], "left_anti"), groups, radius)
-    if not packed.isEmpty():
-        pairs = pairs.unionByName(_meet(sketched, groups, radius, least))
-    pairs = materialise(pairs)
-    ends = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    linked = components(_similar(pairs, _texts_of(docs, ends, id_col, text_col, broadcast_ids), words, least))
-    last = linked.where("node <> component").select(F.col("node").alias("id"))
-    return copies.unionByName(gone).unionByName(last).select(F.col("id").alias(id_col))

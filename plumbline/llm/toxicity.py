@@ -20,7 +20,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that count as features beside whole words.
 STEMS = (4, 5, 6)
 #: Distinct words whose features a worker keeps.
-KNOWN = 400_000
+KNOWN = 200_000
 
 
 def word_features(word: str) -> tuple[str, ...]:
@@ -106,7 +106,7 @@ def _counts(texts: DataFrame, text_col: str, index: dict[str, int] | None) -> Da
                     total.update({f for w in set(_WORD.findall((text.as_py() or "").lower())) for f in word_features(w)})
                 yield out(pa.array(list(total), pa.string()), list(total.values()))
         else:
-            known, total = kept(f"features {token}", lambda: _Known(shared.value)), np.zeros(len(shared.value), dtype=np.int64)
+            known, total = kept("features", lambda: _Known(shared.value), token), np.zeros(len(shared.value), dtype=np.int64)
             for batch in batches:
                 for text in batch.column(0):
                     total[features(text.as_py(), known)] += 1
@@ -178,7 +178,7 @@ def score(docs: DataFrame, model: Model | None, *, text_col: str = "text", keep:
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + f", `{name}` double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = kept(f"features {shared.value.token}", lambda: _Known(shared.value.index))
+        known = kept("features", lambda: _Known(shared.value.index), shared.value.token)
         for batch in batches:
             scores = shared.value.score([features(t.as_py(), known) for t in batch.column(text_col)])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores, pa.float64())], names=[*keep, name])
