@@ -43,9 +43,9 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies (five-word shingles, similarity 0.8 or more) one document stays."""
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) one document stays."""
     bound_batches(spark)
-    gone = near_copies.near_copies(docs)
+    gone = near_copies.near_duplicates(docs)
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
