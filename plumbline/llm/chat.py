@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import fresh
+
 #: How a turn is rendered: its role between the first two marks, then its text, then the last.
 OPEN, AFTER_ROLE, CLOSE = "<|", "|>\n", "\n<|end|>\n"
 
@@ -40,7 +42,7 @@ def _spans(turns: Column, role: str) -> Column:
 
 
 def preference(pairs: DataFrame, turns: DataFrame, *, chosen_col: str = "chosen_id", rejected_col: str = "rejected_id", id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", role: str = "assistant") -> DataFrame:
-    """pairs with n_common, prompt, chosen, rejected, chosen_spans, rejected_spans.
+    """pairs with n_common, prompt, chosen, rejected, chosen_spans, rejected_spans; a name that pairs has gets an underscore.
 
     n_common is the length of the longest common prefix of both conversations' turns (equal role and text).  It is
     rendered once, as the prompt; what follows on either side is a completion.  The spans mask a completion: the ranges,
@@ -52,16 +54,20 @@ def preference(pairs: DataFrame, turns: DataFrame, *, chosen_col: str = "chosen_
     """
     whole = conversations(turns, id_col=id_col, turn_col=turn_col, role_col=role_col, text_col=text_col)
     side = lambda name, key: whole.select(F.col(id_col).alias(key), F.col("turns").alias(name))
-    both = pairs.join(side("__c", "__ci"), F.col(chosen_col) == F.col("__ci"), "left").drop("__ci").join(side("__r", "__ri"), F.col(rejected_col) == F.col("__ri"), "left").drop("__ri")
-    return _formatted(both, list(pairs.columns), role)
+    c, ci, r, ri = fresh(pairs, "__c", "__ci", "__r", "__ri")
+    both = pairs.join(side(c, ci), F.col(chosen_col) == F.col(ci), "left").drop(ci).join(side(r, ri), F.col(rejected_col) == F.col(ri), "left").drop(ri)
+    return _formatted(both, pairs, c, r, role)
 
 
-def _formatted(both: DataFrame, keep: list[str], role: str) -> DataFrame:
+def _formatted(both: DataFrame, pairs: DataFrame, c: str, r: str, role: str) -> DataFrame:
     none = F.array().cast("array<struct<role:string,text:string>>")
-    both = both.withColumn("__c", F.coalesce("__c", none)).withColumn("__r", F.coalesce("__r", none))
-    shortest = F.least(F.size("__c"), F.size("__r"))
-    differs = F.filter(F.sequence(F.lit(0), shortest), lambda i: (i == shortest) | ~F.get("__c", i).eqNullSafe(F.get("__r", i)))
-    both = both.withColumn("n_common", F.array_min(differs))
-    rest = lambda name: F.slice(name, F.col("n_common") + 1, F.greatest(F.size(name) - F.col("n_common"), F.lit(0)))
-    both = both.withColumn("__p", F.slice("__c", F.lit(1), F.col("n_common"))).withColumn("__c", rest("__c")).withColumn("__r", rest("__r"))
-    return both.select(*keep, F.col("n_common").cast("long").alias("n_common"), _render(F.col("__p")).alias("prompt"), _render(F.col("__c")).alias("chosen"), _render(F.col("__r")).alias("rejected"), _spans(F.col("__c"), role).alias("chosen_spans"), _spans(F.col("__r"), role).alias("rejected_spans"))
+    both = both.withColumn(c, F.coalesce(c, none)).withColumn(r, F.coalesce(r, none))
+    n, p, one, two = fresh(both, "__n", "__p", "__one", "__two")
+    shortest = F.least(F.size(c), F.size(r))
+    differs = F.filter(F.sequence(F.lit(0), shortest), lambda i: (i == shortest) | ~F.get(c, i).eqNullSafe(F.get(r, i)))
+    both = both.withColumn(n, F.array_min(differs))
+    rest = lambda name: F.slice(name, F.col(n) + 1, F.greatest(F.size(name) - F.col(n), F.lit(0)))
+    both = both.withColumn(p, F.slice(c, F.lit(1), F.col(n))).withColumn(one, rest(c)).withColumn(two, rest(r))
+    made = [F.col(n).cast("long"), _render(F.col(p)), _render(F.col(one)), _render(F.col(two)), _spans(F.col(one), role), _spans(F.col(two), role)]
+    names = fresh(pairs, "n_common", "prompt", "chosen", "rejected", "chosen_spans", "rejected_spans")
+    return both.select(*pairs.columns, *[x.alias(name) for x, name in zip(made, names)])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -135,8 +136,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     each span - k + 1 neighbouring ones, so two texts that share `span` words share a fingerprint; the fingerprints are
     joined and each hit is extended over all equal words around it, which also tells chance hits.
 
-    The benchmark is held in every worker, in blocks of at most about `block_bytes` of text (an item is never split);
-    documents pass through once for each block and are not shuffled.  Null or empty texts have no words; items without
+    The benchmark is held in every worker, in blocks of at most about `block_bytes` of text (an item is never split), which
+    also bounds what passes through the driver at once; documents pass through once for each block and are not shuffled.  Null or empty texts have no words; items without
     words match nothing; repeated items count as often as they have distinct ids; an empty benchmark hits nothing.
     Names of new columns that docs already has get an underscore.
     """
@@ -145,15 +146,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     blocks = max(1, math.ceil(size / block_bytes))
     new = fresh(docs, "n_words", "n_hit", "hit_bits", "item_ids")
     item_type = benchmark.schema[item_col].dataType.simpleString()
-    out = docs
+    out, run = docs, uuid.uuid4().hex
     for number in range(blocks):
         mine = benchmark.where(F.pmod(F.xxhash64(item_col), F.lit(blocks)) == number) if blocks > 1 else benchmark
         shared = spark.sparkContext.broadcast([(r[0], r[1]) for r in mine.select(item_col, item_text_col).distinct().collect()])
         passed = docs.columns if number + 1 < blocks else keep
         schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in passed) + f", `{new[0]}` long, `{new[1]}` long, `{new[2]}` binary, `{new[3]}` array<{item_type}>"
 
-        def mark(batches: Iterator[pa.RecordBatch], shared=shared, passed=passed, number=number) -> Iterator[pa.RecordBatch]:
-            block = _Block(shared.value, span, k)
+        def mark(batches: Iterator[pa.RecordBatch], shared=shared, passed=passed, number=number, token=f"{run} {number}") -> Iterator[pa.RecordBatch]:
+            block = kept("benchmark", lambda: _Block(shared.value, span, k), token)  # built once a worker
             for batch in batches:
                 made = [[], [], [], []]
                 before = zip(*(batch.column(c).to_pylist() for c in new[2:])) if number else ((None, ()) for _ in range(batch.num_rows))

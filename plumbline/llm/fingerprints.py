@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 from ._common import fresh, partitions
 
 #: Slots of a signature are computed in rows of WIDTH, which keeps generated code small enough to be compiled well.
-SLOTS, WIDTH = 48, 16
+SLOTS, WIDTH = 64, 16
 #: Hex digits that a slot's sample takes in a fingerprint.
 DIGITS = 6
 #: A sample is missed once in e^SURE; a text's slot without any is zero, so equal texts still agree.
@@ -91,6 +91,17 @@ def likeness(a: Column, b: Column) -> Column:
     return F.size(F.filter(at, lambda i: F.substr(a, i, F.lit(DIGITS)) == F.substr(b, i, F.lit(DIGITS)))).cast("double") / SLOTS
 
 
+def _below(cuts: list, x: Column) -> Column:
+    """How many of the sorted cuts are below x: a search through blocks of them, then through one block."""
+    if not cuts:
+        return F.lit(0)
+    size = max(1, int(len(cuts) ** 0.5))
+    blocks = [cuts[i : i + size] for i in range(0, len(cuts), size)]
+    before = F.size(F.filter(F.array(*[F.lit(b[-1]) for b in blocks]), lambda c: c < x))  # blocks wholly below
+    block = F.get(F.array(*[F.array(*map(F.lit, b)) for b in blocks]), F.least(before, F.lit(len(blocks) - 1)))
+    return F.least(before, F.lit(len(blocks) - 1)) * size + F.size(F.filter(block, lambda c: c < x))
+
+
 def with_next(df: DataFrame, id_col: str, *, spread: int = 4) -> tuple[DataFrame, str, str, Window]:
     """df dealt into runs of ids, for windows that reach each row's successor in descending order of the id.
 
@@ -102,14 +113,15 @@ def with_next(df: DataFrame, id_col: str, *, spread: int = 4) -> tuple[DataFrame
     n = partitions(df.sparkSession) * spread
     cuts = df.agg(F.percentile_approx(id_col, [i / n for i in range(1, n)], 10_000)).first()[0] or []
     cuts = sorted(set(cuts))
-    number = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(id_col))) if cuts else F.lit(0)
-    df = df.withColumn(run, number)
-    tops = sorted((r[0], r[1]) for r in df.groupBy(run).agg(F.max(id_col)).collect())  # one row a run
-    pairs = [F.lit(x) for (_, top), (after, _) in zip(tops, tops[1:] + tops[:1]) for x in (top, after)]
-    target = F.try_element_at(F.create_map(*pairs), F.col(id_col)) if pairs else F.lit(None).cast("int")
+    df = df.withColumn(run, _below(cuts, F.coalesce(F.col(id_col), F.lit(min(cuts, default=0)))))
+    # one row a run: its last id, and the run where that row is copied to
+    (top, target) = fresh(df, "__top", "__target")
+    order = Window.orderBy(run)
+    tops = df.groupBy(run).agg(F.max(id_col).alias(top)).select(top, F.coalesce(F.lead(run).over(order), F.first(run).over(order)).alias(target))
+    df = df.join(F.broadcast(tops), F.col(id_col).eqNullSafe(F.col(top)), "left")  # n rows at most
     own = F.struct(F.col(run).alias("r"), F.lit(0).alias("c"))
-    places = F.when(target.isNotNull(), F.array(own, F.struct(target.alias("r"), F.lit(1).alias("c")))).otherwise(F.array(own))
-    columns = [c for c in df.columns if c != run]
+    places = F.when(F.col(target).isNotNull(), F.array(own, F.struct(F.col(target).alias("r"), F.lit(1).alias("c")))).otherwise(F.array(own))
+    columns = [c for c in df.columns if c not in (run, top, target)]
     df = df.select(*columns, F.explode(places).alias("__place")).select("*", F.col("__place.r").alias(run), F.col("__place.c").alias(copy)).drop("__place")
     return df, run, copy, Window.partitionBy(run).orderBy(copy, F.desc(id_col))
 
@@ -120,7 +132,7 @@ def edited_likeness(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Edited: the last floor(n_chars / 2) code points give way to as many first ones, or all, of the next document in
     descending order of the id (after the last: the first).  A null text counts as empty; texts without words have the
     fingerprint of zeros and are like each other; the text of a repeated id follows its like in an order by hash; a single
-    document is its own successor; no rows give no rows.  One shuffle moves the texts; all else happens in its partitions.
+    document is its own successor; rows without an id come after all others; no rows give no rows.  One shuffle moves the texts; all else happens in its partitions.
     """
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     dealt, run, copy, _ = with_next(base, "id")

@@ -143,7 +143,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs that are near copies; only texts of pairs are shuffled, each time read from `docs`."""
         ends = made.put(pairs.select(F.col("a").alias("__id")).union(pairs.select("b")).distinct())
-        out = made.put(_similar(pairs, texts.join(few(ends), "__id", "left_semi").dropDuplicates(["__id"]), words, least))
+        own = texts.join(few(ends), "__id", "left_semi")
+        out = made.put(_similar(pairs, own.dropDuplicates(["__id"]) if repeated else own, words, least))
         made.drop(ends)
         return out
 
@@ -154,7 +155,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     hashed = made.put(_features(texts, words, least, _usual(texts, words, sample, usual)))
     nodes = made.put(hashed.groupBy("digest").agg(F.min("id").alias("id")).select("id").distinct())
     copies = made.put(hashed.select("id").distinct().join(few(nodes), "id", "left_anti"))
-    unique = hashed.join(few(copies), "id", "left_anti").dropDuplicates(["id"])
+    repeated = hashed.count() > hashed.select("id").distinct().count()
+    unique = hashed.join(few(copies), "id", "left_anti")
+    unique = made.put(unique.dropDuplicates(["id"])) if repeated else unique
 
     # SimHash
     prints = made.put(unique.select("id", "fp"))

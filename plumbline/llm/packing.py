@@ -7,7 +7,6 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,12 +27,19 @@ MARKS = ".,;:!?%*$#&|"
 def _tokeniser(path: str, words: int = WORDS):
     """text -> ids as little-endian uint32 bytes.
 
-    White space always ends a token here, so a text is encoded word by word and each word's bytes are kept.  Only
-    plain spaces and line breaks part words; other white space stays inside and is left to the tokenizer.
+    Where white space always ends a token, a text is encoded word by word and each word's bytes are kept.  Only
+    plain spaces and line breaks part words; other white space stays inside and is left to the tokenizer.  Where a tokenizer
+    also lower-cases and takes a run of marks for a token, words are parted further.  Which of this holds is tried out on
+    loading; a tokenizer without these traits encodes whole texts.
     """
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path)
+    plain = lambda text: array("I", model.encode(text, add_special_tokens=False).ids).tobytes()
+    tried = ["Some words", "of", "THE text,", "(1999)", "a.b", "don't", "x", "Été", "end."]
+    if any(plain(a + gap + b) != plain(a) + plain(b) for gap in " \n" for a in tried for b in tried):
+        return plain
+    parted = all(plain(w.upper() + m) == plain(w) + plain(m) for w in ("word", "a", "consequences") for m in (*MARKS, "...", "?!", ".,"))
 
     class Known(dict):
         older: dict[str, bytes] = {}
@@ -41,11 +47,11 @@ def _tokeniser(path: str, words: int = WORDS):
         def __missing__(self, word: str) -> bytes:
             if (ids := self.older.get(word)) is None:
                 core = word.rstrip(MARKS)
-                if core[-1:].isalpha() and len(core[-1].lower()) == 1 and "<|" not in word and (len(core) < len(word) or word.isascii() and not word.islower()):
+                if parted and core[-1:].isalpha() and len(core[-1].lower()) == 1 and "<|" not in word and (len(core) < len(word) or word.isascii() and not word.islower()):
                     # letters, then one run of marks: two tokens' worth, in whatever case
                     ids = self[core.lower() if core.isascii() else core] + self[word[len(core) :]]
                 else:
-                    ids = array("I", model.encode(word, add_special_tokens=False).ids).tobytes()
+                    ids = plain(word)
             if len(self) >= words:
                 self.older = dict(self)
                 self.clear()
@@ -138,13 +144,13 @@ def pack(parts: DataFrame, *, keep: list[str], length_col: str = "length", order
     dealt = checked.withColumn(g, F.pmod(F.xxhash64(*order), F.lit(groups)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema) + f", `{b}` long, `{o}` long"
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([length_col, *order], ascending=[False] + [True] * len(order), kind="stable", ignore_index=True)
-        lengths = pdf[length_col].to_numpy()
+    def place(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(length_col, "descending"), *((c, "ascending") for c in order)])
+        lengths = rows.column(length_col).to_numpy()
         full = int((lengths == capacity).sum())
         where, offset = sum_of_squares(lengths[full:], capacity)
-        pdf[b], pdf[o] = np.append(np.arange(full), where + full), np.append(np.zeros(full, dtype=np.int64), offset)
-        return pdf
+        bins = np.append(np.arange(full, dtype=np.int64), where + full)
+        return rows.append_column(b, pa.array(bins)).append_column(o, pa.array(np.append(np.zeros(full, dtype=np.int64), offset)))
 
-    packed = dealt.groupBy(g).applyInPandas(place, schema)
+    packed = dealt.groupBy(g).applyInArrow(place, schema)
     return packed.select(*keep, length_col, (F.col(b) * F.lit(groups) + F.col(g)).alias("sequence_id"), F.col(o).alias("offset"))

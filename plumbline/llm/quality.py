@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fresh
+from ._common import Tables, fresh
 
 _UPPER, _DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
 _SYMBOLS = b"#$%&*+/<=>@[\\]^_`{|}~"
@@ -69,8 +69,11 @@ def fit(x: np.ndarray, y: np.ndarray, *, bins: int = 16, epochs: int = 400, rate
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = 20_000) -> Classifier | None:
-    """Fit on at most `max_labelled` labelled documents, by least hash of the id; None without labels of both kinds."""
-    known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).dropDuplicates(["__id"])
+    """Fit on at most `max_labelled` labelled documents, by least hash of the id; None without labels of both kinds.
+
+    Null labels are missing; of labels that contradict each other the lower one counts.
+    """
+    known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).groupBy("__id").agg(F.min("__y").alias("__y"))
     chosen = known.orderBy(F.xxhash64("__id"), "__id").limit(max_labelled)
     sample = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "__id")
 
@@ -86,7 +89,10 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
 
 def evidence(docs: DataFrame, model: Classifier | None, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The `keep` columns of docs (all by default) and `evidence` double: log p(text | good) / p(text | bad), 0 without a model."""
+    """The `keep` columns of docs (all by default) and `evidence` double: log p(text | good) / p(text | bad), 0 without a model.
+
+    Null and empty texts are measured as zeros; repeated rows stay; a clashing name gets an underscore.
+    """
     keep = keep or docs.columns
     (name,) = fresh(docs, "evidence")
     if model is None:
@@ -126,24 +132,24 @@ def posteriors(scored: DataFrame, *, host_col: str, path_col: str, base: float,
     sites; a document's own chance is left out of its path's and host's sums.  Sums are grouped with partial
     aggregation, so a host may hold any share of the rows; the site table joins back by broadcast up to
     `broadcast_rows` sites, else by a join that AQE splits where one site is large.  Null hosts and paths are sites of
-    their own; a site with one document has its parent's mean; no rows give no rows.
+    their own; null evidence counts as none; a site with one document has its parent's mean; repeated rows are documents
+    each; no rows give no rows; names that scored has get an underscore.
     """
-    new = fresh(scored, "site_mean", "posterior")
+    mean_col, out_col, p, h, q, n, total_p, hn, hs = fresh(scored, "site_mean", "posterior", "p", "h", "q", "n", "s", "hn", "hs")
     logit0 = float(np.log(base / (1 - base)))
-    chance = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col(evidence_col) + logit0))))
-    rows = scored.withColumn("__p", chance)
-    paths = rows.groupBy(F.col(host_col).alias("__h"), F.col(path_col).alias("__q")).agg(F.count("*").alias("__n"), F.sum("__p").alias("__s")).persist()
-    hosts = paths.groupBy("__h").agg(F.sum("__n").alias("__hn"), F.sum("__s").alias("__hs"))
-    total = hosts.agg(F.sum("__hs"), F.sum("__hn"), F.count("*")).first()
+    bounded = lambda x: F.greatest(F.lit(-30.0), F.least(F.lit(30.0), x))
+    rows = scored.withColumn(p, 1 / (1 + F.exp(-bounded(F.coalesce(F.col(evidence_col), F.lit(0.0)) + logit0))))
+    paths = Tables(scored.sparkSession).put(rows.groupBy(F.col(host_col).alias(h), F.col(path_col).alias(q)).agg(F.count("*").alias(n), F.sum(p).alias(total_p)))
+    hosts = paths.groupBy(h).agg(F.sum(n).alias(hn), F.sum(total_p).alias(hs))
+    total = hosts.agg(F.sum(hs), F.sum(hn), F.count("*")).first()
     mu = float(np.clip(total[0] / total[1], 1e-6, 1 - 1e-6)) if total[1] else base
-    k1 = _strength(hosts, F.lit(mu), "__hs", "__hn")
-    sites = paths.join(hosts, paths["__h"].eqNullSafe(hosts["__h"])).drop(hosts["__h"])
-    k2 = _strength(sites.withColumn("__m", (k1 * mu + F.col("__hs")) / (k1 + F.col("__hn"))), "__m", "__s", "__n")
-    n_sites = sites.count()
-    sites = F.broadcast(sites) if n_sites <= broadcast_rows else sites
-    joined = rows.join(sites, F.col(host_col).eqNullSafe(F.col("__h")) & F.col(path_col).eqNullSafe(F.col("__q")))
-    host = (k1 * mu + F.col("__hs") - F.col("__p")) / (k1 + F.col("__hn") - 1)
-    site = (k2 * host + F.col("__s") - F.col("__p")) / (k2 + F.col("__n") - 1)
-    odds = F.col(evidence_col) + F.log(F.col(new[0]) / (1 - F.col(new[0])))
-    out = joined.withColumn(new[0], F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), site)))
-    return out.withColumn(new[1], 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), odds))))).select(*scored.columns, *new)
+    k1 = _strength(hosts, F.lit(mu), hs, hn)
+    sites = paths.join(hosts, paths[h].eqNullSafe(hosts[h])).drop(hosts[h])
+    k2 = _strength(sites.withColumn("m", (k1 * mu + F.col(hs)) / (k1 + F.col(hn))), "m", total_p, n)
+    sites = F.broadcast(sites) if paths.count() <= broadcast_rows else sites
+    joined = rows.join(sites, F.col(host_col).eqNullSafe(F.col(h)) & F.col(path_col).eqNullSafe(F.col(q)))
+    host = (k1 * mu + F.col(hs) - F.col(p)) / (k1 + F.col(hn) - 1)
+    site = (k2 * host + F.col(total_p) - F.col(p)) / (k2 + F.col(n) - 1)
+    out = joined.withColumn(mean_col, F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), site)))
+    odds = F.coalesce(F.col(evidence_col), F.lit(0.0)) + F.log(F.col(mean_col) / (1 - F.col(mean_col)))
+    return out.withColumn(out_col, 1 / (1 + F.exp(-bounded(odds)))).select(*scored.columns, mean_col, out_col)

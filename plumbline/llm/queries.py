@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, fingerprints, licences, line_dedup, packing, quality, simhash, site_style, toxicity
-from ._common import table
+from ._common import Tables, table
 from .oracle import ORACLE  # noqa: F401
 
 
@@ -34,7 +34,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host: the document's source; path: its language there."""
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    scored = quality.evidence(docs.select("doc_id", "text", "source", "lang"), model, keep=["doc_id", "source", "lang"])
+    scored = Tables(spark).put(quality.evidence(docs.select("doc_id", "text", "source", "lang"), model, keep=["doc_id", "source", "lang"]))
     out = quality.posteriors(scored, host_col="source", path_col="lang", base=model.base if model else 0.5)
     return out.select("doc_id", "evidence", "site_mean", F.col("posterior").alias("score"), (F.col("posterior") >= 0.5).alias("keep"))
 
@@ -62,10 +62,9 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    parts = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
-    parts = parts.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return packing.pack(parts, keep=["doc_id", "piece", "start", "ids_crc32"], order=["doc_id", "piece"], rows=docs.count())
+    parts = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    parts = Tables(spark).put(parts.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))  # tokenised once
+    return packing.pack(parts, keep=["doc_id", "piece", "start", "ids_crc32"], order=["doc_id", "piece"])
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ KNOWN = 200_000
 
 
 def word_features(word: str) -> tuple[str, ...]:
-    return (word[:24], *(word[:n] + "*" for n in STEMS if len(word) >= n))
+    return (word, *(word[:n] + "*" for n in STEMS if len(word) >= n))
 
 
 class _Known(dict):
@@ -116,12 +116,12 @@ def _counts(texts: DataFrame, text_col: str, index: dict[str, int] | None) -> Da
     return texts.select(F.col(text_col).alias("t")).mapInArrow(run, f"{field}, n long").groupBy("f").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = 10_000, max_features: int = 50_000, min_positives: int = 2, min_z: float = 4.0) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", prior: float | None = None, max_labelled: int = 10_000, max_features: int = 50_000, min_positives: int = 2, min_z: float = 4.0) -> Model | None:
     """Fit on confirmed toxic documents and unlabelled ones; None if no labelled document is toxic.
 
     Of the labels given (hold rows out before), at most `max_labelled` toxic ones and at most `max_labelled` of any label
-    are taken, by least hash of the id; the latter's labels are used for nothing but the class prior, and their texts
-    are the unlabelled side.  Candidate features (words, word beginnings) are those of at least `min_positives` of
+    are taken, by least hash of the id; the latter's labels are used for nothing but the class prior (unless that is given),
+    and their texts are the unlabelled side.  Candidate features (words, word beginnings) are those of at least `min_positives` of
     the toxic texts, at most `max_features` (the most frequent); over all documents it is counted how many have each, and a
     feature stays if it is in over `min_z` standard deviations more toxic texts than their share of the corpus
     explains.  Both bounds are the operator's parameters; nothing else is sampled.  Null labels count as missing.
@@ -131,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     prior_row = known.agg(F.avg("__y"), F.count("*")).first()
     if not prior_row[1] or not prior_row[0]:
         return None
-    prior = min(float(prior_row[0]), 0.95)
+    prior = min(float(prior_row[0]), 0.95) if prior is None else prior
     order = F.xxhash64("__id")
     toxic = known.where("__y = 1").orderBy(order, "__id").limit(max_labelled)
     mixed = known.orderBy(order, "__id").limit(max_labelled)

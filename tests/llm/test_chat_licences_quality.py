@@ -54,6 +54,10 @@ def test_preference_equals_brute_force(spark):
 def test_preference_nulls_and_empty(spark):
     turns = spark.createDataFrame([(0, 0, None, None), (1, 0, "", ""), (1, 1, "assistant", None)], "conv_id long, turn long, role string, text string")
     pairs = spark.createDataFrame([(0, 1)], "chosen_id long, rejected_id long")
+    named = chat.preference(pairs.selectExpr("*", "7 AS prompt", "8 AS __c", "9 AS N_common"), turns)
+    assert named.columns == ["chosen_id", "rejected_id", "prompt", "__c", "N_common", "n_common_", "prompt_", "chosen", "rejected", "chosen_spans", "rejected_spans"]
+    r = named.first()
+    assert (r["prompt"], r["__c"], r["N_common"], r["n_common_"], r["chosen"]) == (7, 8, 9, 1, "")
     r = chat.preference(pairs, turns).first()
     assert (r["n_common"], r["chosen"], r["rejected"]) == (1, "", "<|assistant|>\n\n<|end|>\n")
     assert chat.preference(pairs.limit(0), turns).count() == 0
@@ -110,6 +114,55 @@ def test_scan_empty(spark):
 # ---- 5: quality
 
 
+def slow_posteriors(rows, base):
+    """(id: (site mean, posterior)) by the formulas, one document after another."""
+    from collections import defaultdict
+
+    p = {i: 1 / (1 + np.exp(-np.clip(e + np.log(base / (1 - base)), -30, 30))) for i, _, _, e in rows}
+    host, site = defaultdict(list), defaultdict(list)
+    for i, h, q, _ in rows:
+        host[h].append(p[i])
+        site[h, q].append(p[i])
+    mu = sum(p.values()) / len(p)
+
+    def strength(groups, mean):
+        n, m, c = (np.array(x, dtype=float) for x in zip(*[(len(v), np.mean(v), mean(k)) for k, v in groups.items()]))
+        between = max(((n * (m - c) ** 2).sum() - (c * (1 - c)).sum()) / n.sum(), 1e-9)
+        return float(np.clip((n * c * (1 - c)).sum() / n.sum() / between - 1, 1, 1000))
+
+    k1 = strength(host, lambda _: mu)
+    k2 = strength(site, lambda k: (k1 * mu + sum(host[k[0]])) / (k1 + len(host[k[0]])))
+    out = {}
+    for i, h, q, e in rows:
+        up = (k1 * mu + sum(host[h]) - p[i]) / (k1 + len(host[h]) - 1)
+        m = (k2 * up + sum(site[h, q]) - p[i]) / (k2 + len(site[h, q]) - 1)
+        out[i] = (m, 1 / (1 + np.exp(-(e + np.log(m / (1 - m))))))
+    return out
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 1000])
+def test_posteriors_equal_brute_force(spark, broadcast_rows):
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["a", "b", "c", None]), rng.choice(["x", "y", None]), rng.gauss(rng.choice((-1, 1)), 1)) for i in range(300)] + [(300, "alone", "z", 0.3)]
+    df = spark.createDataFrame(rows, "id long, h string, q string, evidence double").selectExpr("*", "1 AS p", "2 AS n", "3 AS Site_Mean")
+    out = quality.posteriors(df, host_col="h", path_col="q", base=0.4, broadcast_rows=broadcast_rows)
+    assert out.columns == ["id", "h", "q", "evidence", "p", "n", "Site_Mean", "site_mean_", "posterior"]
+    want = slow_posteriors(rows, 0.4)
+    for r in out.collect():
+        assert np.allclose((r["site_mean_"], r["posterior"]), want[r["id"]])
+
+
+def test_quality_on_held_out_labels(spark):
+    """Trained on four fifths of the labels, held against the rest."""
+    docs = spark.read.parquet(f"{SF2}/documents.parquet").select("doc_id", "text", "source", "lang")
+    labels = spark.read.parquet(f"{SF2}/labels.parquet")
+    model = quality.train(docs, labels.where("crc32(CAST(doc_id AS STRING)) % 5 <> 0"))
+    scored = quality.evidence(docs, model, keep=["doc_id", "source", "lang"])
+    out = {r["doc_id"]: r["posterior"] >= 0.5 for r in quality.posteriors(scored, host_col="source", path_col="lang", base=model.base).collect()}
+    held = {r["doc_id"]: r["quality"] == 1 for r in labels.where("crc32(CAST(doc_id AS STRING)) % 5 = 0").collect()}
+    assert len(held) > 50 and np.mean([out[d] == v for d, v in held.items()]) >= 0.95
+
+
 def test_quality_query_separates_labels(spark):
     out = {r["doc_id"]: r["keep"] for r in q.op5_quality(spark, SF2).collect()}
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF2}/labels.parquet").collect()}

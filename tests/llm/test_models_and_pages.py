@@ -41,14 +41,34 @@ def test_main_text_prunes_what_is_named(spark):
     assert out == {1: "Title & so on\nFirst para more <b> é 3 < 4\nSecond link text\none\ntwo\na b\nc", 2: "H\nA"}
 
 
-def test_style_tree_decides_where_pages_say_nothing(spark):
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_style_tree_decides_where_pages_say_nothing(spark, few):
     page = "<body><div class=top>Our firm since 1900</div><div class=x><p>{0} is here</p><p>and {0} there</p></div><div class=bot><b>Call us</b></div>"
     rows = [(i, f"https://u@site.example:80/{i}?q=//", page.format(f"word{i}")) for i in range(6)]
     rows += [(10 + i, "http://copies.example", "<p>same text</p>") for i in range(6)]  # nothing but copies: kept
-    out = texts(site_style.main_text(pages(spark, rows), broadcast_rows=0))
+    out = texts(site_style.main_text(pages(spark, rows), broadcast_rows=few))
     assert out == {i: f"word{i} is here\nand word{i} there" for i in range(6)} | {10 + i: "same text" for i in range(6)}
-    tree = {r["path"]: r["importance"] for r in site_style.style_tree(pages(spark, rows)).where("host like 'site%'").collect()}
-    assert tree["body>div.top"] < 0.2 < 0.8 < tree["body>div.x>p"]
+    tree = {r["key"]: r["importance"] for r in site_style.style_tree(pages(spark, rows)).where("host like 'site%'").collect()}
+    assert tree[site_style._key("body>div.top")] < 0.2 < 0.8 < tree[site_style._key("body>div.x>p")]
+
+
+def test_style_tree_decides_inside_marked_roots(spark):
+    """What every page of a host repeats goes from inside its article: a branch of its own, and a leaf beside real text."""
+    page = "<article><h1>Title {0}</h1><div class=box><p>Read our other stories</p></div><p>Only {0} says this</p><p>Sign up now</p><p>and {0} that</p></article>"
+    rows = [(i, "http://news.example/", page.format(f"word{i}")) for i in range(12)]
+    rows += [(20 + i, "http://once.example/", page.format("same")) for i in range(12)]  # one page, twelve times: one page
+    rows += [(40 + i, f"http://h{i}.example/", page.format("x")) for i in range(3)]  # alone on its host
+    whole = lambda w: f"Title {w}\nRead our other stories\nOnly {w} says this\nSign up now\nand {w} that"
+    want = {i: f"Title word{i}\nOnly word{i} says this\nand word{i} that" for i in range(12)}
+    assert texts(site_style.main_text(pages(spark, rows))) == want | {20 + i: whole("same") for i in range(12)} | {40 + i: whole("x") for i in range(3)}
+
+
+def test_root_is_chosen_by_its_text(spark):
+    card = "<main><p>A long text that stands in the main element, word after word, and goes on.</p><article><p>A card</p></article></main>"
+    named = '<div class="layout has-sidebar"><div class="no-comments"><p>Text one</p></div></div><div class="sidebar-wrap"><article><p>Text two</p></article></div>'
+    readers = '<article><p>Story</p></article><div id="comments"><article><p>I disagree with all of this, and at length, again and again</p></article></div>'
+    out = texts(site_style.main_text(pages(spark, [(1, "http://a", card), (2, "http://b", named), (3, "http://c", readers)])))
+    assert out == {1: "A long text that stands in the main element, word after word, and goes on.\nA card", 2: "Text one\nText two", 3: "Story"}
 
 
 def test_main_text_odd_pages(spark):

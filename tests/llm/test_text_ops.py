@@ -199,10 +199,21 @@ def test_line_dedup_odd_texts(spark, batches):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_null_and_repeated_ids_and_clashing_names(spark):
+    line = "x" * 30
+    docs = frame(spark, [(None, line), (None, "a"), (5, line), (5, line), (4, line + "\nb"), (9, "c")]).selectExpr("*", "1 AS id", "2 AS gone", "3 AS h1", "4 AS Kept_Text")
+    out = line_dedup.dedup_lines(docs, batches=3)
+    assert out.columns == ["doc_id", "text", "id", "gone", "h1", "Kept_Text", "kept_text_", "n_lines", "n_dropped"]
+    got = sorted(((r["doc_id"], r["kept_text_"], r["n_dropped"]) for r in out.collect()), key=repr)
+    assert got == sorted([(None, "", 1), (None, "a", 0), (5, line, 0), (5, line, 0), (4, "b", 1), (9, "c", 0)], key=repr)
+
+
 def test_runs_compact_by_level_and_find_what_is_new(spark):
     runs = line_dedup.LineRuns(spark, fanout=3)
-    for b in range(7):
-        runs.add(spark.createDataFrame([(b, 1, 1), (b, 2, b)], "doc_id long, h1 long, h2 long"))
+    for b in reversed(range(7)):
+        run = runs.add(spark.createDataFrame([(b, 1, 1), (b, 2, b)], "doc_id long, h1 long, h2 long"))
+        # the batch alone, merged with what is there: what earlier batches hold is neither counted nor placed anew
+        assert {tuple(r) for r in run.collect()} == {(1, 1, 1, 6 if b == 6 else None), (2, b, 1, b)}
     assert [len(x) for x in runs.levels] == [1, 2]
     seen = {(r["h1"], r["h2"]): (r["n_docs"], r["last"]) for r in runs.view().collect()}
     assert seen == {(1, 1): (7, 6)} | {(2, b): (1, b) for b in range(7)}
@@ -213,6 +224,18 @@ def test_runs_compact_by_level_and_find_what_is_new(spark):
 # ---- 9: packing
 
 
+def test_packing_null_ids_and_tokenizers_without_word_ends(spark, tmp_path):
+    from tokenizers import Tokenizer, models
+
+    docs = frame(spark, [(None, "a b"), (2**60 + 1, None), (2**60 + 1, "c")])
+    parts = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+    got = sorted(((r["doc_id"], r["length"]) for r in packing.pack(parts, keep=["doc_id", "piece"]).collect()), key=repr)
+    assert [d for d, _ in got] == [2**60 + 1, 2**60 + 1, None] and got[0][1] == 1
+    odd = Tokenizer(models.WordLevel({"[UNK]": 0, "a b": 1, "a": 2, "b": 3}, unk_token="[UNK]"))  # spaces are no ends here
+    odd.save(str(tmp_path / "odd.json"))
+    assert list(np.frombuffer(packing._tokeniser(str(tmp_path / "odd.json"))("a b"), "<u4")) == [1]
+
+
 def test_packing_query(spark):
     from tokenizers import Tokenizer
 
