@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate, line_dedup, near_copies, packing, toxicity
-from plumbline.llm._common import shared_folder, table
+from plumbline.llm._common import Tables, shared_folder, table
 
 #: Rows of an Arrow batch: executors come to the later stages with full heaps, and a row may be a pair of whole texts.
 BATCH = 1000
@@ -22,7 +22,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Let the session's Arrow batches hold at most BATCH rows from now on."""
+    """Let the session's Arrow batches hold at most BATCH rows from now on: a stage's plan reads the setting when it runs."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH:
         spark.conf.set(key, str(BATCH))
@@ -60,8 +60,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Pieces of the documents left, in sequences of 2048 tokens."""
     bound_batches(spark)
     parts = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), known_words=KNOWN_WORDS)
-    parts = parts.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return packing.pack(parts, keep=["doc_id", "piece", "start", "ids_crc32"], order=["doc_id", "piece"], rows=docs.count())
+    parts = Tables(spark).put(parts.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))  # tokenised once
+    return packing.pack(parts, keep=["doc_id", "piece", "start", "ids_crc32"], order=["doc_id", "piece"])
 
 
 STAGES = [
