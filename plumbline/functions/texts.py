@@ -8,29 +8,31 @@ from pyspark.sql import functions as F
 from .numbers import col
 
 #: Code points of East Asian and of complex scripts, as character classes.
-EAST_ASIAN = r"[ᄀ-ᇿ⺀-鿿ꥠ-꥿가-퟿豈-﫿︰-﹏＀-￯]"
-COMPLEX = r"[֐-ࣿऀ-෿฀-໿יִ-﷿ﹰ-﻿]"
-NEITHER = r"[^\s" + EAST_ASIAN[1:-1] + COMPLEX[1:-1] + "]"
+EAST_ASIAN = r"[\x{2E80}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}]"
+COMPLEX = r"[\x{0590}-\x{08FF}\x{FB1D}-\x{FDFF}\x{FE70}-\x{FEFF}]"
+#: Letters and numbers of no other class; marks and white space tell of no script.
+LATIN = r"[\p{L}\p{N}&&[^" + EAST_ASIAN[1:-1] + COMPLEX[1:-1] + "]]"
 
 
 def script_counts(text: Column | str) -> Column:
     """How many code points of each script class a text has: struct<latin, ea, cs>."""
     t = F.coalesce(col(text), F.lit(""))
     count = lambda p: F.regexp_count(t, F.lit(p)).cast("long")
-    return F.struct(count(NEITHER).alias("latin"), count(EAST_ASIAN).alias("ea"), count(COMPLEX).alias("cs"))
+    return F.struct(count(LATIN).alias("latin"), count(EAST_ASIAN).alias("ea"), count(COMPLEX).alias("cs"))
 
 
 def scripts_in_order(text: Column | str) -> Column:
-    """The script classes of a text in the order in which they first occur."""
+    """The script classes of a text in the order in which they first occur; a text without any is latin."""
     t = F.coalesce(col(text), F.lit(""))
     first = lambda p, name: F.struct(F.regexp_instr(t, F.lit(p)).alias("at"), F.lit(name).alias("name"))
-    found = F.filter(F.array(first(NEITHER, "latin"), first(EAST_ASIAN, "ea"), first(COMPLEX, "cs")), lambda s: s["at"] > 0)
-    return F.transform(F.array_sort(found), lambda s: s["name"])
+    found = F.filter(F.array(first(LATIN, "latin"), first(EAST_ASIAN, "ea"), first(COMPLEX, "cs")), lambda s: s["at"] > 0)
+    return F.when(F.size(found) == 0, F.array(F.lit("latin"))).otherwise(F.transform(F.array_sort(found), lambda s: s["name"]))
 
 
-def safe_name(name: Column | str) -> Column:
-    """A file-system name: other characters become dashes, dashes and dots go from the ends."""
-    return F.btrim(F.regexp_replace(col(name), r"[^A-Za-z0-9._-]+", "-"), F.lit("-."))
+def safe_name(name: Column | str, fallback: str = "region") -> Column:
+    """A file-system name: other characters become dashes, dashes and dots go from the ends; `fallback` if nothing is left."""
+    cut = F.btrim(F.regexp_replace(col(name), r"[^A-Za-z0-9._-]+", "-"), F.lit("-."))
+    return F.when(cut == "", F.lit(fallback)).otherwise(cut)
 
 
 def family_listed(family: Column | str, families: Column | str) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .closure import cut
+
 
 def duplicate_keys(df: DataFrame, *key: str) -> DataFrame:
     """Keys that more than one row has, and how many; null keys are equal to each other."""
@@ -66,7 +68,8 @@ def next_numbers(taken: DataFrame, new: DataFrame, *, number: str, order: list[s
 def numbered(df: DataFrame, order: list[str]) -> DataFrame:
     """df with row_no from 1 over the whole order, without a window over all rows."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id())
+    # the ranges' bounds come from a sample, so ranges are dealt once: those that are counted are those that are numbered
+    ranged = cut(df.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id()))
     within = Window.partitionBy("__p").orderBy(*order)
     local = ranged.withColumn("__i", F.row_number().over(within))
     sizes = ranged.groupBy("__p").agg(F.count("*").alias("__n"))  # one row a range

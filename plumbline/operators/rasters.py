@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pixels import luma, near_palette, near_white
-from .closure import _cut
 
 
 def joined(left: DataFrame, right: DataFrame, key: list[str] = ("image", "y", "x")) -> DataFrame:
@@ -25,7 +26,7 @@ def f1(a: Column, b: Column) -> Column:
 def metrics(pixels: DataFrame, by: str = "image", *, threshold: int = 8, foreground: int = 245) -> DataFrame:
     """Comparison of joined pixels: one partial aggregate a task, whatever the images' sizes; rounded to 6 digits."""
     error = F.abs(F.col("r") - F.col("r2")) + F.abs(F.col("g") - F.col("g2")) + F.abs(F.col("b") - F.col("b2"))
-    delta = F.abs(F.col("l") - F.col("l2"))
+    delta = luma(*[F.abs(F.col(c) - F.col(f"{c}2")) for c in "rgb"])  # the luma of the differences, not the difference of lumas
     front = (F.col("l") < foreground) | (F.col("l2") < foreground)
     out = pixels.groupBy(by).agg(
         F.count("*").alias("n"),
@@ -39,15 +40,16 @@ def metrics(pixels: DataFrame, by: str = "image", *, threshold: int = 8, foregro
 
 
 def edges(pixels: DataFrame, key: str = "image", value: str = "l", *, threshold: int = 24) -> DataFrame:
-    """(key, y, x, edge boolean): whether 8 times a pixel less its eight neighbours exceeds the threshold.
+    """(key, y, x, edge boolean): whether 8 times a pixel less its eight neighbours reaches the threshold.
 
-    Every pixel adds its value to its neighbours in one grouped sum, combined before the shuffle; border pixels, which
-    lack neighbours, are no edges.
+    Every pixel adds its value to its neighbours in one grouped sum, combined before the shuffle.  Border pixels, which
+    lack neighbours, are edges if their own value reaches it.
     """
     moves = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(8 if dy == dx == 0 else -1).alias("k")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
     spread = pixels.select(key, "y", "x", F.col(value).alias("v"), F.explode(moves).alias("m"))
-    sums = spread.groupBy(key, (F.col("y") + F.col("m.dy")).alias("y"), (F.col("x") + F.col("m.dx")).alias("x")).agg(F.sum(F.col("v") * F.col("m.k")).alias("s"), F.count("*").alias("n"), F.count_if(F.col("m.k") == 8).alias("own"))
-    return sums.where("own = 1").select(key, "y", "x", ((F.col("n") == 9) & (F.col("s") > threshold)).alias("edge"))
+    own = F.max(F.when(F.col("m.k") == 8, F.col("v")))
+    sums = spread.groupBy(key, (F.col("y") + F.col("m.dy")).alias("y"), (F.col("x") + F.col("m.dx")).alias("x")).agg(F.sum(F.col("v") * F.col("m.k")).alias("s"), F.count("*").alias("n"), own.alias("own"))
+    return sums.where("own IS NOT NULL").select(key, "y", "x", (F.when(F.col("n") == 9, F.col("s")).otherwise(F.col("own")) >= threshold).alias("edge"))
 
 
 def region_presence(pixels: DataFrame, regions: DataFrame, *, key: str = "image", tile: int = 64, least: float = 0.02, gone: float = 0.002, share: float = 0.1, foreground: int = 245) -> DataFrame:
@@ -66,13 +68,49 @@ def region_presence(pixels: DataFrame, regions: DataFrame, *, key: str = "image"
     return ratios.withColumn("missing", missing)
 
 
-def dominant(pixels: DataFrame, key: str = "image", *, bits: int = 3, top: int = 5) -> DataFrame:
-    """The `top` most frequent colours of each image after keeping `bits` bits a channel: (key, color, n), ties to the higher colour."""
-    cut = lambda c: F.shiftleft(F.shiftright(F.col(c).cast("int"), 8 - bits), 8 - bits)
-    color = F.shiftleft(cut("r"), 16).bitwiseOR(F.shiftleft(cut("g"), 8)).bitwiseOR(cut("b"))
-    counts = pixels.groupBy(key, color.alias("color")).agg(F.count("*").alias("n"))
-    best = counts.groupBy(key).agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "color")), asc=False), 1, top).alias("t"))  # at most 2^(3 bits) colours
-    return best.select(key, F.inline("t")).select(key, "color", "n")
+def median_cut(colors: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+    """The palette entry, 0 to n - 1, of each distinct colour (rows r, g, b; increasing).
+
+    The box with the most pixels that can be parted is cut at the median pixel of its longest side, sides weighted by what
+    they add to luma, until there are n boxes or nothing can be parted.
+    """
+    boxes = [np.arange(len(colors))]
+    while len(boxes) < n:
+        wide = [b for b in boxes if len(b) > 1]
+        if not wide:
+            break
+        box = max(wide, key=lambda b: (counts[b].sum(), -b[0]))
+        side = int(((colors[box].max(axis=0) - colors[box].min(axis=0)) * np.array([299, 587, 114])).argmax())
+        order = box[np.argsort(colors[box, side], kind="stable")]
+        values, cum = colors[order, side], np.cumsum(counts[order])
+        low = values <= values[min(int(np.searchsorted(cum, cum[-1] / 2)), len(order) - 1)]
+        low = low if not low.all() else values < values[-1]
+        at = next(i for i, b in enumerate(boxes) if b is box)
+        boxes[at : at + 1] = [np.sort(order[low]), np.sort(order[~low])]
+    out = np.empty(len(colors), dtype=np.int64)
+    for i, b in enumerate(boxes):
+        out[b] = i
+    return out
+
+
+def dominant(pixels: DataFrame, key: str = "image", *, top: int = 5) -> DataFrame:
+    """(key, color, n) of each image's palette of at most `top` colours, fitted to the image by median cut; color 0xRRGGBB.
+
+    An entry is the mean colour of its pixels.  Pixels are counted by colour before the shuffle, and one image's distinct
+    colours are in one task, which the colour space bounds.
+    """
+    kind = pixels.schema[key].dataType.simpleString()
+    counts = pixels.groupBy(key, "r", "g", "b").agg(F.count("*").alias("n"))
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["r", "g", "b"])
+        colors, n = pdf[["r", "g", "b"]].to_numpy(dtype=np.int64), pdf["n"].to_numpy()
+        entry = median_cut(colors, n, top)
+        size = np.bincount(entry, n).astype(np.int64)
+        mean = np.stack([np.floor(np.bincount(entry, n * colors[:, c]) / size + 0.5).astype(np.int64) for c in range(3)])
+        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(size), "color": mean[0] << 16 | mean[1] << 8 | mean[2], "n": size})
+
+    return counts.groupBy(key).applyInPandas(fit, f"`{key}` {kind}, color long, n long")
 
 
 def alpha_measures(pixels: DataFrame, key: str = "image") -> DataFrame:
@@ -88,43 +126,81 @@ def alpha_measures(pixels: DataFrame, key: str = "image") -> DataFrame:
 
 
 def edge_contact(pixels: DataFrame, key: str = "image", tolerance: int = 12) -> DataFrame:
-    """(key, top, right, bottom, left): sides where anything differs from the median of the corners."""
+    """(key, top, right, bottom, left): sides where a pixel that is not clear differs from the corners' median, cut to a whole number."""
     size = pixels.groupBy(key).agg(F.max("x").alias("mx"), F.max("y").alias("my"))
     border = pixels.join(size, key).where("x = 0 OR y = 0 OR x = mx OR y = my")
-    corner = border.where("(x = 0 OR x = mx) AND (y = 0 OR y = my)").groupBy(key).agg(*[F.median(c).alias(f"m{c}") for c in "rgb"])
-    far = F.greatest(*[F.abs(F.col(c) - F.col(f"m{c}")) for c in "rgb"]) > tolerance
+    # an image of one row or column has the same pixel in two corners, and it counts twice
+    corners = F.explode(F.array(*[F.struct(F.col(y).alias("cy"), F.col(x).alias("cx")) for y in ("zero", "my") for x in ("zero", "mx")]))
+    corner = border.withColumn("zero", F.col("mx") * 0).withColumn("c", corners).where("y = c.cy AND x = c.cx").groupBy(key).agg(*[F.floor(F.median(c)).alias(f"m{c}") for c in "rgb"])
+    far = (F.col("a") > 0) & (F.greatest(*[F.abs(F.col(c) - F.col(f"m{c}")) for c in "rgb"]) > tolerance)
     side = lambda where: F.coalesce(F.bool_or(F.expr(where) & F.col("far")), F.lit(False))
     return border.join(corner, key).withColumn("far", far).groupBy(key).agg(side("y = 0").alias("top"), side("x = mx").alias("right"), side("y = my").alias("bottom"), side("x = 0").alias("left"))
 
 
-def border_palette(pixels: DataFrame, key: str = "image", *, coloured_only: bool = True) -> DataFrame:
-    """(key, palette): the distinct colours of each image's border, near-white ones left out if coloured_only."""
+def border_palette(pixels: DataFrame, key: str = "image") -> DataFrame:
+    """(key, palette): the distinct colours of each image's border that are neither clear nor near white."""
     size = pixels.groupBy(key).agg(F.max("x").alias("mx"), F.max("y").alias("my"))
-    border = pixels.join(size, key).where("x = 0 OR y = 0 OR x = mx OR y = my")
-    if coloured_only:
-        border = border.where(~near_white("r", "g", "b"))
+    border = pixels.join(size, key).where("x = 0 OR y = 0 OR x = mx OR y = my").where((F.col("a") > 0) & ~near_white("r", "g", "b"))
     return border.groupBy(key).agg(F.collect_set(F.struct("r", "g", "b")).alias("palette"))
 
 
-def background(pixels: DataFrame, *, key: str = "image", tolerance: int = 24, max_rounds: int = 10_000) -> DataFrame:
-    """(key, y, x) of the background: pixels like a border colour that hang together, side by side, with the border.
+def corner_palette(pixels: DataFrame, key: str = "image") -> DataFrame:
+    """(key, palette): the distinct colours of each image's four corner patches, up to 3 x 3 pixels and a quarter of its sides."""
+    size = pixels.groupBy(key).agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+    at = pixels.join(size.withColumn("patch", F.greatest(F.lit(1), F.least(F.lit(3), F.floor(F.col("w") / 4), F.floor(F.col("h") / 4)))), key)
+    return at.where("(x < patch OR x >= w - patch) AND (y < patch OR y >= h - patch)").groupBy(key).agg(F.collect_set(F.struct("r", "g", "b")).alias("palette"))
+
+
+def outline_background(pixels: DataFrame, *, key: str = "image", tolerance: int = 24) -> DataFrame:
+    """(key, y, x) of what lies around a white outline: clear pixels, and others not near white but like a border colour."""
+    rows = pixels.join(border_palette(pixels, key), key, "left")
+    like = ~near_white("r", "g", "b") & near_palette("r", "g", "b", "palette", tolerance)
+    return rows.where((F.col("a") == 0) | F.coalesce(like, F.lit(False))).select(key, "y", "x")
+
 
-    Runs of such pixels in a row are the nodes; each round reaches the runs above and below that overlap the last ones, so
-    the rounds follow the height of the shape and not the number of pixels.
+def flooded(open_: np.ndarray) -> np.ndarray:
+    """Of a mask, what hangs together, side by side, with the border."""
+    seen = np.zeros_like(open_)
+    seen[0], seen[-1], seen[:, 0], seen[:, -1] = open_[0], open_[-1], open_[:, 0], open_[:, -1]
+    stack = list(zip(*np.nonzero(seen)))
+    height, width = open_.shape
+    while stack:
+        y, x = stack.pop()
+        for v, u in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)):
+            if 0 <= v < height and 0 <= u < width and open_[v, u] and not seen[v, u]:
+                seen[v, u] = True
+                stack.append((v, u))
+    return seen
+
+
+def background(pixels: DataFrame, *, key: str = "image", tolerance: int = 24) -> DataFrame:
+    """(key, y, x) of the background: clear pixels and those like a corner's colour that hang together with the border.
+
+    Candidates are found pixel by pixel in the JVM; then each image's are filled by themselves in one task, for an image is
+    one file and bounded by what a reader can decode.
     """
-    from .ranges import offset_islands
+    kind = pixels.schema[key].dataType.simpleString()
+    rows = pixels.join(corner_palette(pixels, key), key)
+    like = rows.where((F.col("a") == 0) | near_palette("r", "g", "b", "palette", tolerance)).select(key, "y", "x")
+    size = pixels.groupBy(key).agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
 
-    palette = border_palette(pixels, key, coloured_only=False)
-    like = pixels.join(palette, key).where(near_palette("r", "g", "b", "palette", tolerance)).select(key, "y", "x")
-    runs = _cut(offset_islands(like, [key, "y"], "x"))
-    size = pixels.groupBy(key).agg(F.max("x").alias("mx"), F.max("y").alias("my"))
-    last = runs.join(size, key).where("y = 0 OR y = my OR start = 0 OR `end` = mx + 1").select(key, "y", "start", "end")
-    found = last = _cut(last)
-    for _ in range(max_rounds):
-        near = last.select(key, F.explode(F.array(F.col("y") - 1, F.col("y") + 1)).alias("y"), F.col("start").alias("s"), F.col("end").alias("e"))
-        new = runs.join(near, [key, "y"]).where("start < e AND s < `end`").select(key, "y", "start", "end").distinct().join(found, [key, "y", "start", "end"], "left_anti")
-        last = _cut(new)
-        if last.isEmpty():
-            return found.withColumn("x", F.explode(F.sequence("start", F.col("end") - 1))).select(key, "y", "x")
-        found = _cut(found.unionByName(last))
-    raise RuntimeError("the background did not settle")
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        mask = np.zeros((pdf["h"].iloc[0], pdf["w"].iloc[0]), dtype=bool)
+        mask[pdf["y"], pdf["x"]] = True
+        y, x = np.nonzero(flooded(mask))
+        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(y), "y": y, "x": x})
+
+    return like.join(size, key).groupBy(key).applyInPandas(fill, f"`{key}` {kind}, y long, x long")
+
+
+def foreground_box(pixels: DataFrame, background: DataFrame, key: str = "image") -> DataFrame:
+    """(key, visible, x, y, w, h, top, right, bottom, left): what is left of each image without its background.
+
+    Pixels that are clear or in the background are not visible.  The last four tell which sides of the image the visible
+    part touches; an image with nothing visible has no box.
+    """
+    size = pixels.groupBy(key).agg((F.max("x") + 1).alias("iw"), (F.max("y") + 1).alias("ih"))
+    seen = pixels.where("a > 0").select(key, "y", "x").join(background.select(key, "y", "x"), [key, "y", "x"], "left_anti")
+    box = seen.groupBy(key).agg(F.count("*").alias("visible"), F.min("x").alias("x"), F.min("y").alias("y"), (F.max("x") + 1 - F.min("x")).alias("w"), (F.max("y") + 1 - F.min("y")).alias("h"))
+    out = size.join(box, key, "left")
+    return out.select(key, F.coalesce("visible", F.lit(0).cast("long")).alias("visible"), "x", "y", "w", "h", (F.col("y") == 0).alias("top"), (F.col("x") + F.col("w") == F.col("iw")).alias("right"), (F.col("y") + F.col("h") == F.col("ih")).alias("bottom"), (F.col("x") == 0).alias("left"))

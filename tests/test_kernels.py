@@ -28,7 +28,7 @@ def test_numbers(spark):
 def test_boxes(spark):
     b = lambda *v: boxes.box(*map(F.lit, v))
     assert one(spark, boxes.contains(b(0, 0, 10, 10), b(0, 0, 10, 10)), boxes.overlaps(b(0, 0, 5, 5), b(5, 0, 5, 5)), boxes.overlaps(b(0, 0, 6, 5), b(5, 0, 5, 5))) == (True, False, True)
-    assert one(spark, boxes.near_full_page(b(1, 1, 98, 98), F.lit(100), F.lit(100)), boxes.near_full_page(b(-9, -9, 200, 200), F.lit(100), F.lit(100)), boxes.near_full_page(b(3, 0, 97, 100), F.lit(100), F.lit(100))) == (True, True, False)
+    assert one(spark, boxes.near_full_page(b(8, 6, 98, 98), b(7, 5, 100, 100)), boxes.near_full_page(b(-9, -9, 200, 200), b(0, 0, 100, 100)), boxes.near_full_page(b(3, 0, 97, 100), b(0, 0, 100, 100))) == (True, True, False)
     assert one(spark, boxes.clamped(F.lit(-3.5), F.lit(2.5), F.lit(8.5), F.lit(99), F.lit(10), F.lit(20)))[0].asDict() == {"x": 0, "y": 2, "w": 8, "h": 18}
     assert one(spark, boxes.clamped(F.lit(11), F.lit(0), F.lit(12), F.lit(1), F.lit(10), F.lit(10))) == (None,)
     assert one(spark, boxes.same_aspect(F.lit(16), F.lit(9), F.lit(1600), F.lit(900)), boxes.fit_crop(F.lit("cover"), F.lit(200), F.lit(100), F.lit(100), F.lit(100))["left"]) == (True, 0.25)
@@ -38,6 +38,7 @@ def test_boxes(spark):
 def test_texts_and_paths(spark):
     lit = F.lit
     assert one(spark, texts.scripts_in_order(lit("ab 漢 א")), texts.script_counts(lit("ab 漢字")))[0] == ["latin", "ea", "cs"]
+    assert one(spark, texts.scripts_in_order(lit("--")), texts.scripts_in_order(lit("，א。 b")), texts.safe_name(lit("../"))) == (["latin"], ["ea", "cs", "latin"], "region")
     assert one(spark, texts.safe_name(lit("-.a b/ç..")), texts.font_key(lit("ABCDEF+My Font-1")), texts.family_listed(lit("B"), lit("A, B,C"))) == ("a-b", "myfont1", True)
     assert one(spark, texts.child_path(lit("$"), lit("a_1")), texts.child_path(lit("$"), lit('a"b')), texts.child_path(lit("$"), lit("a\n"))) == ("$.a_1", '$["a\\"b"]', '$["a\n"]')
     cases = [("ppt/slides/s.xml", "../media/a.png", "ppt/media/a.png"), ("s.xml", "/x/./y", "x/y"), ("a/b.xml", "../../c", None), ("a/b.xml", "http://x", None), ("a/b.xml", "c?d", None), ("a/b.xml", "%2e%2E/c", None), ("a/b.xml", "", None), ("a/b.xml", "c\\d", None)]
@@ -101,7 +102,7 @@ def test_closures(spark):
 def test_flood_fill_equals_python(spark):
     rng = random.Random(3)
     size = 12
-    dark = {(y, x) for y in range(size) for x in range(size) if rng.random() < 0.35 and 0 < y < size - 1 and 0 < x < size - 1}
+    dark = {(y, x) for y in range(size) for x in range(size) if rng.random() < 0.35 and 0 < y < size - 1 and 0 < x < size - 1 and (2 < y < size - 3 or 2 < x < size - 3)}
     rows = [("i", y, x, *((0, 0, 0) if (y, x) in dark else (250, 250, 250)), 255) for y in range(size) for x in range(size)]
     got = {(r["y"], r["x"]) for r in rasters.background(spark.createDataFrame(rows, "image string, y long, x long, r int, g int, b int, a int")).collect()}
     todo, want = [(y, x) for y in range(size) for x in range(size) if (y in (0, size - 1) or x in (0, size - 1))], set()
@@ -114,14 +115,37 @@ def test_flood_fill_equals_python(spark):
     assert got == want and len(want) < size * size - len(dark)
 
 
+def test_raster_rules_of_alpha_borders_and_palettes(spark):
+    px = lambda rows: spark.createDataFrame(rows, "image string, y long, x long, r int, g int, b int, a int")
+    # clear pixels touch no side; the corners' median is cut to a whole number
+    rows = [("i", y, x, 200 if (y, x) == (0, 1) else 0, 0, 0, 0 if x == 1 else 255) for y in range(3) for x in range(3)] + [("j", 0, 0, 1, 1, 1, 255), ("j", 0, 1, 14, 14, 14, 255)]
+    got = {r["image"]: (r["top"], r["right"], r["bottom"], r["left"]) for r in rasters.edge_contact(px(rows)).collect()}
+    assert got == {"i": (False,) * 4, "j": (False,) * 4}
+    # borders are edges by their own value, the inside by its neighbours
+    flat = spark.createDataFrame([("i", y, x, 30 if y == 1 == x else 24 if y == 0 else 3) for y in range(3) for x in range(3)], "image string, y long, x long, l int")
+    assert {(r["y"], r["x"]) for r in rasters.edges(flat).collect() if r["edge"]} == {(0, 0), (0, 1), (0, 2), (1, 1)}
+    # a palette that suffices is exact; one that does not is made of boxes' means
+    few = rasters.dominant(px([("i", 0, x, x % 3 * 100, 0, 7, 255) for x in range(10)])).collect()
+    assert {(r["color"], r["n"]) for r in few} == {(7, 4), (100 << 16 | 7, 3), (200 << 16 | 7, 3)}
+    many = rasters.dominant(px([("i", 0, x, x, 0, 0, 255) for x in range(64)]), top=2).collect()
+    assert {(r["color"], r["n"]) for r in many} == {(16 << 16, 32), (48 << 16, 32)}
+    # an outline's background: clear, or coloured like the border, never near white
+    ring = [("i", y, x, *((250, 250, 250) if 0 < y < 4 and 0 < x < 4 and (y, x) != (2, 2) else (10, 90, 200)), 255) for y in range(5) for x in range(5)]
+    back = {(r["y"], r["x"]) for r in rasters.outline_background(px(ring)).collect()}
+    assert back == {(y, x) for _, y, x, r, *_ in ring if r == 10}
+    box = rasters.foreground_box(px(ring), rasters.background(px(ring))).first()
+    assert (box["visible"], box["x"], box["y"], box["w"], box["h"], box["top"]) == (9, 1, 1, 3, 3, False)
+
+
 def test_empty_masks(spark):
     df = spark.createDataFrame([(1, False, False), (2, True, False)], "k int, a boolean, b boolean")
     assert {r["k"]: r["f"] for r in df.groupBy("k").agg(rasters.f1(F.col("a"), F.col("b")).alias("f")).collect()} == {1: 1.0, 2: 0.0}
 
 
 def test_numbered_without_one_partition(spark):
-    df = spark.range(500).withColumn("k", (F.col("id") * 37) % 500)
-    assert {r["k"]: r["row_no"] for r in keys.numbered(df, ["k"]).collect()} == {i: i + 1 for i in range(500)}
+    # several times as many rows as the ranges' sample holds
+    df = spark.range(0, 50_000, 1, 4).withColumn("k", (F.col("id") * 37) % 50_000)
+    assert {r["k"]: r["row_no"] for r in keys.numbered(df, ["k"]).collect()} == {i: i + 1 for i in range(50_000)}
 
 
 def test_overlap_pairs_across_tiles(spark):
