@@ -16,7 +16,7 @@ from ._common import fresh, kept
 #: Pieces that one packing task takes together.  The waste of a group is a few open sequences, whatever its size.
 GROUP = 16384
 #: A Python worker keeps the token ids of the words it met among the last WORDS to 2 * WORDS new ones, if not told otherwise.
-WORDS = 200_000
+WORDS = 500_000
 #: Pieces that a worker holds before it passes them on.
 AT_ONCE = 1024
 #: Marks that end a word in prose.  A run of them after a letter is a token of its own for this kind of tokenizer, which
