@@ -68,8 +68,12 @@ def test_simhash_odd_texts(spark):
     assert out.count() == 2 * len(rows)
 
 
-@pytest.mark.parametrize("limit", [0, 3, 10_000])
-def test_links_lose_nothing(spark, limit):
+def test_wider_groups_for_more_fingerprints():
+    assert [simhash.best_parts(n) for n in (0, 10**5, 10**7, 10**9, 10**11)] == [3, 3, 3, 2, 2]
+
+
+@pytest.mark.parametrize("limit, parts", [(0, None), (3, None), (10_000, None), (10_000, 2)])
+def test_links_lose_nothing(spark, limit, parts):
     rng = random.Random(limit)
     fps = {rng.getrandbits(64) for _ in range(40)}
     for center in list(fps)[:4]:  # crowds of near copies, chains included
@@ -79,7 +83,7 @@ def test_links_lose_nothing(spark, limit):
             fps.add(center ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)))
     signed = [(x - (x >> 63 << 64),) for x in fps]
     df = spark.createDataFrame(signed, "fp long")
-    found = {(r["a"] % 2**64, r["b"] % 2**64) for r in simhash.links(df, limit=limit).collect()}
+    found = {(r["a"] % 2**64, r["b"] % 2**64) for r in simhash.links(df, limit=limit, parts=parts).collect()}
     assert all((a ^ b).bit_count() <= 2 for a, b in found)
     number = dict(enumerate(sorted(fps)))
     want = slow_components(number)
