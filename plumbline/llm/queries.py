@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprints, licences, line_dedup, packing, quality, simhash, site_style, toxicity
+from . import chat, decontaminate, filter_audit, fingerprints, licences, line_dedup, packing, quality, simhash, site_style, toxicity
 from ._common import Tables, table
 from .oracle import ORACLE  # noqa: F401
 
@@ -74,4 +74,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_chat, op3_licences, op4_simhash, op5_quality, op6_main_text, op7_decontaminate, op8_line_dedup, op9_packing, op10_toxicity)}
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_chat, op3_licences, op4_simhash, op5_quality, op6_main_text, op7_decontaminate, op8_line_dedup, op9_packing, op10_toxicity, op13_filter_audit)}
