@@ -83,6 +83,30 @@ SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) A
 FROM m GROUP BY doc_id
 """
 
+_HEX = "strpos('0123456789ABCDEF', h[{0}]) - 1"
+_BYTES = f"[16 * ({_HEX.format('2 * i - 1')}) + {_HEX.format('2 * i')} FOR i IN range(1, len(h) // 2 + 1)]"
+
+OP12 = f"""
+WITH z AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS z),
+r AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS x FROM documents),
+l AS (SELECT translate(x, '{UPPER}', '{LOWER}') AS w, hex(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || translate(x, '{UPPER}', '{LOWER}')) AS h, count(*) AS c FROM r GROUP BY ALL),
+y AS (SELECT w, c, xor(list_reduce(list_concat([4294967295], {_BYTES}), lambda a, b: xor(a // 256, z[xor(a, b) % 256 + 1])), 4294967295) AS h FROM l, z WHERE length(w) >= 7),
+t AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, c FROM y),
+v AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM t WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+d AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM v, LATERAL (SELECT unnest(range(1, length(word) + 1)) AS i)),
+p AS (
+  SELECT a.word, b.word AS near, b.n FROM d a JOIN d b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT d.word, v.word, v.n FROM d JOIN v ON v.word = d.rest
+  UNION SELECT v.word, d.word, d.n FROM d JOIN v ON v.word = d.rest),
+g AS (SELECT word, count(*) AS n_near, max(n) AS top FROM p GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 10 * v.n THEN top END AS form_n FROM v LEFT JOIN g USING (word)),
+s AS (SELECT f.*, (SELECT min(near) FROM p WHERE p.word = f.word AND p.n = f.form_n) AS form FROM f),
+o AS (
+  WITH RECURSIVE o AS (SELECT word, word AS head, 0 AS k FROM s UNION ALL SELECT o.word, s.form, k + 1 FROM o JOIN s ON s.word = o.head WHERE s.form IS NOT NULL)
+  SELECT word, arg_max(head, k) AS root FROM o GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM s JOIN o USING (word)
+"""
+
 OP13 = """
 WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 c AS (
@@ -117,4 +141,4 @@ SELECT part, o AS filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGI
 FROM y
 """
 
-ORACLE = {"op2_chat": OP2, "op3_licences": OP3, "op7_decontaminate": OP7, "op8_line_dedup": OP8, "op13_filter_audit": OP13}
+ORACLE = {"op2_chat": OP2, "op3_licences": OP3, "op7_decontaminate": OP7, "op8_line_dedup": OP8, "op12_spelling": OP12, "op13_filter_audit": OP13}
