@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, filter_audit, fingerprints, licences, line_dedup, packing, quality, simhash, site_style, spelling, toxicity
+from . import chat, decontaminate, filter_audit, fingerprints, licences, line_dedup, nnls_packing, packing, quality, simhash, site_style, spelling, toxicity
 from ._common import Tables, table
 from .oracle import ORACLE  # noqa: F401
 
@@ -74,6 +74,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = nnls_packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.count_words(table(spark, sf_dir, "documents")))
 
@@ -82,4 +87,4 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_chat, op3_licences, op4_simhash, op5_quality, op6_main_text, op7_decontaminate, op8_line_dedup, op9_packing, op10_toxicity, op12_spelling, op13_filter_audit)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_chat, op3_licences, op4_simhash, op5_quality, op6_main_text, op7_decontaminate, op8_line_dedup, op9_packing, op10_toxicity, op11_packing, op12_spelling, op13_filter_audit)}
