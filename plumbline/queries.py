@@ -571,11 +571,18 @@ def page_documents(spark, d):
     doc = e.groupBy("l_orderkey").agg(inner("e").alias("elements"), inner("r").alias("regions"), order.alias("reading_order"))
     key, text = F.col("l_orderkey"), lambda v: F.lit(v)
     ints = lambda *v: F.array(*map(F.lit, v))
-    canvas = F.struct(ints(1600, 900).alias("source_size"), ints(1600, 900).alias("visual_size"), ints(0, 0, 1600, 900).alias("page_frame_bbox"), ints(16000, 9000).alias("slide_size_emu"), text("direct_16_9").alias("mapping_mode"), F.when(key % 17 == 0, 1).alias("extra"))
+    canvas = F.struct(F.when(key % 31 == 0, ints(0, 900)).otherwise(ints(1600, 900)).alias("source_size"), ints(1600, 900).alias("visual_size"), ints(0, 0, 1600, 900).alias("page_frame_bbox"), ints(16000, 9000).alias("slide_size_emu"), text("direct_16_9").alias("mapping_mode"), F.when(key % 19 != 0, "plain").alias("background"), F.when(key % 17 == 0, 1).alias("extra"))
     file = F.struct(text("/a").alias("path"), text("0" * 64).alias("sha256"))
+    reuse = F.struct((key % 2 == 0).alias("identity_verified"), text("/a").alias("path"), text("0" * 64).alias("sha256"))
+    session = F.struct(
+        F.when(key % 11 == 0, "same_session_reuse").otherwise("fresh_reconstruction").alias("mode"),
+        F.when(key % 11 == 0, F.array(reuse)).when(key % 29 != 0, F.slice(F.array(reuse), 1, 0)).alias("artifacts"),
+    )
+    page = F.when(key % 13 == 0, key.cast("string")).otherwise(F.concat(F.lit("page-"), F.lpad((key % 1000).cast("string"), 3, "0")))
+    content = F.struct(F.when(key % 37 == 0, "a").otherwise("/a").alias("path"), text("0" * 64).alias("sha256"))
     whole = F.struct(
-        F.lit(2).alias("schema_version"), key.cast("string").alias("page_id"), F.when(key % 10 == 0, "fast").otherwise("rapid").alias("verification_profile"), text("pending").alias("delivery_status"),
-        F.struct(text("fresh_reconstruction").alias("mode")).alias("session_reuse"), file.alias("content_reference"), file.alias("clean_visual_reference"), F.when(key % 23 != 0, file).alias("runtime_preflight"),
+        F.lit(2).alias("schema_version"), page.alias("page_id"), F.when(key % 10 == 0, "fast").otherwise("rapid").alias("verification_profile"), text("pending").alias("delivery_status"),
+        session.alias("session_reuse"), content.alias("content_reference"), file.alias("clean_visual_reference"), F.when(key % 23 != 0, file).alias("runtime_preflight"),
         canvas.alias("canvas"), F.array().cast("array<string>").alias("activated_modules"), F.struct(F.lit(None).cast("string").alias("none")).alias("modules"), "regions", "elements", "reading_order",
     )
     return documents(doc.select(key.cast("string").alias("doc_id"), F.to_json(whole).alias("raw")))
@@ -591,6 +598,12 @@ UNION ALL SELECT l_orderkey, 'SPEC_READING_ORDER_INVALID' FROM l GROUP BY 1 HAVI
 UNION ALL SELECT l_orderkey, 'SPEC_READING_ORDER_COVERAGE_INVALID' FROM l GROUP BY 1 HAVING bool_and(l_linenumber = 6)
 UNION ALL SELECT l_orderkey, 'SPEC_VERIFICATION_PROFILE_INVALID' FROM l WHERE l_orderkey % 10 = 0 GROUP BY 1
 UNION ALL SELECT l_orderkey, 'UNSUPPORTED_CAPABILITY' FROM l WHERE l_orderkey % 17 = 0 GROUP BY 1
+UNION ALL SELECT l_orderkey, 'SPEC_PAGE_ID_INVALID' FROM l WHERE l_orderkey % 13 = 0 GROUP BY 1
+UNION ALL SELECT l_orderkey, 'SPEC_SESSION_REUSE_INVALID' FROM l WHERE l_orderkey % 11 <> 0 AND l_orderkey % 29 = 0 GROUP BY 1
+UNION ALL SELECT l_orderkey, 'SPEC_SESSION_ARTIFACTS_INVALID' FROM l WHERE l_orderkey % 11 = 0 AND l_orderkey % 2 = 1 GROUP BY 1
+UNION ALL SELECT l_orderkey, 'SPEC_CANVAS_FIELD_INVALID' FROM l WHERE l_orderkey % 19 = 0 GROUP BY 1
+UNION ALL SELECT l_orderkey, 'SPEC_CANVAS_FIELD_INVALID' FROM l WHERE l_orderkey % 31 = 0 GROUP BY 1
+UNION ALL SELECT l_orderkey, 'SPEC_REFERENCE_PATH_INVALID' FROM l WHERE l_orderkey % 37 = 0 GROUP BY 1
 UNION ALL SELECT l_orderkey, 'UNSUPPORTED_CAPABILITY' FROM lineitem WHERE l_orderkey % 23 = 0 GROUP BY 1)"""
 
 
@@ -611,7 +624,7 @@ def page_verdicts(spark, d):
 
 
 @query("""SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, 37 + count(*) * 34 + CAST(sum(CASE WHEN l_returnflag = 'A' THEN 1 WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) AS BIGINT) - CAST(sum(CASE WHEN l_quantity = 7 THEN 1 ELSE 0 END) AS BIGINT)
-+ count(DISTINCT CASE WHEN l_linenumber <> 6 THEN l_linenumber END) + CASE WHEN l_orderkey % 17 = 0 THEN 1 ELSE 0 END - CASE WHEN l_orderkey % 23 = 0 THEN 3 ELSE 0 END AS n_values FROM lineitem GROUP BY l_orderkey""")
++ count(DISTINCT CASE WHEN l_linenumber <> 6 THEN l_linenumber END) + CASE WHEN l_orderkey % 17 = 0 THEN 1 ELSE 0 END + CASE WHEN l_orderkey % 19 = 0 THEN 0 ELSE 1 END + CASE WHEN l_orderkey % 11 = 0 THEN 5 WHEN l_orderkey % 29 = 0 THEN 0 ELSE 1 END - CASE WHEN l_orderkey % 23 = 0 THEN 3 ELSE 0 END AS n_values FROM lineitem GROUP BY l_orderkey""")
 def document_walk(spark, d):
     from .operators import walk
 
