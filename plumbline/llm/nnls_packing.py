@@ -22,6 +22,8 @@ from ._common import Tables, kept
 
 #: A Python worker keeps the ids of the WORDS to 2 * WORDS words that it met last.
 WORDS = 500_000
+#: Marks that end a word; a run of them after a letter is no part of it.
+MARKS = ".,;:!?%*$#&|"
 #: Pieces that a worker holds before it passes them on.
 AT_ONCE = 1024
 #: Ranks of pieces of one length stay below this.
@@ -35,8 +37,9 @@ def encoder(path: str, words: int = WORDS) -> Callable[[str], bytes]:
     """text -> ids of a tokenizers file, without special tokens added, as little-endian uint32 bytes.
 
     Tokenizers that part texts before a space and around other white space, as byte-level ones do, are given a text word by
-    word, and each word's ids are kept.  Whether that gives the same ids is tried out on loading; other tokenizers,
-    and texts that may hold a special token or a NUL, are encoded whole.
+    word, and each word's ids are kept.  A run of marks after a letter is looked up by itself, and a new word of plain letters
+    goes to the tokenizer's model without the steps before it.  Whether all that gives the same ids is tried out on loading;
+    other tokenizers, and texts that may hold a special token or a NUL, are encoded whole.
     """
     from tokenizers import Tokenizer
 
@@ -49,7 +52,13 @@ def encoder(path: str, words: int = WORDS) -> Callable[[str], bytes]:
         def __missing__(self, word: str) -> bytes:
             ids = self.older.get(word)
             if ids is None:
-                ids = plain(word)
+                core = word.rstrip(MARKS)
+                if len(core) < len(word) and core[-1:].isalpha():
+                    ids = self[core] + self[word[len(core) :]]
+                elif word.isascii() and word.lstrip(" ").isalpha() and " " not in word[1:]:
+                    ids = array("I", [t.id for t in merges("Ġ" + word[1:] if word[0] == " " else word)]).tobytes()
+                else:
+                    ids = plain(word)
             if len(self) >= words:
                 self.older = dict(self)
                 self.clear()
@@ -57,7 +66,7 @@ def encoder(path: str, words: int = WORDS) -> Callable[[str], bytes]:
                 self[word] = ids
             return ids
 
-    known = Known({"": b""})
+    known, merges = Known({"": b""}), model.model.tokenize
     runs, mixed = re.compile(r"\s+|\S+"), re.compile(r"\s\s")
 
     def by_words(text: str) -> bytes:
@@ -77,7 +86,7 @@ def encoder(path: str, words: int = WORDS) -> Callable[[str], bytes]:
                     parts += [run[:-1]] if run[-1] == " " else [run[:-1], run[-1]]
         return b"".join(map(known.__getitem__, parts))
 
-    tried = ["Some words", "of", "THE text,", "(1999)", "a.b", "don't", "'s", "x", "Été", "end.", "語"]
+    tried = ["Some words", "of", "THE text,", "(1999)", "a.b", "don't", "'s", "x", "Été", "end.", "語", "Why?!", "A%&b,", "c.,;:!?%*$#&|", "été...", "x1.", "internationally"]
     gaps = [" ", "\n", "  ", " \n", "\n ", "\n\n", "\t", "   \n\n  ", " ", "\r\n"]
     same = all(by_words(t) == plain(t) for gap in gaps for a in tried for b in tried for t in (a + gap + b, gap + a, a + gap))
     known.clear()

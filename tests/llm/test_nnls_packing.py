@@ -63,10 +63,13 @@ ODD = ["", " ", "\n", "a", " a", "a ", "a  b", "a\n\nb", "a\n\n\n b\n", "x\t\ty
 
 def test_encoder_equals_the_tokenizer():
     rng = random.Random(3)
-    texts = ODD + ["".join(rng.choice([" ", " ", "\n", "\t", "ab", "The", "'s", "12", "é", ".", "  ", "<|"]) for _ in range(60)) for _ in range(500)]
+    texts = ODD + ["".join(rng.choice([" ", " ", "\n", "\t", "ab", "The", "'s", "12", "é", ".", ",%%", "x&b", "Wh?", "  ", "<|"]) for _ in range(60)) for _ in range(500)]
     encode = nnls.encoder(PATH, words=50)
     assert encode.__name__ == "by_words"
     assert [encode(t) + bytes(4) for t in texts] == tokens(texts)
+    words = public_tokenizers.path("word_bpe_49k.json")  # parts words elsewhere
+    model = Tokenizer.from_file(words)
+    assert list(map(nnls.encoder(words), texts)) == [np.array(model.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
 
 
 def test_edges(spark):
