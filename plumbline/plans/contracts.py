@@ -28,7 +28,7 @@ def is_kind(v: str, kind: str) -> str:
 
 
 def member_keys(v: str) -> str:
-    return f"json_object_keys(to_json({v}))"
+    return f"map_keys(try_variant_get({v}, '$', 'map<string,variant>'))"
 
 
 def first_of(*parts: Fault | str) -> str:

@@ -776,3 +776,119 @@ def pie_issues(spark, d):
     style = F.struct(F.when(F.col("k") % 9 == 0, 360).otherwise(0).alias("first_slice_angle"), F.when(F.col("k") % 9 == 1, 5).otherwise(50).alias("hole_size"))
     v = o.select("k", F.parse_json(F.to_json(style)).alias("s"), F.parse_json(F.to_json(F.struct(F.lit("doughnut").alias("chart_type"), slices.alias("slices"), labels.alias("data_labels")))).alias("c"))
     return contracts.issues_of(v, contracts.chart("s", "c", "'c'"), "k").groupBy("k", "path").agg(F.count("*").alias("n"))
+
+
+# ---- trees: the tags of pages
+
+
+_NESTING = "html|head|body|nav|ul|ol|li|a|div|article|section|header|footer|aside|main|form|table|tr|td|h1|h2|h3"
+
+
+def _page_nodes(spark, d):
+    """The nodes that pages' nesting tags make: page_id, node, last, depth, parent, size, tag, cls, href."""
+    from .operators import trees
+
+    tags = table(spark, d, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(rf"</?(?:{_NESTING})\b[^>]*>"), F.lit(0))).alias("at", "x"))
+    part = lambda p: F.nullif(F.regexp_extract("x", p, 1), F.lit(""))
+    tags = tags.select("page_id", "at", part(r"^</?([a-z0-9]+)").alias("tag"), F.when(F.col("x").startswith("</"), -1).otherwise(1).alias("step"), part(r'\bclass="([^"]*)"').alias("cls"), part(r'\bhref="([^"]*)"').alias("href"))
+    return trees.intervals(tags, ["page_id"], "at", "step").drop("at")
+
+
+_PAGE_NODES = rf"""WITH RECURSIVE x AS (SELECT page_id, unnest(regexp_extract_all(html, '</?(?:{_NESTING})\b[^>]*>')) AS x, generate_subscripts(regexp_extract_all(html, '</?(?:{_NESTING})\b[^>]*>'), 1) - 1 AS node FROM pages),
+t AS (SELECT page_id, node, regexp_extract(x, '^</?([a-z0-9]+)', 1) AS tag, CASE WHEN x LIKE '</%' THEN -1 ELSE 1 END AS step, nullif(regexp_extract(x, '\bclass="([^"]*)"', 1), '') AS cls, nullif(regexp_extract(x, '\bhref="([^"]*)"', 1), '') AS href FROM x),
+r AS (SELECT *, sum(step) OVER (PARTITION BY page_id ORDER BY node) AS run, max(node) OVER (PARTITION BY page_id) AS size FROM t),
+e AS (SELECT a.page_id, a.node, min(b.node) AS stop FROM r a JOIN r b ON a.page_id = b.page_id AND b.node > a.node AND b.run < a.run WHERE a.step = 1 GROUP BY 1, 2),
+n AS (SELECT r.page_id, r.node, r.tag, r.cls, r.href, CAST(r.run AS INTEGER) AS depth, coalesce(e.stop - 1, r.size) AS last FROM r LEFT JOIN e ON e.page_id = r.page_id AND e.node = r.node WHERE r.step = 1),
+p AS (SELECT i.page_id, i.node, max(o.node) AS parent FROM n i JOIN n o ON o.page_id = i.page_id AND o.node < i.node AND i.node <= o.last GROUP BY 1, 2),
+f AS (SELECT n.*, p.parent FROM n LEFT JOIN p ON p.page_id = n.page_id AND p.node = n.node)"""
+
+
+@query(_PAGE_NODES + " SELECT page_id, CAST(node AS INTEGER) AS node, CAST(last AS INTEGER) AS last, depth, CAST(parent AS INTEGER) AS parent, tag, cls FROM f")
+def page_nodes(spark, d):
+    return _page_nodes(spark, d).select("page_id", "node", "last", "depth", "parent", "tag", "cls")
+
+
+@query(_PAGE_NODES + """ SELECT o.page_id, CAST(o.node AS INTEGER) AS node, o.tag, count(*) FILTER (WHERE i.tag = 'a') AS links, count(*) FILTER (WHERE i.tag = 'a' AND i.parent = o.node) AS own_links
+FROM f o JOIN f i ON i.page_id = o.page_id AND i.node > o.node AND i.node <= o.last WHERE o.tag IN ('nav', 'div', 'ul', 'li', 'body') GROUP BY 1, 2, 3 HAVING count(*) FILTER (WHERE i.tag = 'a') > 0""")
+def nested_links(spark, d):
+    """Links below a block, whatever stands between, and those right in it."""
+    from .operators import trees
+
+    n = _page_nodes(spark, d)
+    blocks, links = n.where("tag IN ('nav', 'div', 'ul', 'li', 'body')"), n.where("tag = 'a'")
+    below = trees.within(blocks, links, ["page_id"]).groupBy("page_id", "o.node", "o.tag").agg(F.count("*").alias("links"))
+    own = trees.children(blocks, links, ["page_id"]).groupBy("page_id", "o.node").agg(F.count("*").alias("own_links"))
+    return below.join(own, ["page_id", "node"], "left").select("page_id", "node", "tag", "links", F.coalesce("own_links", F.lit(0).cast("long")).alias("own_links"))
+
+
+@query(_PAGE_NODES + """, w AS (SELECT page_id, node, tag AS path FROM f WHERE parent IS NULL UNION ALL SELECT f.page_id, f.node, w.path || '/' || f.tag FROM w JOIN f ON f.page_id = w.page_id AND f.parent = w.node),
+g AS (SELECT o.page_id, o.node, o.cls AS own, i.node AS below, i.tag, i.href, substr(v.path, length(u.path) + 2) AS rel FROM f o JOIN w u ON u.page_id = o.page_id AND u.node = o.node LEFT JOIN f i ON i.page_id = o.page_id AND i.node > o.node AND i.node <= o.last LEFT JOIN w v ON v.page_id = i.page_id AND v.node = i.node WHERE o.tag IN ('nav', 'article', 'div', 'footer', 'header', 'aside'))
+SELECT page_id, CAST(node AS INTEGER) AS node, own, arg_min(href, below) FILTER (WHERE rel = 'ul/li/a' AND href IS NOT NULL) AS first_item, count(*) FILTER (WHERE tag = 'a') AS n_links, coalesce(string_agg(href, ' ' ORDER BY below) FILTER (WHERE tag = 'a'), '') AS links,
+count(*) FILTER (WHERE rel = 'h1') AS headings FROM g GROUP BY 1, 2, 3""")
+def block_records(spark, d):
+    """A record of each block: its class, the first item of its list, its links, its headings."""
+    from .operators import trees
+
+    n = trees.paths(_page_nodes(spark, d), ["page_id"])
+    fields = {"own": trees.Field("", F.col("cls")), "first_item": trees.Field("ul/li/a", F.col("href")), "n_links": trees.Field("//a", take="count"), "links": trees.Field("//a", F.col("href"), "list"), "headings": trees.Field("h1", take="count")}
+    out = trees.records(n.where("tag IN ('nav', 'article', 'div', 'footer', 'header', 'aside')"), n, ["page_id"], fields)
+    return out.withColumn("links", F.array_join("links", " "))
+
+
+@query("""WITH RECURSIVE t AS (SELECT p_partkey AS node, CASE WHEN p_partkey > 1 THEN p_partkey // 2 END AS parent, CASE p_size % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 1.0 ELSE 2.0 END::DOUBLE AS s, CAST(p_size - 25 AS DOUBLE) AS o, p_size = 7 AS lost FROM part),
+w AS (SELECT node, s, o, lost FROM t WHERE parent IS NULL UNION ALL SELECT t.node, w.s * t.s, w.o + w.s * t.o, w.lost OR t.lost FROM w JOIN t ON t.parent = w.node)
+SELECT node, CASE WHEN NOT lost THEN s END AS scale, CASE WHEN NOT lost THEN o END AS offset FROM w""")
+def composed_transforms(spark, d):
+    """Scale and offset of a part in its assembly's frame, through all assemblies; a lost frame loses all below it."""
+    from .operators import trees
+
+    scale = "CAST(CASE p_size % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 1.0 ELSE 2.0 END AS DOUBLE)"
+    t = table(spark, d, "part").selectExpr("0 AS tree", "p_partkey AS node", "IF(p_partkey > 1, p_partkey DIV 2, NULL) AS parent", f"IF(p_size <> 7, named_struct('s', {scale}, 'o', CAST(p_size - 25 AS DOUBLE)), NULL) AS v")
+    both = lambda up, own: F.when(up.isNotNull() & own.isNotNull(), F.struct((up["s"] * own["s"]).alias("s"), (up["o"] + up["s"] * own["o"]).alias("o")))
+    return trees.along(t, ["tree"], "v", both).select("node", F.col("v.s").alias("scale"), F.col("v.o").alias("offset"))
+
+
+# ---- packages made of parts: a package a brand, a slide a size
+
+
+def _slide_parts(spark, d):
+    """pkg, part, bytes: slides with two nested groups, their layout and master, and their relationships."""
+    p = table(spark, d, "part")
+    shape = """concat('<p:', k, '><p:nv', n, '><p:cNvPr id="', p_partkey, '" name="ia:', p_partkey, '"', IF(p_partkey % 13 = 0, ' hidden="1"', ''), '/>', IF(k = 'sp', concat('<p:nvPr><p:ph type="', IF(p_partkey % 3 = 0, 'title', 'body'), '" idx="', p_partkey % 6, '"/></p:nvPr>'), ''), '</p:nv', n, '><p:spPr>',
+    IF(p_partkey % 5 = 0, '', concat('<a:xfrm rot="', p_size * 60000, '"><a:off x="', p_partkey * 7 % 900, '" y="', p_size * 10 - 60, '"/><a:ext cx="', p_partkey % 200, '" cy="', p_size + 1, '"/></a:xfrm>')), '</p:spPr>', IF(k = 'sp', concat('<p:txBody><a:p><a:r><a:t>', p_brand, '</a:t></a:r><a:r><a:t> ', p_size, '</a:t></a:r></a:p></p:txBody>'), ''), '</p:', k, '>')"""
+    s = p.selectExpr("*", "element_at(array('sp', 'sp', 'pic', 'cxnSp'), CAST(p_partkey % 7 % 4 AS INT) + 1) AS k").selectExpr("*", "element_at(array('SpPr', 'SpPr', 'PicPr', 'CxnSpPr'), CAST(p_partkey % 7 % 4 AS INT) + 1) AS n").selectExpr("p_brand", "p_size", "p_partkey", "p_partkey % 4 AS place", f"{shape} AS x")
+    inside = lambda *places: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("place").isin(*places), F.struct("p_partkey", "x")))), lambda v: v["x"]), "")
+    slide = s.groupBy("p_brand", "p_size").agg(inside(0).alias("free"), inside(1).alias("outer"), inside(2, 3).alias("inner"))
+    head = '<p:nvGrpSpPr><p:cNvPr id="{0}" name="{0}"{1}/></p:nvGrpSpPr><p:grpSpPr><a:xfrm><a:off x="{2}" y="{3}"/><a:ext cx="{4}" cy="{5}"/><a:chOff x="{6}" y="{7}"/><a:chExt cx="{8}" cy="{9}"/></a:xfrm></p:grpSpPr>'
+    size = F.col("p_size")
+    text = lambda t: F.lit(t)
+    outer = F.concat(text('<p:grpSp><p:nvGrpSpPr><p:cNvPr id="1" name="1"'), F.when(size % 7 == 0, ' hidden="true"').otherwise(""), text("/>" + head.split("/>", 1)[1].format(0, "", 100, 50, "{w}", 500, 20, 10, 400, 500).split("{w}")[0]), ((1 + size % 3) * 400).cast("string"), text(head.format(0, "", 100, 50, "{w}", 500, 20, 10, 400, 500).split("{w}")[1]))
+    inner = F.concat(text("<p:grpSp>" + head.format(2, "", 200, 100, 400, 200, 0, 0, "{w}", 400).split("{w}")[0]), F.when(size % 11 == 0, "0").otherwise("800"), text(head.format(2, "", 200, 100, 400, 200, 0, 0, "{w}", 400).split("{w}")[1]))
+    page = lambda root, body: F.concat(text(f'<p:{root} xmlns:p="P" xmlns:a="A"><p:cSld><p:spTree>'), body, text(f"</p:spTree></p:cSld></p:{root}>"))
+    slides = slide.select(F.col("p_brand").alias("pkg"), F.concat(F.lit("ppt/slides/"), size.cast("string"), F.lit(".xml")).alias("part"), page("sld", F.concat("free", outer, "outer", inner, "inner", text("</p:grpSp></p:grpSp>"))).alias("x"))
+    links = lambda kind, to: text(f'<r><x:Relationship xmlns:x="R" Id="r" Type="t/{kind}" Target="{to}"/></r>')
+    rels = slide.select(F.col("p_brand").alias("pkg"), F.concat(F.lit("ppt/slides/_rels/"), size.cast("string"), F.lit(".xml.rels")).alias("part"), links("slideLayout", "../slideLayouts/l.xml").alias("x"))
+    holder = lambda kind, idx, x: f'<p:sp><p:nvSpPr><p:nvPr><p:ph type="{kind}" idx="{idx}"/></p:nvPr></p:nvSpPr><p:spPr>' + (f'<a:xfrm><a:off x="{x}" y="{x + 5}"/><a:ext cx="{x + 20}" cy="30"/></a:xfrm>' if x else "") + "</p:spPr></p:sp>"
+    layout, master = "".join(holder("body", i, 40 * i) for i in range(4)), holder("title", 90, 300) + holder("body", 91, 330)
+    of_brand = F.explode(F.array(*[F.struct(F.lit(n).alias("part"), x.alias("x")) for n, x in (("ppt/slideLayouts/l.xml", page("sldLayout", text(layout))), ("ppt/slideMasters/m.xml", page("sldMaster", text(master))), ("ppt/slideLayouts/_rels/l.xml.rels", links("slideMaster", "../slideMasters/m.xml")))]))
+    common = p.select(F.col("p_brand").alias("pkg")).distinct().select("pkg", of_brand.alias("v")).select("pkg", "v.part", "v.x")
+    return slides.unionByName(rels).unionByName(common).select("pkg", "part", F.col("x").cast("binary").alias("bytes"))
+
+
+@query("""WITH t AS (SELECT p_brand, p_size, p_partkey, p_partkey % 4 AS place, ['sp', 'sp', 'pic', 'cxnSp'][p_partkey % 7 % 4 + 1] AS k, p_partkey % 6 AS idx, 1.0::DOUBLE * (1 + p_size % 3) AS s, p_size % 11 = 0 AS flat, p_size % 7 = 0 AS dark FROM part),
+g AS (SELECT *, CASE WHEN p_partkey % 5 <> 0 THEN [p_partkey * 7 % 900, p_size * 10 - 60, p_partkey % 200, p_size + 1] WHEN k <> 'sp' THEN NULL
+WHEN idx IN (1, 2, 3) THEN [40 * idx, 40 * idx + 5, 40 * idx + 20, 30] WHEN p_partkey % 3 = 0 THEN [300, 305, 320, 30] ELSE [330, 335, 350, 30] END AS b FROM t),
+f AS (SELECT *, CASE WHEN place = 0 THEN 1.0 WHEN place = 1 OR flat THEN s ELSE s * 0.5 END AS sx, CASE WHEN place IN (0, 1) OR flat THEN 1.0 ELSE 0.5 END AS sy,
+CASE WHEN place = 0 THEN 0.0 WHEN place = 1 OR flat THEN 100 - 20 * s ELSE 100 - 20 * s + s * 200 END AS tx, CASE WHEN place = 0 THEN 0.0 WHEN place = 1 OR flat THEN 40.0 ELSE 140.0 END AS ty FROM g),
+o AS (SELECT *, p_partkey % 13 = 0 OR (place > 0 AND dark) OR (place > 1 AND flat) AS hidden, CAST(round_even(tx + sx * b[1], 0) AS BIGINT) AS x, CAST(round_even(ty + sy * b[2], 0) AS BIGINT) AS y, CAST(round_even(sx * b[3], 0) AS BIGINT) AS w, CAST(round_even(sy * b[4], 0) AS BIGINT) AS h FROM f)
+SELECT p_brand AS pkg, CAST(p_partkey AS VARCHAR) AS object_id, k AS object_type, hidden, x, y, w, h, CASE WHEN hidden THEN false ELSE w > 0 AND h > 0 AND x < 960 AND y < 540 AND x + w > 0 AND y + h > 0 END AS visible,
+CASE WHEN p_partkey % 5 <> 0 THEN CAST(p_size AS DOUBLE) ELSE 0.0 END AS rotation, CASE WHEN k = 'sp' THEN p_brand || ' ' || p_size END AS text FROM o""")
+def slide_objects(spark, d):
+    """Objects of every slide in slide space, through groups, layouts and masters."""
+    from .operators.closure import Tables
+    from .plans import slides
+    from .sources.documents import relationships, xml_nodes
+
+    nodes = Tables(spark).put(xml_nodes(_slide_parts(spark, d)))
+    o = slides.slide_objects(nodes, relationships(nodes), 960, 540).where("object_type <> 'grpSp'")
+    return o.select("pkg", "object_id", "object_type", "hidden", F.col("b.x").alias("x"), F.col("b.y").alias("y"), F.col("b.w").alias("w"), F.col("b.h").alias("h"), "visible", "rotation", "text")
