@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.texts import child_path
-from .closure import cut
+from .closure import Tables
 
 
 def nodes(docs: DataFrame) -> DataFrame:
@@ -17,12 +17,12 @@ def nodes(docs: DataFrame) -> DataFrame:
     """
     kind = lambda v: F.regexp_extract(F.schema_of_variant(v), r"^(\w+)", 1).alias("kind")
     level = docs.where("doc IS NOT NULL").select("doc_id", F.lit("$").alias("path"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("int").alias("pos"), kind("doc"), F.col("doc").alias("value"))
-    out, spark, depth = level, docs.sparkSession, 0
+    out, spark, depth, tables = level, docs.sparkSession, 0, Tables(docs.sparkSession)
     while True:
         depth += 1
         e = level.where("kind IN ('OBJECT', 'ARRAY')").select("doc_id", F.col("path").alias("up"), F.col("value").alias("v")).lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
         path = F.when(F.col("key").isNotNull(), child_path("up", "key")).otherwise(F.concat("up", F.lit("["), F.col("pos").cast("string"), F.lit("]")))
-        level = cut(e.select("doc_id", path.alias("path"), F.lit(depth).alias("depth"), "key", "pos", kind("value"), "value"))
+        level = tables.put(e.select("doc_id", path.alias("path"), F.lit(depth).alias("depth"), "key", "pos", kind("value"), "value"))
         if level.isEmpty():
             return out
         out = out.unionByName(level)

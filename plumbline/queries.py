@@ -626,9 +626,9 @@ def page_verdicts(spark, d):
 @query("""SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, 37 + count(*) * 34 + CAST(sum(CASE WHEN l_returnflag = 'A' THEN 1 WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) AS BIGINT) - CAST(sum(CASE WHEN l_quantity = 7 THEN 1 ELSE 0 END) AS BIGINT)
 + count(DISTINCT CASE WHEN l_linenumber <> 6 THEN l_linenumber END) + CASE WHEN l_orderkey % 17 = 0 THEN 1 ELSE 0 END + CASE WHEN l_orderkey % 19 = 0 THEN 0 ELSE 1 END + CASE WHEN l_orderkey % 11 = 0 THEN 5 WHEN l_orderkey % 29 = 0 THEN 0 ELSE 1 END - CASE WHEN l_orderkey % 23 = 0 THEN 3 ELSE 0 END AS n_values FROM lineitem GROUP BY l_orderkey""")
 def document_walk(spark, d):
-    from .operators import walk
+    from .sources.documents import json_nodes
 
-    return walk.nodes(page_documents(spark, d)).groupBy("doc_id").agg(F.count("*").alias("n_values"))
+    return json_nodes(page_documents(spark, d)).groupBy("doc_id").agg(F.count("*").alias("n_values"))
 
 
 @query("SELECT doc_id, sha256('{\"a\":' || doc_id || ',\"lang\":\"' || lang || '\"}') AS h FROM documents")
@@ -892,3 +892,21 @@ def slide_objects(spark, d):
     nodes = Tables(spark).put(xml_nodes(_slide_parts(spark, d)))
     o = slides.slide_objects(nodes, relationships(nodes), 960, 540).where("object_type <> 'grpSp'")
     return o.select("pkg", "object_id", "object_type", "hidden", F.col("b.x").alias("x"), F.col("b.y").alias("y"), F.col("b.w").alias("w"), F.col("b.h").alias("h"), "visible", "rotation", "text")
+
+
+# ---- documents put together again
+
+
+@query("""WITH i AS (SELECT o_custkey AS c, string_agg('{"font_declaration_verified":' || CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE 'false' END || ',"n":' || o_orderkey || ',"text":"' || o_orderstatus || '"}', ',' ORDER BY o_orderkey) AS whole,
+string_agg('{"n":' || o_orderkey || ',"text":"' || o_orderstatus || '"}', ',' ORDER BY o_orderkey) AS plain, count(*) AS n FROM orders GROUP BY 1)
+SELECT c AS doc_id, sha256('{"activated_modules":["high_risk","typography"],"delivery_status":"pending","modules":{"high_risk":{"items":[' || n || ']},"typography":{"items":[' || whole || ']}},"page_id":"page-' || c || '"}') AS input_sha256,
+sha256('{"activated_modules":["typography"],"modules":{"typography":{"items":[' || plain || ']}},"page_id":"page-' || c || '"}') AS content_sha256 FROM i""")
+def content_identities(spark, d):
+    """Identities of a document for each customer, with all that was given and without what is added later."""
+    from .plans.projection import identities
+
+    item = F.struct(F.col("o_orderstatus").alias("text"), F.col("o_orderkey").alias("n"), (F.col("o_orderkey") % 2 == 0).alias("font_declaration_verified"))
+    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", item.alias("i")))), lambda s: s["i"]).alias("items"), F.count("*").alias("n"))
+    modules = F.struct(F.struct("items").alias("typography"), F.struct(F.array("n").alias("items")).alias("high_risk"))
+    doc = F.struct(F.concat(F.lit("page-"), "o_custkey").alias("page_id"), F.lit("pending").alias("delivery_status"), F.array(F.lit("high_risk"), F.lit("typography")).alias("activated_modules"), modules.alias("modules"))
+    return identities(o.select(F.col("o_custkey").alias("doc_id"), F.to_json(doc).alias("raw")))
