@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import boxes
-from ..operators import trees
+from ..operators import matching, trees
 from ..operators.closure import Tables
+from ..operators.issues import check, issue
 from ..operators.trees import Field
 
 TREE = ["pkg", "part"]
@@ -170,3 +171,25 @@ def slide_objects(nodes: DataFrame, rels: DataFrame, width: int, height: int, *,
     out = tables.put(out.withColumns({"geometry_known": F.col("b").isNotNull(), "visible": F.when(F.col("hidden"), F.lit(False)).otherwise(shows)}))
     tables.drop(nodes, objects)
     return out
+
+
+def text_bindings(expected: DataFrame, objects: DataFrame, width: int, height: int, *, lead: str = "ia:") -> DataFrame:
+    """Issues of expected texts (pkg, ord, element_id, b, text) against text objects (pkg, slide_part, object_id, object_name, b, text).
+
+    An object may be an item's if it carries its element's name, alone or before a colon, and each side of its box is within 1%
+    of the slide of the item's.  Items go by `ord`, and each takes the only such object that no earlier one took; without any it
+    is missing, with several ambiguous.  Of a pair the texts must be equal.  A null box fits nothing; a null text is not compared.
+    """
+    names = F.filter(F.transform(F.sequence(F.lit(1), F.size(F.split("object_name", ":"))), lambda n: F.array_join(F.slice(F.split("object_name", ":"), F.lit(1), n), ":")), lambda x: x.startswith(lead))
+    o = objects.where("object_name IS NOT NULL AND b IS NOT NULL").select("pkg", F.struct("slide_part", "object_id").alias("key"), F.col("b").alias("ob"), F.col("text").alias("otext"), F.explode(names).alias("name"))
+    e = expected.withColumn("name", F.concat(F.lit(lead), "element_id"))
+    met = e.join(o, ["pkg", "name"]).where(boxes.within("ob", "b", F.lit(width), F.lit(height)))
+    turns = matching.take_in_turn(expected.select("pkg", "ord"), met.select("pkg", "ord", "key"), "pkg", "ord", "key")
+    pairs = expected.join(turns, ["pkg", "ord"]).join(o.select("pkg", F.col("key").alias("took"), "otext").distinct(), ["pkg", "took"], "left")
+    at = F.col("element_id")
+    return check(
+        pairs.withColumnRenamed("pkg", "doc_id"),
+        (F.col("state") == "missing", issue("TYPOGRAPHY_TEXTBOX_MISSING", at, "no free text object")),
+        (F.col("state") == "ambiguous", issue("TYPOGRAPHY_TEXTBOX_AMBIGUOUS", at, "several free text objects")),
+        ((F.col("state") == "taken") & F.col("text").isNotNull() & ~F.col("text").eqNullSafe(F.col("otext")), issue("TEXT_RUN_TEXT_MISMATCH", at, "its text is another")),
+    )

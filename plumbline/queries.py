@@ -910,3 +910,40 @@ def content_identities(spark, d):
     modules = F.struct(F.struct("items").alias("typography"), F.struct(F.array("n").alias("items")).alias("high_risk"))
     doc = F.struct(F.concat(F.lit("page-"), "o_custkey").alias("page_id"), F.lit("pending").alias("delivery_status"), F.array(F.lit("high_risk"), F.lit("typography")).alias("activated_modules"), modules.alias("modules"))
     return identities(o.select(F.col("o_custkey").alias("doc_id"), F.to_json(doc).alias("raw")))
+
+
+# ---- taking in turn, and coverage of what is asked
+
+
+@query("""WITH RECURSIVE i AS (SELECT o_custkey AS g, o_orderkey AS item, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k,
+list_distinct(list_filter([o_orderkey // 4 % 9, CASE WHEN o_orderstatus <> 'F' THEN o_orderkey // 36 % 9 END], lambda x: x IS NOT NULL AND x < 8)) AS c FROM orders),
+w AS (SELECT g, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS item, CAST([] AS BIGINT[]) AS used, CAST([] AS BIGINT[]) AS free FROM (SELECT DISTINCT g FROM i) z
+UNION ALL SELECT g, k, item, CASE WHEN len(free) = 1 THEN list_append(used, free[1]) ELSE used END, free FROM
+(SELECT i.g, i.k, i.item, w.used, list_filter(i.c, lambda x: NOT list_contains(w.used, x)) AS free FROM w JOIN i ON i.g = w.g AND i.k = w.k + 1) y)
+SELECT g AS o_custkey, item AS o_orderkey, CASE len(free) WHEN 0 THEN 'missing' WHEN 1 THEN 'taken' ELSE 'ambiguous' END AS state, CASE WHEN len(free) = 1 THEN free[1] END AS took FROM w WHERE k > 0""")
+def slots_in_turn(spark, d):
+    """A customer's orders take slots one after another, each its only free one."""
+    o = table(spark, d, "orders")
+    slots = F.array(F.expr("o_orderkey DIV 4 % 9"), F.when(F.col("o_orderstatus") != "F", F.expr("o_orderkey DIV 36 % 9")))
+    links = o.select("o_custkey", "o_orderkey", F.explode(slots).alias("slot")).where("slot < 8")
+    return matching.take_in_turn(o.select("o_custkey", "o_orderkey"), links, "o_custkey", "o_orderkey", "slot")
+
+
+_ASKED = [("A", "returned"), ("R", "returned"), ("R", "inspected"), ("N", "delivered"), ("O", "open"), (None, "ordered")]
+
+
+@query("""WITH r(feature, item) AS (VALUES ('A', 'returned'), ('R', 'returned'), ('R', 'inspected'), ('N', 'delivered'), ('O', 'open'), (NULL, 'ordered')),
+f AS (SELECT l_orderkey AS k, l_returnflag AS feature FROM lineitem UNION SELECT l_orderkey, l_linestatus FROM lineitem),
+a AS (SELECT DISTINCT k, item FROM f JOIN r ON r.feature IS NULL OR r.feature = f.feature),
+g AS (SELECT DISTINCT l_orderkey AS k, unnest(list_filter(['ordered', CASE WHEN l_quantity > 10 THEN 'returned' END, CASE WHEN l_discount > 0.02 THEN 'inspected' END, CASE WHEN l_tax > 0.01 THEN 'delivered' END, CASE WHEN l_linenumber <> 3 THEN 'open' END], lambda x: x IS NOT NULL)) AS item FROM lineitem),
+b AS (SELECT coalesce(a.k, g.k) AS k, coalesce(a.item, g.item) AS item, a.k IS NOT NULL AS asked, g.k IS NOT NULL AS given FROM a FULL JOIN g ON a.k = g.k AND a.item = g.item)
+SELECT k AS l_orderkey, count(*) FILTER (WHERE asked) AS n_asked, count(*) FILTER (WHERE asked AND given) AS n_given, coalesce(string_agg(item, ',' ORDER BY item) FILTER (WHERE asked AND NOT given), '') AS missing,
+coalesce(string_agg(item, ',' ORDER BY item) FILTER (WHERE given AND NOT asked), '') AS surplus, bool_and(given OR NOT asked) AS complete FROM b GROUP BY 1""")
+def asked_and_given(spark, d):
+    """What the states of an order's lines ask for, against what the lines give."""
+    l = table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "k")
+    features = l.select("k", F.explode(F.array("l_returnflag", "l_linestatus")).alias("feature"))
+    rules = spark.createDataFrame(_ASKED, "feature string, item string")
+    marks = F.array(F.lit("ordered"), F.when(F.col("l_quantity") > 10, "returned"), F.when(F.col("l_discount") > 0.02, "inspected"), F.when(F.col("l_tax") > 0.01, "delivered"), F.when(F.col("l_linenumber") != 3, "open"))
+    out = keys.coverage(keys.required(features, rules, "k", "feature", "item"), l.select("k", F.explode(marks).alias("item")), "k", "item")
+    return out.select(F.col("k").alias("l_orderkey"), "n_asked", "n_given", F.array_join("missing", ",").alias("missing"), F.array_join("surplus", ",").alias("surplus"), "complete")

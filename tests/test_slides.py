@@ -164,3 +164,15 @@ def test_objects_are_bound(decks, spark):
 def test_no_parts(decks, spark):
     nodes = decks[1].limit(0)
     assert slides.slide_objects(nodes, src.relationships(nodes), 1, 1).count() == 0
+
+
+def test_texts_take_objects_in_turn(spark):
+    box = "struct<x:bigint,y:bigint,w:bigint,h:bigint>"
+    here, far = (0, 0, 100, 50), (300, 0, 100, 50)
+    objects = spark.createDataFrame(
+        [("p", "s", "1", "ia:a", here, "one"), ("p", "s", "2", "ia:a:b", here, "two"), ("p", "s", "3", "ia:c", far, "x"), ("p", "s", "4", "ia:d:1", here, "x"), ("p", "s", "5", "ia:d:2", here, "x"), ("p", "s", "6", None, here, "x"), ("q", "s", "1", "ia:a", None, "x")],
+        f"pkg string, slide_part string, object_id string, object_name string, b {box}, text string",
+    )
+    expected = spark.createDataFrame([("p", 1, "a:b", (4, 4, 100, 50), "two"), ("p", 2, "a", here, "other"), ("p", 3, "c", here, "x"), ("p", 4, "d", here, "x"), ("q", 1, "a", here, "x"), ("p", 5, "a", here, "one")], f"pkg string, ord int, element_id string, b {box}, text string")
+    got = {(r["doc_id"], r["code"], r["path"]) for r in slides.text_bindings(expected, objects, 600, 400).collect()}
+    assert got == {("p", "TEXT_RUN_TEXT_MISMATCH", "a"), ("p", "TYPOGRAPHY_TEXTBOX_MISSING", "c"), ("p", "TYPOGRAPHY_TEXTBOX_AMBIGUOUS", "d"), ("q", "TYPOGRAPHY_TEXTBOX_MISSING", "a"), ("p", "TYPOGRAPHY_TEXTBOX_MISSING", "a")}
