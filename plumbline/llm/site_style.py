@@ -35,8 +35,11 @@ _ASIDE = re.compile(
 _LAYOUT = re.compile(r"(?:^|\s)(?:has|no|with|without|is)[_-]\S*", re.I)
 _READERS = re.compile(r"comment|repl(?:y|ies)|respond|disqus", re.I)
 _MAIN = re.compile(r"(?:^|[\s_-])(?:article|main|content|post|entry|story|articlebody)(?=$|[\s_-])", re.I)
-#: Branches with a lower importance go; what names and elements call an aside has BESIDE times the importance of its branch.
-LEAST, BESIDE, GAMMA = 0.2, 0.1, 0.9
+#: Branches with a lower importance go; what names and elements call an aside has BESIDE times the importance of its branch, unless
+#: only a name does and the branch holds MASS of the text on its host's pages: that is what the pages are about.
+LEAST, BESIDE, GAMMA, MASS = 0.2, 0.1, 0.9, 0.5
+#: Added to the importance of a branch that holds so much.
+HOLDS = 2.0
 
 
 class _Node:
@@ -74,11 +77,12 @@ def _open(tag: str, attrs: str, parent: _Node) -> _Node:
     return _Node(tag, tag + ("." + first[0] if first else ""), drop, beside, main)
 
 
-def blocks(page: str | None) -> list[tuple[str, str, int, bool, float]]:
+def blocks(page: str | None) -> list[tuple[str, str, int, int, float]]:
     """The page's text blocks: (path, text, main, beside, link share).
 
     path: the styles from the root; main: 3 inside <article>, 2 inside <main>, 1 inside an element named like one,
-    0 elsewhere; beside: elements or names call it a menu, header, footer, advert, comment and the like.  Character references are decoded, white space is one space, the ends are trimmed, empty blocks go.
+    0 elsewhere; beside: 2 if elements, or names of readers' parts or inside an article, call it a menu, header, footer, advert,
+    comment and the like, 1 if another name does, else 0.  Character references are decoded, white space is one space, the ends are trimmed, empty blocks go.
     """
     page = page or ""
     stack, out, parts, linked = [_Node("", "", False, 0, 0)], [], [], [0, 0]
@@ -90,7 +94,7 @@ def blocks(page: str | None) -> list[tuple[str, str, int, bool, float]]:
             if text:
                 block = stack[-1]
                 path = ">".join(n.style for n in stack[1:] if n.tag in _BLOCKS)
-                out.append((path, text, block.main, block.beside > 0, linked[0] / max(1, linked[1])))
+                out.append((path, text, block.main, block.beside, linked[0] / max(1, linked[1])))
             parts.clear()
         linked[:] = [0, 0]
 
@@ -166,7 +170,7 @@ def _key(x: str) -> int:
 
 
 def style_tree(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, key, pages, importance): the site style trees, a row for each branch and each leaf of each host.
+    """(host, key, pages, importance, share): the site style trees, a row for each branch and each leaf of each host.
 
     Pages of a host are merged: blocks with the same path of styles are one node, known by the hash of its path, and
     equal texts under it are one leaf, known by the hash of its text.  Pages with the same blocks outside asides are
@@ -174,7 +178,7 @@ def style_tree(pages: DataFrame, *, url_col: str = "url", html_col: str = "html"
     importance is the mean of its leaves', its presentation importance the entropy, over log(pages), of how many blocks
     it has on a page; combined they are (1 - g^k) presentation + g^k content for k distinct presentations.  So it is near
     0 where every page shows the same, and 1 where all differ.  What few pages tell is drawn to 1: of m pages
-    1 - 1 / m counts.  Counts are combined before each shuffle, so one host may hold most of the pages.
+    1 - 1 / m counts.  share is the mean part of a page's text that a branch holds, drawn to 0 likewise; null for leaves.  Counts are combined before each shuffle, so one host may hold most of the pages.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,10 +187,13 @@ def style_tree(pages: DataFrame, *, url_col: str = "url", html_col: str = "html"
             for url, page in zip(batch.column(0).to_pylist(), batch.column(1)):
                 host, own, found = host_of(url), {}, blocks(page.as_py())
                 copy = _key("\n".join(b[1] for b in found if not b[3]))
+                size = {}
                 for path, text, *_ in found:
                     own.setdefault(path, []).append(_key(text))
+                    size[path] = size.get(path, 0) + len(text)
+                whole = max(1, sum(size.values()))
                 for path, texts in own.items():
-                    for kind, value in [*((0, t) for t in set(texts)), (1, len(texts))]:
+                    for kind, value in [*((0, t) for t in set(texts)), (1, len(texts)), (2, 1000 * size[path] // whole)]:
                         hosts.append(host)
                         copies.append(copy)
                         paths.append(_key(path))
@@ -201,28 +208,31 @@ def style_tree(pages: DataFrame, *, url_col: str = "url", html_col: str = "html"
         F.avg(F.when(F.col("kind") == 0, F.log(F.col("n").cast("double")))).alias("shared"),
         F.sum(F.when(F.col("kind") == 1, F.col("n") * F.log(F.col("n").cast("double")))).alias("x"),
         F.count(F.when(F.col("kind") == 1, 1)).alias("k"),
+        F.sum(F.when(F.col("kind") == 2, F.col("n") * F.col("value") / 1000)).alias("held"),
     )
     most = F.log(F.greatest(F.col("pages"), F.lit(2)).cast("double"))
     told = lambda low: 1 - low * (1 - 1 / F.col("pages"))
     presentation = (F.log(F.col("pages").cast("double")) - F.col("x") / F.col("pages")) / most
     weight = F.pow(F.lit(GAMMA), F.col("k"))
     node = (1 - weight) * presentation + weight * (1 - F.col("shared") / most)
-    nodes = sums.select("host", F.col("path").alias("key"), "pages", told(1 - node).alias("importance"))
+    nodes = sums.select("host", F.col("path").alias("key"), "pages", told(1 - node).alias("importance"), (F.col("held") / F.col("pages") * (1 - 1 / F.col("pages"))).alias("share"))
     leaves = counts.where("kind = 0 AND n > 1").join(sums.select("host", "path", "pages"), ["host", "path"])
-    leaves = leaves.select("host", F.col("path").bitwiseXOR(F.col("value")).alias("key"), "pages", told(F.log(F.col("n").cast("double")) / most).alias("importance"))
+    leaves = leaves.select("host", F.col("path").bitwiseXOR(F.col("value")).alias("key"), "pages", told(F.log(F.col("n").cast("double")) / most).alias("importance"), F.lit(None).cast("double").alias("share"))
     return nodes.unionByName(leaves)
 
 
 def _chosen(found: list[tuple], low: dict[int, float], least: float) -> list[str]:
     """The texts that stay: important branches and leaves of the innermost marked root that holds most of them.
 
-    low: importance of the host's branches and leaves, where it may be under 1.
+    low: importance of the host's branches and leaves, where it may be under 1, and HOLDS more for branches with MASS of the text.
     """
     kept = []
     for path, text, main, beside, links in found:
         p = _key(path)
-        importance = min(low.get(p, 1.0), low.get(p ^ _key(text), 1.0))
-        if (BESIDE if beside else 1.0) * importance * (1.0 if main else 1 - links) >= least:
+        branch = low.get(p, 1.0)
+        holds = branch >= HOLDS
+        importance = min(branch - HOLDS if holds else branch, low.get(p ^ _key(text), 1.0))
+        if (BESIDE if beside == 2 or beside and not holds else 1.0) * importance * (1.0 if main else 1 - links) >= least:
             kept.append((main, text))
     kept = kept or [(b[2], b[1]) for b in found if not b[3]]
     mass = sum(len(t) for _, t in kept)
@@ -236,7 +246,8 @@ def main_text(pages: DataFrame, *, url_col: str = "url", html_col: str = "html",
     """The `keep` columns of pages (all by default) with main_text string.
 
     The site style tree of the page's host gives every branch and leaf its importance.  Elements and names that call a
-    branch a menu, header, footer, advert or comments lower it, and so does being made of links outside any marked root;
+    branch a menu, header, footer, advert or comments lower it, but for a name on a branch that holds half of the text on the
+    host's pages, and so does being made of links outside any marked root;
     what falls under `least` goes.  Of the rest the innermost root that the page marks (<article>, <main>, an element named
     so) and that holds over half of the text is the main text; without one, all of it.  If nothing is important, all
     outside asides stays.
@@ -248,7 +259,9 @@ def main_text(pages: DataFrame, *, url_col: str = "url", html_col: str = "html",
     keep, spark = keep or pages.columns, pages.sparkSession
     (name,) = fresh(pages, "main_text")
     made = Tables(spark)
-    low = made.put(style_tree(pages, url_col=url_col, html_col=html_col).where(F.col("importance") < least).select("host", "key", "importance"))
+    low = style_tree(pages, url_col=url_col, html_col=html_col)
+    holds = F.coalesce(F.col("share") >= MASS, F.lit(False))  # of two branches of a host at most
+    low = made.put(low.where((F.col("importance") < least) | holds).select("host", "key", (F.col("importance") + F.when(holds, HOLDS).otherwise(0.0)).alias("importance")))
     schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep) + f", `{name}` string"
 
     def texts(batch: pa.RecordBatch, of) -> pa.RecordBatch:

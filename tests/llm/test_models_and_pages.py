@@ -71,6 +71,46 @@ def test_root_is_chosen_by_its_text(spark):
     assert out == {1: "A long text that stands in the main element, word after word, and goes on.\nA card", 2: "Text one\nText two", 3: "Story"}
 
 
+def test_a_named_branch_that_holds_the_text_is_kept(spark):
+    page = '<body><div class="menu"><p>Home {0}</p><p>About {0}</p></div><div class="widget-text"><p>{1} is what this page is about, at some length</p></div><div class="x">Body {0}</div>{2}</body>'
+    readers = '<div class="comments"><p>{} I disagree with all of this, and at great length, again and again and again and once more for good measure</p></div>'
+    rows = [(i, "http://a.example/", page.format(i, f"word{i}", "")) for i in range(8)]
+    rows += [(20 + i, "http://c.example/", f"<div class=y>Story {i}</div>" + readers.format(i)) for i in range(8)]  # readers' parts stay what they are
+    rows += [(40, "http://alone.example/", page.format(0, "word", ""))]  # one page does not tell
+    out = texts(site_style.main_text(pages(spark, rows)))
+    assert out == {i: f"word{i} is what this page is about, at some length\nBody {i}" for i in range(8)} | {20 + i: f"Story {i}" for i in range(8)} | {40: "Body 0"}
+
+
+def test_style_tree_equals_brute_force(spark):
+    import math
+
+    rows = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()] + [(1000 + i, "http://z", f"<p>a</p><div class=b><p>{i % 3}</p><p>x</p></div>" + "<p>b</p>" * (i % 2)) for i in range(7)]
+    leaves, counts = {}, {}  # (host, path) -> text or number of blocks -> the distinct pages that show it
+    for _, url, page in rows:
+        found, host = site_style.blocks(page), site_style.host_of(url)
+        copy = tuple(t for _, t, _, beside, _ in found if not beside)
+        for path in {b[0] for b in found}:
+            own = [b[1] for b in found if b[0] == path]
+            counts.setdefault((host, path), {}).setdefault(len(own), set()).add(copy)
+            for t in own:
+                leaves.setdefault((host, path), {}).setdefault(t, set()).add(copy)
+    want = {}
+    for (host, path), numbers in counts.items():
+        n, texts_ = [len(c) for c in numbers.values()], {t: len(c) for t, c in leaves[host, path].items()}
+        m = sum(n)
+        most = math.log(max(2, m))
+        presentation = -sum(c / m * math.log(c / m) for c in n) / most
+        content = sum(1 - math.log(c) / most for c in texts_.values()) / len(texts_)
+        w = 0.9 ** len(n)
+        key = site_style._key(path)
+        want[host, key] = 1 - (1 - ((1 - w) * presentation + w * content)) * (1 - 1 / m)
+        for t, c in texts_.items():
+            if c > 1:
+                want[host, key ^ site_style._key(t)] = 1 - math.log(c) / most * (1 - 1 / m)
+    got = {(r["host"], r["key"]): r["importance"] for r in site_style.style_tree(pages(spark, rows)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_main_text_odd_pages(spark):
     rows = [(1, None, None), (2, "", ""), (3, "x", "plain < text & more"), (4, "x", "<p>a</b></p><div"), (5, "x", "<script>p"), (6, "x", "<p>" * 3000 + "deep"), (7, "x", "<a href='unclosed>text"), (7, "x", "<!-- open")]
     df = pages(spark, rows).selectExpr("*", "1 AS MAIN_TEXT")
