@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fresh, kept
+from ._common import Tables, fresh, kept
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that count as features beside whole words.
@@ -116,18 +116,19 @@ def _counts(texts: DataFrame, text_col: str, index: dict[str, int] | None) -> Da
     return texts.select(F.col(text_col).alias("t")).mapInArrow(run, f"{field}, n long").groupBy("f").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", prior: float | None = None, max_labelled: int = 10_000, max_features: int = 50_000, min_positives: int = 2, min_z: float = 4.0) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", prior: float | None = None, max_labelled: int = 10_000, features_at_once: int = 50_000, min_positives: int = 2, min_z: float = 4.0) -> Model | None:
     """Fit on confirmed toxic documents and unlabelled ones; None if no labelled document is toxic.
 
     Of the labels given (hold rows out before), at most `max_labelled` toxic ones and at most `max_labelled` of any label
     are taken, by least hash of the id; the latter's labels are used for nothing but the class prior (unless that is given),
     and their texts are the unlabelled side.  Candidate features (words, word beginnings) are those of at least `min_positives` of
-    the toxic texts, at most `max_features` (the most frequent); over all documents it is counted how many have each, and a
+    the toxic texts; over all documents it is counted how many have each, in one pass for each `features_at_once` of them, and a
     feature stays if it is in over `min_z` standard deviations more toxic texts than their share of the corpus
-    explains.  Both bounds are the operator's parameters; nothing else is sampled.  Null labels count as missing.
+    explains.  max_labelled bounds the labelled rows; nothing else is sampled or dropped.  Null labels and labels without an id
+    count as missing; documents without an id are counted, and have no label.
     """
     spark = docs.sparkSession
-    known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("__id"), (F.col(label_col) == 1).cast("int").alias("__y")).groupBy("__id").agg(F.max("__y").alias("__y"))
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), (F.col(label_col) == 1).cast("int").alias("__y")).groupBy("__id").agg(F.max("__y").alias("__y"))
     prior_row = known.agg(F.avg("__y"), F.count("*")).first()
     if not prior_row[1] or not prior_row[0]:
         return None
@@ -137,20 +138,25 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     mixed = known.orderBy(order, "__id").limit(max_labelled)
     chosen = toxic.withColumn("__p", F.lit(1)).unionByName(mixed.withColumn("__p", F.lit(0)))  # at most 2 * max_labelled rows
     sample = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "__id").select("__p", "t")
-    own = _counts(sample.where("__p = 1"), "t", None).where(F.col("n") >= min_positives).orderBy(F.desc("n"), "f").limit(max_features).collect()
+    tables = Tables(spark)
+    able = tables.put(_counts(sample.where("__p = 1"), "t", None).where(F.col("n") >= min_positives))
     n_docs = docs.count()
     n_toxic = sample.where("__p = 1").count()
     if not n_toxic:
         return None
-    index = {r["f"]: i for i, r in enumerate(own)}
-    positives = np.array([r["n"] for r in own], dtype=float)
-    corpus = positives.copy()
-    for r in _counts(docs, text_col, index).collect():  # at most max_features rows
-        corpus[r["f"]] = max(r["n"], positives[r["f"]])
-    share = n_toxic / max(n_docs, n_toxic)
-    z = (positives - corpus * share) / np.sqrt(corpus * share * (1 - share) + 1e-9)
-    kept = np.flatnonzero(z >= min_z)
-    index = {own[i]["f"]: n for n, i in enumerate(kept.tolist())}
+    share, kept_features = n_toxic / max(n_docs, n_toxic), []
+    blocks = max(1, -(-able.count() // features_at_once))
+    for block in range(blocks):
+        own = able.where(F.pmod(F.xxhash64("f"), F.lit(blocks)) == block).collect()  # about features_at_once rows
+        index = {r["f"]: i for i, r in enumerate(own)}
+        positives = np.array([r["n"] for r in own], dtype=float)
+        corpus = positives.copy()
+        for r in _counts(docs, text_col, index).collect():  # at most as many rows
+            corpus[r["f"]] = max(r["n"], positives[r["f"]])
+        z = (positives - corpus * share) / np.sqrt(corpus * share * (1 - share) + 1e-9)
+        kept_features += [(-own[i]["n"], own[i]["f"]) for i in np.flatnonzero(z >= min_z).tolist()]
+    tables.drop_all()
+    index = {f: n for n, (_, f) in enumerate(sorted(kept_features))}
     shared = spark.sparkContext.broadcast(index)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

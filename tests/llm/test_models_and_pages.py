@@ -135,6 +135,12 @@ def test_toxicity_held_out_accuracy(spark):
     assert right >= 0.95, right
 
 
+def test_features_come_in_any_number_of_passes(spark):
+    docs, labels = (spark.read.parquet(f"{SF2}/{t}.parquet") for t in ("documents", "labels"))
+    one, many = toxicity.train(docs, labels), toxicity.train(docs.withColumn("f", docs.doc_id), labels.union(labels.limit(1).selectExpr("CAST(NULL AS BIGINT)", "quality", "1")), features_at_once=300)
+    assert one.index == many.index and len(one.index) > 10 and (one.weights == many.weights).all()
+
+
 def test_nnpu_finds_the_positives_among_the_unlabelled():
     rng = np.random.default_rng(3)
 
