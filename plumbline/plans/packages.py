@@ -27,7 +27,7 @@ def inventory(members: DataFrame) -> DataFrame:
     return gathered([
         check(
             m,
-            (F.col("part").isNull(), issue("PPTX_INVALID", "$", "not a ZIP package")),
+            (F.col("part").isNull(), issue("PPTX_ZIP_INVALID", "$", "not a ZIP package")),
             (unsafe, issue("ZIP_PART_NAME_INVALID", F.col("part"), "unsafe name")),
             (F.col("file_size") > cat.MAX_MEMBER, limit("the member is too large")),
             (media & (F.col("file_size") > cat.MAX_MEDIA), limit("the picture is too large")),
@@ -145,9 +145,9 @@ def merge_batch(pages: DataFrame, batch: str = "batch") -> DataFrame:
     return check(
         h,
         (mixed("profile"), issue("VERIFICATION_PROFILE_MISMATCH", "$", "mixed profiles")),
-        (mixed("renderer"), issue("RENDER_IDENTITY_MIXED", "$", "mixed renderers")),
-        (mixed("runtime_sha256"), issue("RUNTIME_IDENTITY_MIXED", "$", "mixed runtimes")),
+        (mixed("renderer"), issue("RENDER_RUNTIME_MIXED", "$", "mixed renderers")),
+        (mixed("runtime_sha256"), issue("RUNTIME_PREFLIGHT_MIXED", "$", "mixed runtimes")),
         (mixed("capabilities_sha256"), issue("CAPABILITY_MANIFEST_MIXED", "$", "mixed capabilities")),
-        (mixed("size"), issue("PAGE_SIZE_MISMATCH", "$", "mixed page sizes")),
+        (mixed("size"), issue("SLIDE_SIZE_MISMATCH", "$", "mixed page sizes")),
         (F.col("n_keys") < F.col("n_rows"), issue("PAGE_ID_DUPLICATE", "$", "a page id occurs twice")),
     )

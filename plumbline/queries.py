@@ -949,13 +949,13 @@ def asked_and_given(spark, d):
     return out.select(F.col("k").alias("l_orderkey"), "n_asked", "n_given", F.array_join("missing", ",").alias("missing"), F.array_join("surplus", ",").alias("surplus"), "complete")
 
 
-@query("""WITH RECURSIVE r AS (SELECT p_brand AS g, p_partkey AS id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS at,
+@query("""WITH RECURSIVE r AS (SELECT p_brand AS g, p_partkey AS id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS t,
 'slide' || CASE WHEN p_size % 5 = 0 THEN '-' || (p_size % 9 + 2) WHEN p_size % 7 = 0 THEN '-2-' || (p_size % 3 + 2) ELSE '' END || '.xml' AS name FROM part),
-s AS (SELECT g, id, at, name, name[:-5] AS stem FROM r),
-w AS (SELECT g, CAST(0 AS BIGINT) AS at, CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS got, ['slide.xml', 'slide-4.xml', 'slide-2-3.xml'] AS used FROM (SELECT DISTINCT g FROM s) z
-UNION ALL SELECT g, at, id, got, list_append(used, got) FROM (SELECT s.g, s.at, s.id, w.used, CASE WHEN list_contains(w.used, s.name)
-THEN list_filter([s.stem || '-' || k || '.xml' FOR k IN range(2, len(w.used) + 3)], lambda x: NOT list_contains(w.used, x))[1] ELSE s.name END AS got FROM w JOIN s ON s.g = w.g AND s.at = w.at + 1) y)
-SELECT g AS p_brand, id AS p_partkey, got AS unique_name FROM w WHERE at > 0""")
+s AS (SELECT g, id, t, name, name[:-5] AS stem FROM r),
+w AS (SELECT g, CAST(0 AS BIGINT) AS t, CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS got, ['slide.xml', 'slide-4.xml', 'slide-2-3.xml'] AS used FROM (SELECT DISTINCT g FROM s) z
+UNION ALL SELECT g, t, id, got, list_append(used, got) FROM (SELECT s.g, s.t, s.id, w.used, CASE WHEN list_contains(w.used, s.name)
+THEN list_filter([s.stem || '-' || k || '.xml' FOR k IN range(2, len(w.used) + 3)], lambda x: NOT list_contains(w.used, x))[1] ELSE s.name END AS got FROM w JOIN s ON s.g = w.g AND s.t = w.t + 1) y)
+SELECT g AS p_brand, id AS p_partkey, got AS unique_name FROM w WHERE t > 0""")
 def imported_names(spark, d):
     """Names of slides brought into packages that hold some already: the least free number, before the suffix."""
     p = table(spark, d, "part")

@@ -37,7 +37,7 @@ def codes(df):
 
 
 def test_inventory(package):
-    assert codes(packages.inventory(package[0])) == [("one.pptx", "PPTX_RESOURCE_LIMIT", "media/a.bin"), ("one.pptx", "ZIP_PART_NAME_INVALID", "ppt/../x.xml"), ("two.pptx", "PPTX_INVALID", "$")]
+    assert codes(packages.inventory(package[0])) == [("one.pptx", "PPTX_RESOURCE_LIMIT", "media/a.bin"), ("one.pptx", "ZIP_PART_NAME_INVALID", "ppt/../x.xml"), ("two.pptx", "PPTX_ZIP_INVALID", "$")]
 
 
 def test_nodes_in_document_order(package):
