@@ -204,3 +204,68 @@ def foreground_box(pixels: DataFrame, background: DataFrame, key: str = "image")
     box = seen.groupBy(key).agg(F.count("*").alias("visible"), F.min("x").alias("x"), F.min("y").alias("y"), (F.max("x") + 1 - F.min("x")).alias("w"), (F.max("y") + 1 - F.min("y")).alias("h"))
     out = size.join(box, key, "left")
     return out.select(key, F.coalesce("visible", F.lit(0).cast("long")).alias("visible"), "x", "y", "w", "h", (F.col("y") == 0).alias("top"), (F.col("x") + F.col("w") == F.col("iw")).alias("right"), (F.col("y") + F.col("h") == F.col("ih")).alias("bottom"), (F.col("x") == 0).alias("left"))
+
+
+def weights(sizes: DataFrame, inside: str, outside: str, *, lobes: int = 3) -> DataFrame:
+    """(inside, outside, i, o, w): what pixel i of a line of `inside` pixels adds to pixel o of one of `outside` pixels.
+
+    A windowed sinc of `lobes` lobes, widened by the ratio where a line shrinks; the weights of each o add up to 1.
+    """
+    s = sizes.select(inside, outside).distinct().where(f"{inside} > 0 AND {outside} > 0")
+    scale = F.col(inside) / F.col(outside)
+    wide = F.greatest(scale, F.lit(1.0))
+    s = s.select(inside, outside, scale.alias("s"), wide.alias("f"), F.explode(F.sequence(F.lit(0), F.col(outside) - 1)).alias("o")).withColumn("c", (F.col("o") + 0.5) * F.col("s"))
+    low = F.greatest(F.lit(0), F.floor(F.col("c") - lobes * F.col("f") + 0.5).cast("int"))
+    high = F.least(F.col(inside), F.floor(F.col("c") + lobes * F.col("f") + 0.5).cast("int"))
+    sinc = lambda x: F.when(x == 0, 1.0).otherwise(F.sin(np.pi * x) / F.when(x == 0, 1.0).otherwise(np.pi * x))
+    kernel = lambda x: F.when((x >= -lobes) & (x < lobes), sinc(x) * sinc(x / lobes)).otherwise(0.0)
+    s = s.withColumn("t", F.transform(F.sequence(low, high - 1), lambda i: F.struct(i.alias("i"), kernel((i - F.col("c") + 0.5) / F.col("f")).alias("k"))))
+    total = F.aggregate("t", F.lit(0.0), lambda a, x: a + x["k"])
+    return s.withColumn("__total", total).select(inside, outside, "o", "__total", F.inline("t")).select(inside, outside, "i", "o", (F.col("k") / F.col("__total")).alias("w"))
+
+
+def resampled(pixels: DataFrame, sizes: DataFrame, *, key: str = "image") -> DataFrame:
+    """(key, y, x, r, g, b) of images in another size; sizes: key, w, h, to_w, to_h, one row an image.
+
+    Two weighted grouped sums, along the lines and then down, each combined before its shuffle and rounded to a whole level
+    from 0 to 255 (sums to six digits first, so that halves do not hang on the order of adding); the weights are one small relation for each pair of lengths, so a pixel is taken as often as the kernel is
+    wide and no two pixels are paired.  Imaging libraries that sum in fixed point may differ by one level.  Images without a size,
+    and pixels outside theirs, are left out.
+    """
+    level = lambda c: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(F.round(F.sum(F.col(c) * F.col("w")), 6) + 0.5))).cast("int").alias(c)
+    s = sizes.select(key, F.col("w").alias("__w"), F.col("h").alias("__h"), F.col("to_w").alias("__tw"), F.col("to_h").alias("__th"))
+    along = weights(s, "__w", "__tw").withColumnRenamed("i", "x")
+    across = pixels.join(s, key).join(along, ["__w", "__tw", "x"]).groupBy(key, "__h", "__th", "y", F.col("o").alias("x")).agg(*map(level, "rgb"))
+    down = weights(s, "__h", "__th").withColumnRenamed("i", "y")
+    return across.join(down, ["__h", "__th", "y"]).groupBy(key, F.col("o").alias("y"), "x").agg(*map(level, "rgb"))
+
+
+def contained_size(w: Column, h: Column, width: Column, height: Column) -> Column:
+    """struct<w, h>: the largest size of the same shape within width and height, or the own size if that fits."""
+    shape = w / h
+    best = lambda x, off: F.greatest(F.lit(1), F.when(off(F.floor(x)) <= off(F.ceil(x)), F.floor(x)).otherwise(F.ceil(x)))
+    tall = best(height * shape, lambda n: F.abs(shape - n / height))
+    flat = best(width / shape, lambda n: F.when(n == 0, 0.0).otherwise(F.abs(shape - width / F.greatest(n, F.lit(1)))))
+    by_height = width / height >= shape
+    size = lambda a, b: F.struct(a.cast("int").alias("w"), b.cast("int").alias("h"))
+    return F.when((width >= w) & (height >= h), size(w, h)).when(by_height, size(tall, height)).otherwise(size(width, flat))
+
+
+def aligned(preview: DataFrame, sizes: DataFrame, *, key: str = "image") -> tuple[DataFrame, DataFrame]:
+    """Previews in their references' sizes: pixels (key, y, x, r, g, b), and (key, mode).
+
+    sizes: key, w, h (preview), width, height (reference).  Equal sizes stay ("same_dimensions"); of a shape within 0.001 a preview
+    is resized ("resized_to_reference"); others are made to fit inside and stand in the middle of a white page
+    ("contained_to_reference").
+    """
+    same = (F.col("w") == F.col("width")) & (F.col("h") == F.col("height"))
+    near = F.abs(F.col("width") / F.col("height") - F.col("w") / F.col("h")) <= 0.001
+    mode = F.when(same, "same_dimensions").when(near, "resized_to_reference").otherwise("contained_to_reference")
+    fit = contained_size(F.col("w"), F.col("h"), F.col("width"), F.col("height"))
+    s = sizes.withColumns({"mode": mode, "fit": fit})
+    whole = F.col("mode") != "contained_to_reference"
+    s = s.withColumns({"to_w": F.when(whole, F.col("width")).otherwise(F.col("fit.w")), "to_h": F.when(whole, F.col("height")).otherwise(F.col("fit.h"))})
+    moved = resampled(preview, s, key=key).join(s.select(key, F.floor((F.col("width") - F.col("to_w")) / 2).cast("int").alias("dx"), F.floor((F.col("height") - F.col("to_h")) / 2).cast("int").alias("dy")), key)
+    moved = moved.select(key, (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), "r", "g", "b")
+    page = s.select(key, F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"), "width").select(key, "y", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"))
+    return page.join(moved, [key, "y", "x"], "left").select(key, "y", "x", *[F.coalesce(c, F.lit(255)).alias(c) for c in "rgb"]), s.select(key, "mode")

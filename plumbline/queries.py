@@ -963,3 +963,20 @@ def imported_names(spark, d):
     new = p.selectExpr("p_brand", "p_partkey", f"concat('slide', {end}, '.xml') AS name")
     there = p.select("p_brand").distinct().select("p_brand", F.explode(F.array(*map(F.lit, ("slide.xml", "slide-4.xml", "slide-2-3.xml")))).alias("name"))
     return keys.free_names(new, there, "name", ["p_partkey"], folder=["p_brand"], suffixes=True).select("p_brand", "p_partkey", "unique_name")
+
+
+@query(_PIXELS + """, z(n, m) AS (VALUES (8, 13), (8, 5)),
+o AS (SELECT n, m, unnest(range(0, m)) AS o FROM z),
+k AS (SELECT n, m, o, unnest(range(greatest(0, CAST(floor((o + 0.5::DOUBLE) * n / m - 3 * greatest(n / m, 1.0::DOUBLE) + 0.5) AS BIGINT)), least(n, CAST(floor((o + 0.5::DOUBLE) * n / m + 3 * greatest(n / m, 1.0::DOUBLE) + 0.5) AS BIGINT)))) AS i FROM o),
+x AS (SELECT n, m, o, i, (i - (o + 0.5::DOUBLE) * n / m + 0.5) / greatest(n / m, 1.0::DOUBLE) AS x FROM k),
+l AS (SELECT n, m, o, i, CASE WHEN x < -3 OR x >= 3 THEN 0.0 WHEN x = 0 THEN 1.0 ELSE sin(pi() * x) / (pi() * x) * sin(pi() * x / 3) / (pi() * x / 3) END AS w FROM x),
+w AS (SELECT m, o, i, w / sum(w) OVER (PARTITION BY m, o) AS w FROM l),
+a AS (SELECT vec_id, y, o AS x, greatest(0, least(255, floor(round(sum(r * w), 6) + 0.5))) AS r, greatest(0, least(255, floor(round(sum(g * w), 6) + 0.5))) AS g FROM p JOIN w ON w.i = p.x AND m = 13 GROUP BY 1, 2, 3),
+b AS (SELECT vec_id, o AS y, x, greatest(0, least(255, floor(round(sum(r * w), 6) + 0.5))) AS r, greatest(0, least(255, floor(round(sum(g * w), 6) + 0.5))) AS g FROM a JOIN w ON w.i = a.y AND m = 5 GROUP BY 1, 2, 3)
+SELECT vec_id AS image, count(*) AS n, CAST(sum(r) AS BIGINT) AS r, CAST(sum(g * (x + 1) * (y + 1)) AS BIGINT) AS g FROM b GROUP BY 1""")
+def resampled_images(spark, d):
+    """Images of eight by eight pixels in thirteen by five."""
+    px = _pixels(spark, d).select("image", "y", "x", "r", "g", "b")
+    sizes = px.select("image").distinct().selectExpr("image", "8 AS w", "8 AS h", "13 AS to_w", "5 AS to_h")
+    out = rs.resampled(px, sizes)
+    return out.groupBy("image").agg(F.count("*").alias("n"), F.sum("r").alias("r"), F.sum(F.col("g") * (F.col("x") + 1) * (F.col("y") + 1)).alias("g"))
