@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.pixels import luma, near_palette, near_white
 
@@ -96,11 +97,13 @@ def median_cut(colors: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
 def dominant(pixels: DataFrame, key: str = "image", *, top: int = 5) -> DataFrame:
     """(key, color, n) of each image's palette of at most `top` colours, fitted to the image by median cut; color 0xRRGGBB.
 
-    An entry is the mean colour of its pixels.  Pixels are counted by colour before the shuffle, and one image's distinct
-    colours are in one task, which the colour space bounds.
+    An entry is the mean colour of its pixels.  Pixels are counted by colour before the shuffle.  An image with no more colours than
+    the palette keeps them as they are; of others the distinct colours are in one task, which the colour space bounds.
     """
     kind = pixels.schema[key].dataType.simpleString()
     counts = pixels.groupBy(key, "r", "g", "b").agg(F.count("*").alias("n"))
+    counts = counts.withColumn("colors", F.count("*").over(Window.partitionBy(key)))
+    few = counts.where(F.col("colors") <= top).select(key, (F.shiftleft(F.col("r").cast("long"), 16) + F.shiftleft(F.col("g").cast("long"), 8) + F.col("b")).alias("color"), "n")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["r", "g", "b"])
@@ -110,7 +113,7 @@ def dominant(pixels: DataFrame, key: str = "image", *, top: int = 5) -> DataFram
         mean = np.stack([np.floor(np.bincount(entry, n * colors[:, c]) / size + 0.5).astype(np.int64) for c in range(3)])
         return pd.DataFrame({key: [pdf[key].iloc[0]] * len(size), "color": mean[0] << 16 | mean[1] << 8 | mean[2], "n": size})
 
-    return counts.groupBy(key).applyInPandas(fit, f"`{key}` {kind}, color long, n long")
+    return few.unionByName(counts.where(F.col("colors") > top).groupBy(key).applyInPandas(fit, f"`{key}` {kind}, color long, n long"))
 
 
 def alpha_measures(pixels: DataFrame, key: str = "image") -> DataFrame:

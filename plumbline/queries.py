@@ -257,12 +257,12 @@ def default_merge(spark, d):
 
 
 @query("""WITH d AS (SELECT c_custkey AS k, 'style.' || c_mktsegment || '.w' AS path, c_name AS value FROM customer UNION ALL SELECT c_custkey, 'name', c_name FROM customer),
-o AS (SELECT DISTINCT o_custkey AS k, CASE WHEN o_orderstatus = 'F' THEN 'style' ELSE 'name.first' END AS path, o_orderstatus AS value FROM orders WHERE o_orderstatus IN ('F', 'O'))
+o AS (SELECT DISTINCT o_custkey AS k, CASE o_orderstatus WHEN 'F' THEN 'style' WHEN 'O' THEN 'name.first' ELSE 'price' END AS path, o_orderstatus AS value FROM orders)
 SELECT k, path, value FROM d WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.k = d.k AND (o.path = d.path OR starts_with(d.path, o.path || '.') OR starts_with(o.path, d.path || '.'))) UNION ALL SELECT * FROM o""")
 def deep_merge(spark, d):
-    c, o = table(spark, d, "customer"), table(spark, d, "orders").where("o_orderstatus IN ('F', 'O')")
+    c, o = table(spark, d, "customer"), table(spark, d, "orders")
     base = c.selectExpr("c_custkey AS k", "concat('style.', c_mktsegment, '.w') AS path", "c_name AS value").unionByName(c.selectExpr("c_custkey AS k", "'name' AS path", "c_name AS value"))
-    over = o.select(F.col("o_custkey").alias("k"), F.when(F.col("o_orderstatus") == "F", "style").otherwise("name.first").alias("path"), F.col("o_orderstatus").alias("value")).distinct()
+    over = o.select(F.col("o_custkey").alias("k"), F.when(F.col("o_orderstatus") == "F", "style").when(F.col("o_orderstatus") == "O", "name.first").otherwise("price").alias("path"), F.col("o_orderstatus").alias("value")).distinct()
     return matching.deep_merge(base, over, ["k"])
 
 
@@ -485,13 +485,19 @@ def raster_metrics(spark, d):
     return rs.metrics(both).select("image", "n", "mae", "changed_ratio", "foreground_similarity")
 
 
-@query(_PIXELS + """ SELECT vec_id AS image, CAST((r // 128) * 16711680 + (g // 64) * 256 AS BIGINT) AS color, count(*) AS n FROM p WHERE g < 128 GROUP BY 1, 2""")
+@query(_PIXELS + """ SELECT vec_id AS image, CAST((r // 128) * 16711680 + (g // 128) * 256 AS BIGINT) AS color, count(*) AS n FROM p GROUP BY 1, 2""")
 def dominant_colors(spark, d):
-    """The palette of the darker pixels in four colours, which a palette of five holds as they are."""
-    px = _pixels(spark, d).where("g < 128").select("image", "y", "x", (F.floor(F.col("r") / 128) * 255).cast("int").alias("r"), F.floor(F.col("g") / 64).cast("int").alias("g"), F.lit(0).alias("b"))
+    """The palette of all pixels in four colours, which a palette of five holds as they are."""
+    px = _pixels(spark, d).select("image", "y", "x", (F.floor(F.col("r") / 128) * 255).cast("int").alias("r"), F.floor(F.col("g") / 128).cast("int").alias("g"), F.lit(0).alias("b"))
     return rs.dominant(px)
 
 
+@query()
+def fitted_palette(spark, d):
+    """The palette of five fitted to all colours of each image; a median cut is no SQL, the tests hold it against plain Python."""
+    return rs.dominant(_pixels(spark, d))
+
+
 @query(_PIXELS + """, k AS (SELECT vec_id, floor(median(r)) AS r, floor(median(g)) AS g, floor(median(b)) AS b FROM p WHERE x IN (0, 7) AND y IN (0, 7) GROUP BY 1),
 f AS (SELECT p.vec_id AS image, p.x, p.y, greatest(abs(p.r - k.r), abs(p.g - k.g), abs(p.b - k.b)) > 12 AS far FROM p JOIN k USING (vec_id))
 SELECT image, bool_or(far AND y = 0) AS top, bool_or(far AND x = 7) AS "right", bool_or(far AND y = 7) AS bottom, bool_or(far AND x = 0) AS "left" FROM f GROUP BY 1""")
@@ -980,3 +986,82 @@ def resampled_images(spark, d):
     sizes = px.select("image").distinct().selectExpr("image", "8 AS w", "8 AS h", "13 AS to_w", "5 AS to_h")
     out = rs.resampled(px, sizes)
     return out.groupBy("image").agg(F.count("*").alias("n"), F.sum("r").alias("r"), F.sum(F.col("g") * (F.col("x") + 1) * (F.col("y") + 1)).alias("g"))
+
+
+# ---- page documents with all modules, one for each customer, with a fault for each of the numbers that divide the key
+
+
+def _module_page():
+    box = lambda *b: {"source_bbox": list(b), "slide_bbox": [10 * x for x in b]}
+    element = lambda i, kind, b, style, content: {"element_id": i, "kind": kind, **box(*b), "layer": {"bg": 0}.get(i, 5), "editable": True, "confidence": "high", "style": style, "content": content}
+    asset = {"path": "/bg.png", "asset_sha256": "a" * 64, "pixel_size": [1600, 900]}
+    cells = [{"row": 0, "column": 0, "column_span": 2}, {"row": 1, "column": 0}]
+    stop = lambda at: {"position": at, "color": "#000000", "opacity": 1}
+    ids = ["bg", "t", "s", "tab", "m"]
+    ref = {"path": "/a", "sha256": "0" * 64}
+    run = lambda a, b, color: {"start": a, "end": b, "font_size": 12, "color": color}
+    return {
+        "schema_version": 2, "page_id": "page-001", "verification_profile": "rapid", "delivery_status": "pending", "session_reuse": {"mode": "fresh_reconstruction", "artifacts": []}, "content_reference": ref, "clean_visual_reference": ref, "runtime_preflight": ref,
+        "canvas": {"source_size": [1600, 900], "visual_size": [1600, 900], "page_frame_bbox": [0, 0, 1600, 900], "slide_size_emu": [16000, 9000], "mapping_mode": "direct_16_9", "background": "plain"},
+        "activated_modules": ["representation_plan", "background", "typography", "@12"], "reading_order": [*ids, "@17"],
+        "elements": [
+            element("bg", "picture", (0, 0, 1600, 900), {"opacity": 1, "rotation": 0}, {"asset": asset, "mode": "none", "crop": dict.fromkeys(("left", "top", "right", "bottom"), 0)}),
+            element("t", "text", (10, 10, 200, 50), {"rotation": 0}, {"text": "ab\ncd"}),
+            element("s", "shape", (300, 10, 100, 50), {"shape_type": "ellipse", "fill": {"type": "linear_gradient", "angle": 0, "stops": [stop("@4"), stop(0.5)]}}, {}),
+            element("tab", "table", (0, 100, 200, 100), {}, {"rows": [500, 500], "columns": [1000, 1000], "cells": [*cells, "@3"]}),
+            element("m", "matrix", (500, 0, 200, 100), {}, {"parts": [{"part_id": "a", "slide_bbox": [5000, 0, 1000, 1000], "style": "@15"}, {"part_id": "@7", "slide_bbox": "@5"}]}),
+            "@18",
+        ],
+        "regions": [{"region_id": "r", **box(0, 0, 1600, 900), "layer": 0, "element_ids": ids}, "@16"],
+        "modules": {
+            "representation_plan": {"items": [{"source_fact_id": "f1", "required": True, "selected_mode": "native", "coverage_status": "covered", "bound_element_ids": ["t", "s"]}, {"source_fact_id": "f2", "required": "@13", "selected_mode": "native", "coverage_status": "open", "bound_element_ids": ["s"]}]},
+            "background": {"items": [{"background_id": "b", "role": "base", "bound_element_id": "bg", "selected_mode": "background_picture", "source_bbox": [0, 0, 1600, 900], "reason": "r", "evidence": "@14", "contains_foreground_semantics": False, "source_provenance": {"kind": "clean_background_asset", "source_path": "/bg.png", "source_sha256": "A" * 64}}]},
+            "typography": {"items": [{"element_id": "t", "text": "ab\ncd", "runs": [run(0, 3, "@10"), run("@8", 5, "#00FF00")], "paragraphs": [{"start": 0, "end": "@9"}], "text_box": {"paragraph_breaks": ["@11"]}}]},
+        },
+    }
+
+
+#: divisor: (the issue's code, what stands at its place in a document with the fault, and what in others; "" leaves the item out).
+_MODULE_FAULTS = {
+    3: ("UNSUPPORTED_CAPABILITY", "", '{"row":1,"column":1}'),
+    4: ("UNSUPPORTED_CAPABILITY", "0.5", "0"),
+    5: ("PART_CONTRACT_INVALID", "[5900,0,1100,1000]", "[6000,0,1000,1000]"),
+    7: ("PART_CONTRACT_INVALID", '"a"', '"b"'),
+    8: ("SPEC_TEXT_RUN_COVERAGE_INVALID", "4", "3"),
+    9: ("SPEC_PARAGRAPH_COVERAGE_INVALID", "4", "5"),
+    10: ("SPEC_TEXT_RUN_STYLE_INVALID", '"green"', '"#00FF00"'),
+    11: ("SPEC_PARAGRAPH_BREAK_ENCODING_CONFLICT", "3", "1"),
+    12: ("SPEC_ACTIVATED_MODULE_MISSING", '"icons"', ""),
+    13: ("REPRESENTATION_INCOMPLETE", "true", "false"),
+    14: ("BACKGROUND_INCOMPLETE", "[]", '["e"]'),
+    15: ("UNSUPPORTED_CAPABILITY", '{"shape_type":"ellipse","fill":{"type":"solid","color":"#00","opacity":1}}', '{"shape_type":"ellipse"}'),
+    16: ("SPEC_REGION_ID_INVALID", '{"region_id":"r","source_bbox":[0,0,1600,900],"slide_bbox":[0,0,16000,9000],"layer":0,"element_ids":[]}', ""),
+    17: ("SPEC_READING_ORDER_INVALID", '"t"', ""),
+    18: ("SPEC_ELEMENT_INVALID", "7", ""),
+}
+
+
+def module_documents(spark, d):
+    import json
+    import re
+
+    from .sources.documents import documents
+
+    parts = re.split(r'(,? ?"@[0-9]+")', json.dumps(_module_page()))
+    key, pieces = F.col("c_custkey"), []
+    for part in parts:
+        if m := re.fullmatch(r'(,? ?)"@([0-9]+)"', part):
+            _, bad, good = _MODULE_FAULTS[int(m[2])]
+            pieces.append(F.when(key % int(m[2]) == 0, m[1] + bad if bad else "").otherwise(m[1] + good if good else ""))
+        else:
+            pieces.append(F.lit(part))
+    return documents(table(spark, d, "customer").select(key.cast("string").alias("doc_id"), F.concat(*pieces).alias("raw")))
+
+
+@query("SELECT code, count(*) AS n, count(DISTINCT c_custkey) AS n_docs FROM customer, (VALUES " + ", ".join(f"({p}, '{v[0]}')" for p, v in _MODULE_FAULTS.items()) + ") f(p, code) WHERE c_custkey % p = 0 GROUP BY 1")
+def module_rule_issues(spark, d):
+    """Every rule over documents that have tables, parts, texts, facts, backgrounds and modules."""
+    from .operators.issues import counts
+    from .plans import rules
+
+    return counts(rules.validate(module_documents(spark, d)))
