@@ -11,6 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,38 +93,62 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], n_feature
     return w[:-1], float(w[-1])
 
 
-def _counts(texts: DataFrame, text_col: str, index: dict[str, int] | None) -> DataFrame:
-    """(f, n): in how many texts each feature occurs, of the index or of all; counted within tasks first."""
-    shared, token = None if index is None else texts.sparkSession.sparkContext.broadcast(index), uuid.uuid4().hex
-    field = "f string" if index is None else "f int"
+def _counts(texts: DataFrame, text_col: str) -> DataFrame:
+    """(f, n): in how many texts each feature occurs; counted within batches first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = lambda f, n: pa.RecordBatch.from_arrays([f, pa.array(n, pa.int64())], names=["f", "n"])
-        if shared is None:
-            for batch in batches:
-                total = Counter()
-                for text in batch.column(0):
-                    total.update({f for w in set(_WORD.findall((text.as_py() or "").lower())) for f in word_features(w)})
-                yield out(pa.array(list(total), pa.string()), list(total.values()))
-        else:
-            known, total = kept("features", lambda: _Known(shared.value), token), np.zeros(len(shared.value), dtype=np.int64)
-            for batch in batches:
-                for text in batch.column(0):
-                    total[features(text.as_py(), known)] += 1
-            at = np.flatnonzero(total)
-            yield out(pa.array(at, pa.int32()), total[at])
-
-    return texts.select(F.col(text_col).alias("t")).mapInArrow(run, f"{field}, n long").groupBy("f").agg(F.sum("n").alias("n"))
-
-
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", prior: float | None = None, max_labelled: int = 10_000, features_at_once: int = 50_000, min_positives: int = 2, min_z: float = 4.0) -> Model | None:
+        for batch in batches:
+            total = Counter()
+            for text in batch.column(0):
+                total.update({f for w in set(_WORD.findall((text.as_py() or "").lower())) for f in word_features(w)})
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["f", "n"])
+
+    return texts.select(F.col(text_col).alias("t")).mapInArrow(run, "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
+
+
+class _Hashed(dict):
+    """word -> the places of its features in a sorted array of hashes."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+
+    def __missing__(self, word: str) -> list[int]:
+        if len(self) >= KNOWN:
+            self.clear()
+        own = np.array([xxhash.xxh64_intdigest(f.encode("utf-8", "surrogatepass"), 42) for f in word_features(word)], dtype=np.uint64).view(np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, own), len(self.hashes) - 1)
+        self[word] = found = at[self.hashes[at] == own].tolist()
+        return found
+
+
+def _hash_counts(texts: DataFrame, text_col: str, hashes: np.ndarray) -> DataFrame:
+    """(h, n): in how many texts the features with each of the sorted hashes occur; counted within tasks first."""
+    shared, token = texts.sparkSession.sparkContext.broadcast(hashes), uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, total = kept("features", lambda: _Hashed(shared.value), token), np.zeros(len(shared.value), dtype=np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                found = set()
+                for word in set(_WORD.findall((text.as_py() or "").lower())):
+                    found.update(known[word])
+                total[np.fromiter(found, np.int64, len(found))] += 1
+        at = np.flatnonzero(total)
+        for i in range(0, len(at), 1 << 16):
+            part = at[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(shared.value[part]), pa.array(total[part])], names=["h", "n"])
+
+    return texts.select(F.col(text_col).alias("t")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", prior: float | None = None, max_labelled: int = 10_000, features_at_once: int = 2_000_000, min_positives: int = 2, min_z: float = 4.0) -> Model | None:
     """Fit on confirmed toxic documents and unlabelled ones; None if no labelled document is toxic.
 
     Of the labels given (hold rows out before), at most `max_labelled` toxic ones and at most `max_labelled` of any label
     are taken, by least hash of the id; the latter's labels are used for nothing but the class prior (unless that is given),
     and their texts are the unlabelled side.  Candidate features (words, word beginnings) are those of at least `min_positives` of
-    the toxic texts; over all documents it is counted how many have each, in one pass for each `features_at_once` of them, and a
-    feature stays if it is in over `min_z` standard deviations more toxic texts than their share of the corpus
+    the toxic texts; over all documents it is counted how many have each, in one pass for each `features_at_once` of them, which
+    workers know by sorted 64-bit hashes, and a feature stays if it is in over `min_z` standard deviations more toxic texts than their share of the corpus
     explains.  max_labelled bounds the labelled rows; nothing else is sampled or dropped.  Null labels and labels without an id
     count as missing; documents without an id are counted, and have no label.
     """
@@ -139,22 +164,21 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     chosen = toxic.withColumn("__p", F.lit(1)).unionByName(mixed.withColumn("__p", F.lit(0)))  # at most 2 * max_labelled rows
     sample = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "__id").select("__p", "t")
     tables = Tables(spark)
-    able = tables.put(_counts(sample.where("__p = 1"), "t", None).where(F.col("n") >= min_positives))
+    able = tables.put(_counts(sample.where("__p = 1"), "t").where(F.col("n") >= min_positives).withColumn("h", F.xxhash64("f")))
     n_docs = docs.count()
     n_toxic = sample.where("__p = 1").count()
     if not n_toxic:
         return None
     share, kept_features = n_toxic / max(n_docs, n_toxic), []
     blocks = max(1, -(-able.count() // features_at_once))
+    corpus = F.greatest(F.coalesce("__n", F.lit(0)), F.col("n")).cast("double")
+    z = (F.col("n") - corpus * share) / F.sqrt(corpus * share * (1 - share) + 1e-9)
     for block in range(blocks):
-        own = able.where(F.pmod(F.xxhash64("f"), F.lit(blocks)) == block).collect()  # about features_at_once rows
-        index = {r["f"]: i for i, r in enumerate(own)}
-        positives = np.array([r["n"] for r in own], dtype=float)
-        corpus = positives.copy()
-        for r in _counts(docs, text_col, index).collect():  # at most as many rows
-            corpus[r["f"]] = max(r["n"], positives[r["f"]])
-        z = (positives - corpus * share) / np.sqrt(corpus * share * (1 - share) + 1e-9)
-        kept_features += [(-own[i]["n"], own[i]["f"]) for i in np.flatnonzero(z >= min_z).tolist()]
+        own = able.where(F.pmod("h", F.lit(blocks)) == block)
+        hashes = np.sort(own.select("h").distinct().toArrow().column("h").to_numpy())  # about features_at_once numbers
+        if len(hashes):
+            counted = _hash_counts(docs, text_col, hashes).withColumnRenamed("n", "__n")
+            kept_features += [(-r["n"], r["f"]) for r in own.join(counted, "h", "left").where(z >= min_z).select("f", "n").collect()]
     tables.drop_all()
     index = {f: n for n, (_, f) in enumerate(sorted(kept_features))}
     shared = spark.sparkContext.broadcast(index)
