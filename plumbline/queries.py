@@ -1065,3 +1065,19 @@ def module_rule_issues(spark, d):
     from .plans import rules
 
     return counts(rules.validate(module_documents(spark, d)))
+
+
+@query("""WITH b AS (SELECT doc_id, sha256(coalesce(text, '')) AS h, CAST(coalesce(n_chars, 0) AS BIGINT) AS length, 0 AS modified FROM documents WHERE doc_id % 11 <> 0),
+a AS (SELECT doc_id, sha256(CASE WHEN doc_id % 5 = 0 THEN coalesce(text, '') || '.' ELSE coalesce(text, '') END) AS h, CAST(coalesce(n_chars, 0) + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS length, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS modified FROM documents WHERE doc_id % 7 <> 0)
+SELECT doc_id, CASE WHEN b.h IS NULL THEN 'added' WHEN a.h IS NULL THEN 'removed' WHEN a.h <> b.h THEN 'changed' ELSE 'touched' END AS status FROM b FULL JOIN a USING (doc_id)
+WHERE b.h IS NULL OR a.h IS NULL OR a.h <> b.h OR a.length <> b.length OR a.modified <> b.modified""")
+def text_changes(spark, d):
+    """Two looks at all texts: some are only in one, some have grown, some were only touched."""
+    from .sources.inventory import changes
+
+    t = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("n_chars", F.lit(0)).cast("long").alias("length"))
+    key = F.col("doc_id")
+    before = t.where(key % 11 != 0).select("doc_id", content_sha256("text").alias("sha256"), "length", F.lit(0).alias("modified"))
+    grown = key % 5 == 0
+    after = t.where(key % 7 != 0).select("doc_id", content_sha256(F.when(grown, F.concat("text", F.lit("."))).otherwise(F.col("text"))).alias("sha256"), F.when(grown, F.col("length") + 1).otherwise(F.col("length")).alias("length"), F.when(key % 3 == 0, 1).otherwise(0).alias("modified"))
+    return changes(before, after, key="doc_id")
