@@ -19,8 +19,18 @@ Fault = tuple[str, str]
 _names = count()
 
 
+#: Values that `get` made, by their text: where they were taken from.
+_taken: dict[str, tuple[str, str]] = {}
+
+
 def get(v: str, path: str, kind: str = "variant") -> str:
-    return f"try_variant_get({v}, '{path}', '{kind}')"
+    """A value below v; what is below a value that was taken itself comes from the same record by one longer path, not out of a copy."""
+    v, above = _taken.get(v, (v, "$"))
+    path = above + path[1:]
+    out = f"try_variant_get({v}, '{path}', '{kind}')"
+    if kind == "variant":
+        _taken[out] = (v, path)
+    return out
 
 
 def is_kind(v: str, kind: str) -> str:
@@ -104,14 +114,16 @@ def null(v: str) -> str:
 
 def closed(v: str, path: str, allowed: list[str], required: list[str] | None = None) -> str:
     """A record with no other members than the allowed ones, and all of the required (by default the allowed) ones."""
-    have, required = member_keys(v), allowed if required is None else required
+    have, required = f"k{next(_names)}", allowed if required is None else required
     odd, gone = (f"array_except({a}, {b})" for a, b in ((have, _words(allowed)), (_words(required), have)))
     told = lambda what, fields: f"concat('{what} fields: ', array_join(array_sort({fields}), ', '))"
-    return first_of(
-        (f"NOT {is_kind(v, 'OBJECT')}", _fail(path, "a record is needed")),
+    found = first_of(
+        (f"{have} IS NULL", _fail(path, "a record is needed")),
         (f"size({odd}) > 0", _fail(path, told("unknown", odd))),
         (f"size({gone}) > 0", _fail(path, told("missing", gone))),
     )
+    # the names are listed once for all three
+    return f"get(transform(array({member_keys(v)}), {have} -> {found}), 0)"
 
 
 def items(v: str) -> str:
