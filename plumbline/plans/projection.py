@@ -26,12 +26,13 @@ def identities(texts: DataFrame, *, id_col: str = "doc_id", text_col: str = "raw
     Both are digests of canonical JSON, the second without what is added later.  Texts are parsed once.
     """
     tables = Tables(texts.sparkSession)
-    nodes = tables.put(json_nodes(texts, id_col=id_col, text_col=text_col))
+    nodes = json_nodes(texts, id_col=id_col, text_col=text_col)
     late = F.col("path").rlike("^(?:" + "|".join(ADDED_LATER) + r")\z") | (F.col("path").rlike(r"^\$\.activated_modules\[[0-9]+\]\z") & (F.col("text") == f'"{LATE_MODULE}"'))
-    records = nodes.where("node = 0 AND kind = 'OBJECT'").select("doc_id")
-    mine = nodes.join(records, "doc_id", "left_semi")
-    whole, content = rebuilt(mine), rebuilt(mine, drop=late)
-    both = whole.select("doc_id", F.sha2("text", 256).alias("input_sha256")).join(content.select("doc_id", F.sha2("text", 256).alias("content_sha256")), "doc_id")
-    out = tables.put(nodes.select("doc_id").distinct().join(both, "doc_id", "left").select("doc_id", "input_sha256", "content_sha256"))
-    tables.drop(nodes)
+    # a record's root says what the text is; texts without one have a row of their own, and no digests
+    both = tables.put(rebuilt(nodes, drop=late, whole=True))
+    record = F.col("whole").startswith("{")
+    digest = lambda c: F.when(record, F.sha2(c, 256))
+    known = both.select("doc_id", digest("whole").alias("input_sha256"), digest("text").alias("content_sha256"))
+    out = tables.put(texts.select(F.col(id_col).alias("doc_id")).distinct().join(known, "doc_id", "left").select("doc_id", "input_sha256", "content_sha256"))
+    tables.drop(both)
     return out

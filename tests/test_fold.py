@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import fold
 from plumbline.plans import projection
-from plumbline.sources.documents import json_nodes
+from plumbline.sources.documents import json_nodes, json_values
 
 
 def canonical(v):
@@ -59,3 +59,19 @@ def test_identities(spark):
     got = {r["doc_id"]: (r["input_sha256"], r["content_sha256"]) for r in projection.identities(spark.createDataFrame(rows, "doc_id string, raw string")).collect()}
     sha = lambda d: hashlib.sha256(canonical(d).encode()).hexdigest()
     assert got == {"base": (sha(base), sha(base)), "full": (sha(full), sha(base)), "kept": (sha(kept), sha(kept)), "array": (None, None), "none": (None, None)}
+
+
+def test_whole_and_dropped_in_the_same_rounds(spark):
+    rng = random.Random(9)
+    docs = [value(rng) for _ in range(60)] + [{"drop": [1, {"x": 2}]}, ["drop"], {}]
+    nodes = json_nodes(spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)], "doc_id int, raw string"))
+    drop = (F.col("key") == "drop") | (F.col("pos").isNotNull() & (F.col("text") == '"drop"'))
+    got = {r["doc_id"]: (r["text"], r["whole"]) for r in fold.rebuilt(nodes, drop=drop, whole=True).collect()}
+    assert got == {i: (canonical(without(d, "drop")), canonical(d)) for i, d in enumerate(docs)}
+
+
+def test_values_are_those_of_nodes(spark):
+    rows = [(1, '{"a": [1, {"b": null}], "a": [2]}'), (2, "[" + ",".join(["[]"] * 70_000) + "]"), (3, "7"), (4, None), (5, "{"), (6, "[NaN]"), (7, "[1e999]"), (8, "[" * 100_000)]
+    texts = spark.createDataFrame(rows, "doc_id int, raw string")
+    count = lambda df: sorted(tuple(r) for r in df.groupBy("doc_id", "fault").agg(F.count("*"), F.min("node"), F.max("node"), F.count_distinct("node")).collect())
+    assert count(json_values(texts)) == count(json_nodes(texts))
