@@ -7,6 +7,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,29 @@ _WORD = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6)
 #: Distinct words whose features a worker keeps.
 KNOWN = 200_000
+#: Texts whose unknown words are looked up at once.
+AT_ONCE = 256
+
+
+def _letters() -> np.ndarray:
+    """For each code point itself if it can stand in a word, else a space."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    table = np.full(0x110000, ord(" "), dtype=np.uint32)
+    own = np.frombuffer("".join(_WORD.findall(every)).encode("utf-32-le"), dtype=np.uint32)
+    table[own] = own
+    return table
+
+
+_ASCII = bytes(c if _WORD.fullmatch(chr(c)) else ord(" ") for c in range(128)) + bytes(128)
+
+
+def words(text: str | None) -> list[str]:
+    """The words of the lower-cased text, as _WORD finds them, by a table of code points."""
+    low = (text or "").lower()
+    if low.isascii():
+        return low.encode("ascii").translate(_ASCII).decode("ascii").split()
+    table = kept("letters", _letters, "")
+    return table[np.frombuffer(low.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].tobytes().decode("utf-32-le").split()
 
 
 def word_features(word: str) -> tuple[str, ...]:
@@ -44,9 +68,7 @@ class _Known(dict):
 def features(text: str | None, known: _Known) -> np.ndarray:
     """The indexes of the model's features that the text has, each once, in order."""
     found = set()
-    for word in set(_WORD.findall((text or "").lower())):
-        if own := known[word]:
-            found.update(own)
+    found.update(*map(known.__getitem__, set(words(text))))
     return np.array(sorted(found), dtype=np.int32)
 
 
@@ -100,7 +122,7 @@ def _counts(texts: DataFrame, text_col: str) -> DataFrame:
         for batch in batches:
             total = Counter()
             for text in batch.column(0):
-                total.update({f for w in set(_WORD.findall((text.as_py() or "").lower())) for f in word_features(w)})
+                total.update({f for w in set(words(text.as_py())) for f in word_features(w)})
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["f", "n"])
 
     return texts.select(F.col(text_col).alias("t")).mapInArrow(run, "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
@@ -112,13 +134,29 @@ class _Hashed(dict):
     def __init__(self, hashes: np.ndarray):
         self.hashes = hashes
 
-    def __missing__(self, word: str) -> list[int]:
+    def learn(self, new: list[str]) -> None:
+        """All of the words at once: one search in the hashes, which would cost more for each word than all else."""
+        own = [word_features(w) for w in new]
+        ends = np.cumsum([0, *map(len, own)])
+        wanted = np.fromiter((xxhash.xxh64_intdigest(f.encode("utf-8", "surrogatepass"), 42) for fs in own for f in fs), np.uint64, ends[-1]).view(np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+        hit = self.hashes[at] == wanted
+        ends, places = np.concatenate(([0], np.cumsum(hit)))[ends].tolist(), at[hit].tolist()
+        self.update((w, tuple(places[i:j])) for w, i, j in zip(new, ends, ends[1:]))
+
+    def found(self, texts: list[str | None]) -> np.ndarray:
+        """The places of the features that the texts have, each once for each text."""
+        some = [set(words(t)) for t in texts]
         if len(self) >= KNOWN:
             self.clear()
-        own = np.array([xxhash.xxh64_intdigest(f.encode("utf-8", "surrogatepass"), 42) for f in word_features(word)], dtype=np.uint64).view(np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, own), len(self.hashes) - 1)
-        self[word] = found = at[self.hashes[at] == own].tolist()
-        return found
+        if new := set().union(*some) - self.keys():
+            self.learn(list(new))
+        flat = [self[w] for own in some for w in own]
+        sizes = np.fromiter(map(len, flat), np.int64, len(flat))
+        text = np.repeat(np.repeat(np.arange(len(some)), list(map(len, some))), sizes)
+        places = np.fromiter(chain.from_iterable(flat), np.int64, sizes.sum())
+        each = np.sort(text * len(self.hashes) + places)  # np.unique hashes, and is slower
+        return each[np.diff(each, prepend=-1) != 0] % len(self.hashes)
 
 
 def _hash_counts(texts: DataFrame, text_col: str, hashes: np.ndarray) -> DataFrame:
@@ -128,11 +166,8 @@ def _hash_counts(texts: DataFrame, text_col: str, hashes: np.ndarray) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, total = kept("features", lambda: _Hashed(shared.value), token), np.zeros(len(shared.value), dtype=np.int64)
         for batch in batches:
-            for text in batch.column(0):
-                found = set()
-                for word in set(_WORD.findall((text.as_py() or "").lower())):
-                    found.update(known[word])
-                total[np.fromiter(found, np.int64, len(found))] += 1
+            for i in range(0, batch.num_rows, AT_ONCE):
+                np.add.at(total, known.found(batch.column(0).slice(i, AT_ONCE).to_pylist()), 1)
         at = np.flatnonzero(total)
         for i in range(0, len(at), 1 << 16):
             part = at[i : i + (1 << 16)]

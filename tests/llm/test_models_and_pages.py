@@ -161,3 +161,19 @@ def test_toxicity_without_enough_labels(spark, rows):
     model = toxicity.train(docs, spark.createDataFrame(rows, "doc_id long, toxic int"))
     out = toxicity.score(docs, model).collect()
     assert len(out) == 4 and all(0 <= r["score_"] <= 1 for r in out)
+
+
+def test_words_and_counts_of_features_in_chunks(spark):
+    from collections import Counter
+
+    import numpy as np
+    import xxhash
+
+    texts_ = [None, "", "Plain words, plain_words 12ab", "É ça ²x Ⅷ漢字 İstanbul ǅ", "tab\tand space x\x1cy", "ascii\x1conly\x0bhere", "naïve " * 3] + [f"repeatedly repeating word{i % 7}abc été" for i in range(600)]
+    want = [toxicity._WORD.findall((t or "").lower()) for t in texts_]
+    assert [toxicity.words(t) for t in texts_] == want
+    counts = Counter(f for own in want for f in {f for w in own for f in toxicity.word_features(w)})
+    of = {f: int(np.uint64(xxhash.xxh64_intdigest(f.encode(), 42)).view(np.int64)) for f in counts}
+    df = spark.createDataFrame([(t,) for t in texts_], "text string").coalesce(1)
+    got = {r["h"]: r["n"] for r in toxicity._hash_counts(df, "text", np.sort(np.array(list(of.values()), dtype=np.int64))).collect()}
+    assert got == {of[f]: n for f, n in counts.items()}
