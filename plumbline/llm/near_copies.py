@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -42,8 +43,8 @@ def _parity(h: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
 
 
-def _usual(texts: DataFrame, words: int, sample: int, most: int) -> np.ndarray:
-    """Hashes of the shingles that several documents of a sample share, the rarer first; they only order the shingles."""
+def _usual(texts: DataFrame, words: int, sample: int, most: int) -> pd.Series:
+    """About how many documents have the shingles that several documents of a sample share, by their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -53,11 +54,46 @@ def _usual(texts: DataFrame, words: int, sample: int, most: int) -> np.ndarray:
     every = max(1, min(64, texts.count() // sample))
     some = texts.where(F.pmod(F.xxhash64("__id"), F.lit(every)) == 0).select("__t")
     counts = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
-    rows = counts.orderBy(F.desc("n"), "h").limit(most).toPandas()
-    return rows["h"].to_numpy(dtype=np.int64)[::-1].copy()
+    return counts.orderBy(F.desc("n"), "h").limit(most).toPandas().set_index("h")["n"] * every
 
 
-def _features(texts: DataFrame, words: int, least: float, usual: np.ndarray) -> DataFrame:
+def _crowded(texts: DataFrame, words: int, least: float, known: pd.Series, crowd: int, most: int) -> pd.Series:
+    """`known` with the shingles that over `crowd` prefixes in its order share, which a sample is too small to show."""
+    usual, number = _in_order(known), _number(least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [(h := _ordered(_shingle_hashes(_tokens(t.as_py()), words), *usual))[: number(len(h))] for t in batch.column("__t")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64))], names=["h"])
+
+    counts = texts.select("__t").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > crowd)
+    found = counts.orderBy(F.desc("n"), "h").limit(most).toPandas().set_index("h")["n"]
+    return pd.concat([known, found]).groupby(level=0).max()
+
+
+def _in_order(known: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted hashes of usual shingles and the place of each in the order of all shingles, from 1, the rarer first."""
+    hashes = known.index.to_numpy(dtype=np.int64).view(np.uint64)
+    place = np.empty(len(hashes), dtype=np.int64)
+    place[np.lexsort((hashes, known.to_numpy()))] = np.arange(1, len(hashes) + 1)
+    at = np.argsort(hashes)
+    return hashes[at], place[at]
+
+
+def _ordered(h: np.ndarray, known: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The sorted hashes in the order of all shingles: unusual ones by hash, then the usual ones."""
+    if not len(known):
+        return h
+    i = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    return h[np.argsort(np.where(known[i] == h, place[i], 0), kind="stable")]
+
+
+def _number(least: float) -> Callable[[int], int]:
+    """How many of n shingles are in a prefix."""
+    return lambda n: n - math.ceil(least * n - 1e-9) + 1
+
+
+def _features(texts: DataFrame, words: int, least: float, known: pd.Series) -> DataFrame:
     """(id, digest, fp, n, m0 .., keys): what each text is known by.
 
     digest tells texts apart that differ in more than case and white space; fp is the SimHash fingerprint and m0 .. the parity
@@ -65,8 +101,7 @@ def _features(texts: DataFrame, words: int, least: float, usual: np.ndarray) ->
     with a Jaccard similarity of `least` or more share at least ceil(least n) of either, so they share one of these keys,
     whatever the order.  Usual shingles come last in it.
     """
-    at = np.argsort(usual.view(np.uint64))
-    known = usual.view(np.uint64)[at]
+    usual, number = _in_order(known), _number(least)
     maps = [f"m{i}" for i in range(MAP)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,11 +113,9 @@ def _features(texts: DataFrame, words: int, least: float, usual: np.ndarray) ->
                 h = _shingle_hashes(tokens, words)
                 prints.append(_fingerprint(h))
                 odd.append(_parity(h))
-                if len(known):
-                    i = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    h = h[np.argsort(np.where(known[i] == h, at[i] + 1, 0), kind="stable")]
+                h = _ordered(h, *usual)
                 sizes.append(len(h))
-                keys.append(h[: len(h) - math.ceil(least * len(h) - 1e-9) + 1].view(np.int64))
+                keys.append(h[: number(len(h))].view(np.int64))
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
             table = np.array(odd, dtype=np.int64).reshape(-1, MAP)
@@ -116,7 +149,7 @@ def _similar(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> Da
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, radius: int = 2, sample: int = 8_000, usual: int = 100_000, broadcast_ids: int = 1_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, radius: int = 2, sample: int = 8_000, usual: int = 100_000, crowd: int = 8, crowded: int = 1_000_000, broadcast_ids: int = 1_000_000) -> DataFrame:
     """(id_col long) of the documents that go: all but the smallest id of each group of near copies.
 
     Two texts are near copies if their sets of `words`-word shingles have a Jaccard similarity of `least` or more; a group is
@@ -152,7 +185,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         """Whether texts of n and m shingles, with the shared one at places p and q, can be similar: the rest must do."""
         return (F.least(n, m) >= F.lit(least - 1e-9) * F.greatest(n, m)) & (F.least(n - p, m - q) >= bound * (n + m) - F.lit(1e-6))
 
-    hashed = made.put(_features(texts, words, least, _usual(texts, words, sample, usual)))
+    order = _crowded(texts, words, least, _usual(texts, words, sample, usual), crowd, crowded)
+    hashed = made.put(_features(texts, words, least, order))
     nodes = made.put(hashed.groupBy("digest").agg(F.min("id").alias("id")).select("id").distinct())
     copies = made.put(hashed.select("id").distinct().join(few(nodes), "id", "left_anti"))
     repeated = hashed.count() > hashed.select("id").distinct().count()

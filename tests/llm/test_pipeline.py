@@ -140,3 +140,22 @@ def test_run_equals_its_stages_and_survives_nulls(spark, tmp_path):
     }.items():
         df.write.parquet(str(tmp_path / f"{name}.parquet"))
     assert sorted(r["doc_id"] for r in pipe.run(spark, str(tmp_path)).collect()) == [1, 3]
+
+
+def test_shingles_that_a_sample_misses_come_last(spark):
+    from plumbline.llm import near_copies as nc
+
+    rng = random.Random(11)
+    said = " ".join(f"said{i}" for i in range(25))  # a passage that texts of different groups share
+    texts = {i: " ".join(f"w{rng.randrange(10**9)}" for _ in range(30)) + " " + said + " " + " ".join(f"w{rng.randrange(10**9)}" for _ in range(30)) for i in range(120)}
+    texts |= {200 + i: texts[i] + " and more" for i in range(5)}
+    df = spark.createDataFrame(list(texts.items()), "__id long, __t string")
+    none = nc._usual(df.limit(0), 5, 8_000, 100)
+
+    def meetings(order):
+        keys = nc._features(df, 5, 0.8, order).select("id", F.explode("keys").alias("key"))
+        return keys.groupBy("key").count().selectExpr("sum(count * (count - 1) / 2)").first()[0]
+
+    counted = nc._crowded(df, 5, 0.8, none, 2, 1000)
+    assert 10 * meetings(counted) < meetings(none)
+    assert went(spark, texts) == went(spark, texts, crowd=10**6) == groups_of(texts) == {200 + i for i in range(5)}
