@@ -187,24 +187,38 @@ def homogeneity(df: DataFrame, batch: str, *columns: str, key: str | None = None
     return out.withColumn("homogeneous", same & (F.col("n_keys") == F.col("n_rows") if key else F.lit(True)))
 
 
-def required(features: DataFrame, rules: DataFrame, subject: str, feature: str, item: str) -> DataFrame:
+def required(features: DataFrame, rules: DataFrame, subject: str, feature: str, item: str, *, broadcast_rules: int = 100_000, partitions: int | None = None) -> DataFrame:
     """(subject, item): what each subject's features ask for, by rules (feature, item); once each.
 
-    A rule whose feature is null is for every subject that has a row, a null feature included.
+    A rule whose feature is null is for every subject that has a row, a null feature included.  Up to broadcast_rules rules go to
+    the subjects, which stay where they are: features are few, and by feature all subjects would meet in a few tasks.  partitions
+    as for coverage.
     """
-    own = features.select(subject, F.col(feature).alias("__f")).unionByName(features.select(subject, F.lit(None).cast(features.schema[feature].dataType).alias("__f"))).distinct()
-    return own.join(rules, F.col("__f").eqNullSafe(F.col(feature))).select(subject, item).distinct()
+    kind = features.schema[feature].dataType
+    own = features.select(subject, F.explode(F.array(F.col(feature), F.lit(None).cast(kind))).alias("__f"))
+    if rules.limit(broadcast_rules + 1).count() <= broadcast_rules:
+        rules = F.broadcast(rules)
+    else:
+        own = own.distinct()
+    return _dealt(own.join(rules, F.col("__f").eqNullSafe(F.col(feature))).select(subject, item), subject, partitions).distinct()
 
 
-def coverage(asked: DataFrame, given: DataFrame, subject: str, item: str) -> DataFrame:
+def _dealt(df: DataFrame, subject: str, partitions: int | None) -> DataFrame:
+    return df if partitions is None else df.repartition(partitions, subject)
+
+
+def coverage(asked: DataFrame, given: DataFrame, subject: str, item: str, *, partitions: int | None = None) -> DataFrame:
     """For each subject that is asked for something: n_asked, n_given (of what is asked), missing, surplus (sorted arrays), complete.
 
     Which subjects have all that is asked of them is a division; what is asked depends on the subject, and subjects and
     items never meet otherwise than by equality: both sides are one column of marks, grouped by (subject, item) and then by
     subject.  Repeated rows count once, and null items and subjects are none.
+
+    A task holds the marks of its share of subjects.  With `partitions` subjects are dealt to that many shares once, as they come, so
+    what a task holds is theirs to bound; without it rows are combined first and the session's number of shares holds.
     """
     mark = lambda df, a, g: df.where(F.col(subject).isNotNull() & F.col(item).isNotNull()).select(subject, item, F.lit(a).alias("__a"), F.lit(g).alias("__g"))
-    both = mark(asked, 1, 0).unionByName(mark(given, 0, 1)).groupBy(subject, item).agg(F.max("__a").alias("__a"), F.max("__g").alias("__g"))
+    both = _dealt(mark(asked, 1, 0).unionByName(mark(given, 0, 1)), subject, partitions).groupBy(subject, item).agg(F.max("__a").alias("__a"), F.max("__g").alias("__g"))
     listed = lambda c: F.array_sort(F.collect_list(F.when(c, F.col(item))))
     a, g = F.col("__a") == 1, F.col("__g") == 1
     out = both.groupBy(subject).agg(F.sum("__a").alias("n_asked"), F.sum(F.when(a & g, 1).otherwise(0)).alias("n_given"), listed(a & ~g).alias("missing"), listed(g & ~a).alias("surplus"))

@@ -38,3 +38,15 @@ def test_coverage(spark):
     assert got == {1: (3, 1, ["all", "y"], ["q"], False), 2: (2, 2, [], [], True), 3: (1, 0, ["all"], [], False), 4: (1, 0, ["all"], [], False)}
     assert keys.required(features, rules.limit(0), "s", "f", "i").count() == 0
     assert keys.coverage(asked.limit(0), given, "s", "i").count() == 0
+
+
+def test_subjects_are_not_dealt_by_feature(spark):
+    features = lambda n: spark.range(n).selectExpr("id AS s", "'a' AS f")
+    rules = spark.createDataFrame([("a", "x"), ("a", "y"), (None, "all")], "f string, i string")
+    plan = keys.required(features(10**8), rules, "s", "f", "i")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan  # it would have one partition a feature
+    whole = keys.required(features(1000), rules, "s", "f", "i", broadcast_rules=2, partitions=5)
+    assert {tuple(r) for r in keys.required(features(1000), rules, "s", "f", "i").collect()} == {tuple(r) for r in whole.collect()} == {(s, i) for s in range(1000) for i in ("x", "y", "all")}
+    # dealt once: both groupings use the shares that the subjects were dealt to
+    dealt = keys.coverage(whole, whole, "s", "i", partitions=7)
+    assert dealt.where("complete AND n_given = 3").count() == 1000 and dealt.rdd.getNumPartitions() == 7
