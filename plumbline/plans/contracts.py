@@ -477,4 +477,4 @@ def element(kind: str, style: str, content: str, path: str) -> str:
 
 def issues_of(rows: DataFrame, found: str, *keep: str) -> DataFrame:
     """keep, code, path, detail, capability of the rows that have an issue; the contract is worked out once a row."""
-    return rows.select(*keep, F.explode(F.expr(f"array_compact(array({found}))")).alias("i")).select(*keep, "i.*")
+    return rows.select(*keep, F.expr(f"array({found})").alias("__found")).select(*keep, F.explode(F.array_compact("__found")).alias("i")).select(*keep, "i.*")
