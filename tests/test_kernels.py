@@ -158,6 +158,21 @@ def test_overlap_pairs_across_tiles(spark):
     assert any(rows[a][3] // 40 != rows[b][3] // 40 for a, b in want)
 
 
+def test_overlap_pairs_of_copies_are_dealt_to_tasks(spark):
+    rng = random.Random(6)
+    kinds = [(rng.randrange(-200, 900), rng.randrange(-100, 400), rng.randrange(0, 400), rng.randrange(0, 200)) for _ in range(12)]
+    rows = [(k, rng.randrange(2), *rng.choice(kinds)) for k in range(120)] + [(k, None, 0, 0, 9, 9) for k in (200, 201)]
+    df = spark.createDataFrame(rows, "k long, p long, x long, y long, w long, h long").selectExpr("k", "p", "named_struct('x', x, 'y', y, 'w', w, 'h', h) AS b").coalesce(1)
+    over = lambda a, b: max(a[2], b[2]) < min(a[2] + a[4], b[2] + b[4]) and max(a[3], b[3]) < min(a[3] + a[5], b[3] + b[5])
+    want = sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] is not None and a[1] == b[1] and over(a, b))
+    pairs = matching.overlap_pairs(df, "k", "p", "b")
+    assert sorted(map(tuple, pairs.collect())) == want
+    # what comes out is far more than what is read, so the size of the input may not put it all into one task
+    assert pairs.rdd.getNumPartitions() >= 16 and "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    for crowd in (1, 3):
+        assert sorted(map(tuple, matching.overlap_pairs(df, "k", "p", "b", crowd=crowd, shares=2).collect())) == want
+
+
 def slow_palette(counts, n):
     """counts: colour -> pixels.  Boxes are parted at the median pixel of the side that weighs most, the fullest first."""
     boxes = [sorted(counts.items())]
