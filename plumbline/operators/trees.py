@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -116,33 +117,54 @@ class Field:
     take: str = "first"
 
 
-def records(roots: DataFrame, nodes: DataFrame, tree: list[str], fields: dict[str, Field], *, tag: str = "tag", path: str = "path") -> DataFrame:
+def records(roots: DataFrame, nodes: DataFrame, tree: list[str], fields: dict[str, Field], *, tag: str = "tag", path: str = "path", kinds: list[str] | None = None) -> DataFrame:
     """One typed row for each root: tree columns, node, and the fields.
 
-    nodes: with `path`, their tags from the tree's root joined by "/" (see paths), and size; `of` is an expression over nodes'
-    columns.  All fields of all roots come from one structural join and one grouped pass, not from a join for each step.  A
-    missing field is null, 0 or an empty list.  Nodes that no field asks for are left out before the join.
+    roots: rows of nodes; nodes: with `path`, their tags from the tree's root joined by "/" (see paths); `of` is an expression over
+    nodes' columns.  kinds: the tags that roots have, if that is known.  A missing field is null, 0 or an empty list.
+
+    The path of a field tells at which depth its root stands, and the root is the last one before the node at that depth, if its subtree
+    reaches to the node; "//x" looks at each depth above, or at those where the path has one of `kinds`.  So a node is listed once for each
+    such depth, with the values of its own fields only, and all fields of all roots come from one ordered pass, grouped where it stands.
+    Nodes that no field asks for are left out before it.
     """
-    asked = F.lit(False)
-    for f in fields.values():
-        asked = asked | (F.col(tag) == F.element_at(F.split(F.lit(f.path), "/"), -1) if f.path else F.lit(False))
-    own = {f"__f{k}": f.of if f.of is not None else F.lit(1) for k, f in enumerate(fields.values())}
-    below = nodes.where(asked).select(*tree, "node", "size", tag, path, *[c.alias(n) for n, c in own.items()])
-    pairs = within(roots.select(*tree, "node", "last", F.col(path).alias("up")), below, tree)
-    pairs = pairs.select(*tree, F.col("o.node").alias("root"), F.col("i.node").alias("node"), F.col(f"i.{tag}").alias("tag"), F.expr(f"substring(i.{path}, char_length(o.up) + 2)").alias("rel"), *[F.col(f"i.{n}").alias(n) for n in own])
-    itself = roots.join(nodes.select(*tree, "node", *[c.alias(n) for n, c in own.items()]), [*tree, "node"])
-    pairs = pairs.unionByName(itself.select(*tree, F.col("node").alias("root"), "node", F.lit("").alias("tag"), F.lit("").alias("rel"), *own))
+    depth = lambda: F.char_length(path) - F.char_length(F.replace(F.col(path), F.lit("/"), F.lit(""))) + 1
+    own = {f"__f{k}": (f, f.of if f.of is not None else F.lit(1)) for k, f in enumerate(fields.values())}
+    exact = {p: p.count("/") + 1 for p in dict.fromkeys(f.path for f in fields.values()) if p and not p.startswith("//")}
+    deep = list(dict.fromkeys(f.path[2:] for f in fields.values() if f.path.startswith("//")))
+    ends = lambda p: F.col(path).endswith(f"/{p}")
+    levels = [F.array().cast("array<int>")]
+    for k in sorted(set(exact.values())):
+        levels.append(F.when(reduce(Column.__or__, [ends(p) for p, n in exact.items() if n == k]), F.array(F.col("__depth") - k)).otherwise(F.array().cast("array<int>")))
+    if deep:
+        up = F.sequence(F.lit(1), F.col("__depth") - 1)
+        if kinds is not None:
+            up = F.filter(up, lambda d: F.element_at(F.split(F.col(path), "/"), d).isin(kinds))
+        levels.append(F.when(F.col(tag).isin(deep) & (F.col("__depth") > 1), up).otherwise(F.array().cast("array<int>")))
+    tags = [p.rsplit("/", 1)[-1] for p in exact] + deep
+    below = nodes.where(F.col(tag).isin(tags)).withColumn("__depth", depth()).withColumn("__level", F.explode(F.array_distinct(F.concat(*levels))))
+
+    def met(f: Field) -> Column:
+        if not f.path:
+            return F.lit(False)
+        return F.col(tag) == f.path[2:] if f.path.startswith("//") else (F.col("__depth") - F.col("__level") == exact[f.path]) & ends(f.path)
+
+    below = below.select(*tree, "__level", "node", F.lit(None).cast(roots.schema["last"].dataType).alias("__last"), *[F.when(met(f), of).alias(n) for n, (f, of) in own.items()])
+    tops = roots.dropna(subset=tree).select(*tree, depth().alias("__level"), "node", F.col("last").alias("__last"), *[F.when(F.lit(not f.path), of).alias(n) for n, (f, of) in own.items()])
+    # at one level no node is both a root and below one
+    order = Window.partitionBy(*tree, "__level").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    root = F.last(F.when(F.col("__last").isNotNull(), F.struct("node", F.col("__last").alias("last"))), ignorenulls=True)
+    pairs = tops.unionByName(below).withColumn("__root", root.over(order)).where("node <= __root.last").withColumn("__root", F.col("__root.node"))
     aggs = []
     for (name, f), n in zip(fields.items(), own):
-        at = F.col("tag") == f.path[2:] if f.path.startswith("//") else F.col("rel") == f.path
-        some = F.when(at & F.col(n).isNotNull(), F.struct(F.col("node").alias("n"), F.col(n).alias("v")))
+        some = F.col(n).isNotNull()
         if f.take == "count":
-            aggs.append(F.count(F.when(at, 1)).alias(name))
+            aggs.append(F.count(n).alias(name))
         elif f.take == "list":
-            aggs.append(F.transform(F.array_sort(F.collect_list(some)), lambda s: s["v"]).alias(name))
+            aggs.append(F.transform(F.array_sort(F.collect_list(F.when(some, F.struct(F.col("node").alias("n"), F.col(n).alias("v"))))), lambda s: s["v"]).alias(name))
         else:
-            aggs.append(F.min_by(F.when(at, F.col(n)), F.when(at & F.col(n).isNotNull(), F.col("node"))).alias(name))
-    return pairs.groupBy(*tree, "root").agg(*aggs).withColumnRenamed("root", "node")
+            aggs.append(F.min_by(F.col(n), F.when(some, F.col("node"))).alias(name))
+    return pairs.groupBy(*tree, "__level", "__root").agg(*aggs).drop("__level").withColumnRenamed("__root", "node")
 
 
 def paths(nodes: DataFrame, tree: list[str], *, tag: str = "tag", out: str = "path") -> DataFrame:

@@ -49,22 +49,30 @@ def shapes(nodes: DataFrame) -> DataFrame:
     n = local(nodes)
     roots = n.where(F.col("path").rlike(PLACE))
     a = F.col("attrs")
-    fields = {
-        **_by_kind(IDENTITY, "", F.struct(a["id"].alias("id"), a["name"].alias("name"), a["hidden"].isin("1", "true").alias("hidden")), "identity"),
-        **_by_kind(TRANSFORM, "", a["rot"].try_cast("bigint"), "rot"),
-        **_by_kind(TRANSFORM, "/off", F.struct(_whole("x").alias("x"), _whole("y").alias("y")), "off"),
-        **_by_kind(TRANSFORM, "/ext", F.struct(_whole("cx").alias("x"), _whole("cy").alias("y")), "ext"),
-        "child_off": Field("grpSpPr/xfrm/chOff", F.struct(_whole("x").alias("x"), _whole("y").alias("y"))),
-        "child_ext": Field("grpSpPr/xfrm/chExt", F.struct(_whole("cx").alias("x"), _whole("cy").alias("y"))),
+    own = {"last": Field("", F.col("last")), "parent": Field("", F.col("parent")), "size": Field("", F.col("size")), "path": Field("", F.col("path")), "kind": Field("", F.col("tag"))}
+    point = lambda x, y: F.struct(_whole(x).alias("x"), _whole(y).alias("y"))
+
+    def place(kinds: list[str]) -> dict[str, Field]:
+        some = lambda table: {k: v for k, v in table.items() if k in kinds}
+        return {
+            **own,
+            **_by_kind(some(IDENTITY), "", F.struct(a["id"].alias("id"), a["name"].alias("name"), a["hidden"].isin("1", "true").alias("hidden")), "identity"),
+            **_by_kind(some(TRANSFORM), "", a["rot"].try_cast("bigint"), "rot"),
+            **_by_kind(some(TRANSFORM), "/off", point("x", "y"), "off"),
+            **_by_kind(some(TRANSFORM), "/ext", point("cx", "cy"), "ext"),
+        }
+
+    child = {"child_off": Field("grpSpPr/xfrm/chOff", point("x", "y")), "child_ext": Field("grpSpPr/xfrm/chExt", point("cx", "cy"))}
+    content = {
         "ph": Field("nvSpPr/nvPr/ph", F.struct(a["type"].alias("kind"), a["idx"].alias("idx"))),
         "texts": Field("//t", F.coalesce("text", F.lit("")), "list"),
         "tables": Field("//tbl", take="count"),
     }
-    # a group's own record needs no texts of what it holds: they are asked of the other objects only
-    without = {k: v for k, v in fields.items() if k not in ("texts", "tables")}
-    found = trees.records(roots.where("tag <> 'grpSp'"), n, TREE, fields)
-    found = found.unionByName(trees.records(roots.where("tag = 'grpSp'"), n, TREE, without).withColumns({"texts": F.array().cast("array<string>"), "tables": F.lit(0).cast("long")}))
-    o = roots.select(*TREE, "node", "last", "parent", "size", "path", F.col("tag").alias("kind")).join(found, [*TREE, "node"])
+    # a group's own record needs nothing of what it holds but its identity and its transform
+    plain = [k for k in IDENTITY if k != "grpSp"]
+    o = trees.records(roots.where("tag <> 'grpSp'"), n, TREE, {**place(plain), **content}, kinds=plain)
+    groups = trees.records(roots.where("tag = 'grpSp'"), n, TREE, {**place(["grpSp"]), **child}, kinds=["grpSp"])
+    o = o.unionByName(groups.withColumns({"texts": F.array().cast("array<string>"), "tables": F.lit(0).cast("long")}), allowMissingColumns=True)
     identity, off, ext = _own(IDENTITY, "identity"), _own(TRANSFORM, "off"), _own(TRANSFORM, "ext")
     return o.select(
         *TREE, "node", "last", "parent", "size", "path", "kind", identity["id"].alias("id"), identity["name"].alias("name"), F.coalesce(identity["hidden"], F.lit(False)).alias("hidden"),
@@ -108,23 +116,28 @@ def ancestors(rels: DataFrame) -> DataFrame:
 
 
 def inherited(objects: DataFrame, rels: DataFrame, values: dict[str, Column]) -> DataFrame:
-    """TREE, node and `values` of placeholders, taken from the nearest of layout and master whose matching shape has them.
+    """objects with `values` of placeholders, taken from the nearest of layout and master whose matching shape has them.
 
     A shape of the layout or master matches by idx, or else by kind; of several the better match counts, then the first.  values:
     an output column and what it is of the matching shape's columns; null is not inherited, and each value is
-    inherited for itself.  Candidates are found by equality of idx and of kind, and one grouped pass takes the best of each
-    source, a second the nearest source; slides without a layout, and placeholders without a match, have no row.
+    inherited for itself.  What a part's placeholders of one kind and idx take is the same, so each is looked up once: candidates
+    are found by equality of idx and of kind, one grouped pass takes the best of each source, a second the nearest source.  Slides without a
+    layout, placeholders without a match and other objects have nulls.
     """
-    own = objects.where("kind = 'sp' AND ph IS NOT NULL AND (ph.kind IS NOT NULL OR ph.idx IS NOT NULL)").select(*TREE, "node", F.col("ph.kind").alias("own_kind"), F.col("ph.idx").alias("own_idx"))
-    own = own.join(ancestors(rels), TREE)
+    key = [*TREE, "own_kind", "own_idx"]
+    asked = objects.where("kind = 'sp' AND (ph.kind IS NOT NULL OR ph.idx IS NOT NULL)").select(*TREE, F.col("ph.kind").alias("own_kind"), F.col("ph.idx").alias("own_idx")).distinct()
+    own = asked.join(ancestors(rels), TREE)
     top = objects.where("kind = 'sp' AND ph IS NOT NULL AND path LIKE '%/spTree/sp'")
     source = top.select("pkg", F.col("part").alias("source"), F.col("node").alias("at"), F.col("ph.kind").alias("kind"), F.col("ph.idx").alias("idx"), F.struct(*[v.alias(k) for k, v in values.items()]).alias("v"))
     by_idx = own.join(source.where("idx IS NOT NULL").withColumnRenamed("idx", "own_idx"), ["pkg", "source", "own_idx"])
     by_kind = own.join(source.withColumnRenamed("kind", "own_kind"), ["pkg", "source", "own_kind"])
-    keep = lambda df, rank: df.select(*TREE, "node", "distance", F.lit(rank).alias("rank"), "at", "v")
+    keep = lambda df, rank: df.select(*key, "distance", F.lit(rank).alias("rank"), "at", "v")
     met = keep(by_idx, 0).unionByName(keep(by_kind, 1))
-    best = met.groupBy(*TREE, "node", "distance").agg(F.min_by("v", F.struct("rank", "at")).alias("v"))
-    return best.groupBy(*TREE, "node").agg(*[F.min_by(F.col("v")[k], F.when(F.col("v")[k].isNotNull(), F.col("distance"))).alias(k) for k in values])
+    best = met.groupBy(*key, "distance").agg(F.min_by("v", F.struct("rank", "at")).alias("v"))
+    best = best.groupBy(*key).agg(*[F.min_by(F.col("v")[k], F.when(F.col("v")[k].isNotNull(), F.col("distance"))).alias(k) for k in values])
+    best = best.select(*[F.col(c).alias(f"__{c}") for c in key], *values)
+    same = (F.col("kind") == "sp") & (F.col("pkg") == F.col("__pkg")) & (F.col("part") == F.col("__part")) & F.col("ph.kind").eqNullSafe(F.col("__own_kind")) & F.col("ph.idx").eqNullSafe(F.col("__own_idx"))
+    return objects.join(best, same, "left").select(*objects.columns, *values)
 
 
 def table_texts(nodes: DataFrame) -> DataFrame:
@@ -132,8 +145,8 @@ def table_texts(nodes: DataFrame) -> DataFrame:
     n = local(nodes)
     merged = F.coalesce(F.col("attrs")["hMerge"].isin("1", "true"), F.lit(False)) | F.coalesce(F.col("attrs")["vMerge"].isin("1", "true"), F.lit(False))
     cells = n.where((F.col("tag") == "tc") & F.col("path").rlike("/tbl/tr/tc$") & ~merged)
-    text = trees.records(cells, n, TREE, {"own": Field("", F.lit(1)), "texts": Field("//t", F.coalesce("text", F.lit("")), "list")})
-    text = cells.select(*TREE, "node", "size").join(text, [*TREE, "node"]).select(*TREE, "node", "size", F.array_join("texts", "").alias("text"))
+    text = trees.records(cells, n, TREE, {"size": Field("", F.col("size")), "texts": Field("//t", F.coalesce("text", F.lit("")), "list")}, kinds=["tc"])
+    text = text.select(*TREE, "node", "size", F.array_join("texts", "").alias("text"))
     frames = n.where((F.col("tag") == "graphicFrame") & F.col("path").rlike(PLACE)).select(*TREE, "node", "last")
     pairs = trees.within(frames, text, TREE).groupBy(*TREE, "o.node").agg(F.array_sort(F.collect_list(F.struct("i.node", "i.text"))).alias("c"))
     return pairs.select(*TREE, "node", F.array_join(F.transform("c", lambda x: x["text"]), "\n").alias("text"))
@@ -148,17 +161,17 @@ def slide_objects(nodes: DataFrame, rels: DataFrame, width: int, height: int, *,
     without a place it is not known (null); others are if they have an area on the slide.  Text is a shape's runs put together, or a
     table's cells; null where there is none.  Unreadable parts have no objects.
 
-    Parts are parsed once, into a table, and so are their shapes; both are dropped when the result is written.
+    Parts are parsed once, into a table if they do not come from one, and so are their shapes; both are dropped when the result is written.
     """
     tables = Tables(nodes.sparkSession)
-    nodes = tables.put(nodes.where("fault IS NULL"))
+    held = [] if hasattr(nodes, "plumbline_path") else [tables.put(nodes.where("fault IS NULL"))]
+    nodes = held[0] if held else nodes
     objects = tables.put(shapes(nodes))
     whole = boxes.box("x", "y", "cx", "cy")
     place = F.when(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("cx").isNotNull() & F.col("cy").isNotNull(), whole)
-    o = objects.where(F.col("part").rlike(slides)).withColumn("place", place)
-    given = inherited(objects, rels, {"given": place})
-    frames = group_frames(o).withColumnRenamed("node", "parent")
-    o = o.join(given, [*TREE, "node"], "left").join(frames, [*TREE, "parent"], "left").join(table_texts(nodes).withColumnRenamed("text", "cells"), [*TREE, "node"], "left")
+    frames = group_frames(objects.where(F.col("part").rlike(slides))).withColumnRenamed("node", "parent")
+    o = inherited(objects, rels, {"given": place}).where(F.col("part").rlike(slides)).withColumn("place", place)
+    o = o.join(frames, [*TREE, "parent"], "left").join(table_texts(nodes).withColumnRenamed("text", "cells"), [*TREE, "node"], "left")
     place = F.coalesce("place", F.when(F.col("kind") == "sp", F.col("given")))
     f = F.col("frame")
     moved = F.when(f.isNull(), boxes.scaled(place, F.lit(1.0), F.lit(1.0), F.lit(0.0), F.lit(0.0))).otherwise(boxes.scaled(place, f["sx"], f["sy"], f["tx"], f["ty"]))
@@ -169,7 +182,7 @@ def slide_objects(nodes: DataFrame, rels: DataFrame, width: int, height: int, *,
     out = o.select("pkg", F.col("part").alias("slide_part"), layer.alias("layer"), F.col("kind").alias("object_type"), F.col("id").alias("object_id"), F.col("name").alias("object_name"), hidden.alias("hidden"), b.alias("b"), "rotation", text.alias("text"))
     shows = (F.col("b.w") > 0) & (F.col("b.h") > 0) & boxes.on_page("b", F.lit(width), F.lit(height))
     out = tables.put(out.withColumns({"geometry_known": F.col("b").isNotNull(), "visible": F.when(F.col("hidden"), F.lit(False)).otherwise(shows)}))
-    tables.drop(nodes, objects)
+    tables.drop(*held, objects)
     return out
 
 

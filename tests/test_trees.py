@@ -70,6 +70,18 @@ def test_records(forest):
     assert got == want
 
 
+def test_records_list_a_node_once_whatever_the_size_of_its_tree(spark):
+    # 400 roots of two fields each in one tree: a node below a root is shuffled once, not once for each block size of the tree
+    rows = [("t", 0, None, 1200, 1200, "r", "r")] + [r for k in range(400) for r in (("t", 3 * k + 1, 0, 3 * k + 3, 1200, "s", "r/s"), ("t", 3 * k + 2, 3 * k + 1, 3 * k + 2, 1200, "a", "r/s/a"), ("t", 3 * k + 3, 3 * k + 1, 3 * k + 3, 1200, "t", "r/s/t"))]
+    nodes = spark.createDataFrame(rows, "tree string, node int, parent int, last int, size int, tag string, path string")
+    fields = {"a": trees.Field("a", F.col("node")), "texts": trees.Field("//t", F.col("node"), "list"), "own": trees.Field("", F.col("parent"))}
+    for kinds in (None, ["s"]):
+        got = trees.records(nodes.where("tag = 's'"), nodes, ["tree"], fields, kinds=kinds)
+        assert {(r["node"], r["a"], tuple(r["texts"]), r["own"]) for r in got.collect()} == {(3 * k + 1, 3 * k + 2, (3 * k + 3,), 0) for k in range(400)}
+    plan = trees.records(nodes.where("tag = 's'"), nodes, ["tree"], fields, kinds=["s"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
 def test_along_does_not_commute_and_absorbs(spark):
     rng = random.Random(2)
     rows = [("t", n, rng.randrange(n) if n and n != 7 else (99 if n == 7 else None), float(rng.choice([1, 2, -1])), float(rng.randint(-3, 3)), rng.random() < 0.1) for n in range(60)]
