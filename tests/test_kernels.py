@@ -173,6 +173,16 @@ def test_overlap_pairs_of_copies_are_dealt_to_tasks(spark):
         assert sorted(map(tuple, matching.overlap_pairs(df, "k", "p", "b", crowd=crowd, shares=2).collect())) == want
 
 
+def test_overlap_pairs_of_a_key_come_one_after_another(spark):
+    rows = [(k, 1, 2 * (k % 20), k % 5, 40, 30) for k in range(200)]
+    df = spark.createDataFrame(rows, "k long, p long, x long, y long, w long, h long").selectExpr("k", "p", "named_struct('x', x, 'y', y, 'w', w, 'h', h) AS b")
+    parts = [[tuple(r) for r in part] for part in matching.overlap_pairs(df, "k", "p", "b").rdd.glom().collect()]
+    pairs = [pair for part in parts for pair in part]
+    assert sorted(pairs) == [(a, b) for a in range(200) for b in range(a + 1, 200)]
+    # all boxes lie in one tile, so a key has one run: columns of runs are stored in little room
+    assert sum(i == 0 or part[i - 1][0] != pair[0] for part in parts for i, pair in enumerate(part)) == len({a for a, _ in pairs})
+
+
 def slow_palette(counts, n):
     """counts: colour -> pixels.  Boxes are parted at the median pixel of the side that weighs most, the fullest first."""
     boxes = [sorted(counts.items())]
