@@ -41,6 +41,16 @@ def member_keys(v: str) -> str:
     return f"map_keys(try_variant_get({v}, '$', 'map<string,variant>'))"
 
 
+def is_record(v: str) -> str:
+    """Whether v is a record; no member is looked at."""
+    return f"{get(v, '$', 'struct<a:boolean>')} IS NOT NULL"
+
+
+def has(v: str, fields: list[str]) -> str:
+    """Whether v is a record of these members and no others.  A member that is taken as a VARIANT is built anew, so none is."""
+    return yes(f"sort_array(map_keys({get(v, '$', 'map<string,struct<a:boolean>>')})) = {_words(sorted(fields))}")
+
+
 def first_of(*parts: Fault | str) -> str:
     """The first issue: of (fault, issue) pairs and of other contracts, in the order given."""
     return "coalesce(" + ", ".join(f"CASE WHEN {p[0]} THEN {p[1]} END" if isinstance(p, tuple) else p for p in parts) + ")"
@@ -122,8 +132,9 @@ def closed(v: str, path: str, allowed: list[str], required: list[str] | None = N
         (f"size({odd}) > 0", _fail(path, told("unknown", odd))),
         (f"size({gone}) > 0", _fail(path, told("missing", gone))),
     )
-    # the names are listed once for all three
-    return f"get(transform(array({member_keys(v)}), {have} -> {found}), 0)"
+    # the names are listed once for all three, by a function that is interpreted; where all are needed, a right record needs none of it
+    listed = f"get(transform(array({member_keys(v)}), {have} -> {found}), 0)"
+    return when(f"NOT {has(v, allowed)}", listed) if sorted(required) == sorted(allowed) else listed
 
 
 def items(v: str) -> str:
@@ -142,7 +153,8 @@ def exists(array: str, fault: Callable[[str], str]) -> str:
 
 
 def is_array(v: str, least: int = 1) -> str:
-    return yes(f"{is_kind(v, 'ARRAY')} AND size({items(v)}) >= {least}")
+    """An array of so many items; the items are not taken out."""
+    return yes(f"size({get(v, '$', 'array<array<boolean>>')}) >= {least}")
 
 
 # ---- paint
@@ -171,27 +183,29 @@ def _painted(color: str, opacity: str) -> str:
 def fill(v: str, path: str) -> str:
     """noFill, a solid colour, or a linear gradient with strictly increasing stops."""
     p = lambda f: get(v, f"$.{f}")
-    solid, gradient = says(p("type"), "solid"), says(p("type"), "linear_gradient")
-    same = lambda fields: f"array_sort({member_keys(v)}) = array_sort({_words(fields)})"
-    places = f"transform({items(p('stops'))}, s -> {get('s', '$.position', 'double')})"
-    falls = f"exists(sequence(1, size({places}) - 1), k -> NOT get({places}, k) > get({places}, k - 1))"
+    # the last position, or NaN once one does not rise
+    last = f"aggregate({get(p('stops'), '$', 'array<struct<position:double>>')}.position, double('-Infinity'), (a, x) -> IF(x > a, x, double('NaN')))"
     stop = lambda s, at: first_of(
         closed(s, at, ["position", "color", "opacity"]),
         (f"NOT {number(get(s, '$.position'), 0, 1)}", _fail(_join(at, ".position"), "0 to 1 is needed")),
         (f"NOT {_painted(get(s, '$.color'), get(s, '$.opacity'))}", _fail(at, "#RRGGBB and an opacity from 0 to 1 are needed")),
     )
-    record = first_of(
+    solid = when(f"NOT {_painted(p('color'), p('opacity'))}", _fail(path, "#RRGGBB and an opacity from 0 to 1 are needed"))
+    gradient = first_of(
+        (f"NOT {_angle(p('angle'))}", _fail(_join(path, ".angle"), "from 0 and under 360 is needed", "shape.fill.linear_gradient")),
+        (f"NOT {is_array(p('stops'), 2)}", _fail(_join(path, ".stops"), "two stops at least are needed")),
+        each(p("stops"), _join(path, ".stops"), stop),
+        (f"isnan({last})", _fail(_join(path, ".stops"), "positions must rise")),
+    )
+    odd = first_of(
         closed(v, path, ["type", "color", "opacity", "angle", "stops"], []),
-        (f"{solid} AND NOT {same(['type', 'color', 'opacity'])}", _fail(path, "a solid fill has a type, a color and an opacity")),
-        (f"{solid} AND NOT {_painted(p('color'), p('opacity'))}", _fail(path, "#RRGGBB and an opacity from 0 to 1 are needed")),
-        (f"NOT {solid} AND NOT {gradient}", _fail(_join(path, ".type"), "solid or linear_gradient is needed")),
-        (f"{gradient} AND NOT {same(['type', 'angle', 'stops'])}", _fail(path, "a gradient has a type, an angle and stops")),
-        (f"{gradient} AND NOT {_angle(p('angle'))}", _fail(_join(path, ".angle"), "from 0 and under 360 is needed", "shape.fill.linear_gradient")),
-        (f"{gradient} AND NOT {is_array(p('stops'), 2)}", _fail(_join(path, ".stops"), "two stops at least are needed")),
-        when(gradient, each(p("stops"), _join(path, ".stops"), stop)),
-        (f"{gradient} AND {falls}", _fail(_join(path, ".stops"), "positions must rise")),
+        (says(p("type"), "solid"), _fail(path, "a solid fill has a type, a color and an opacity")),
+        (says(p("type"), "linear_gradient"), _fail(path, "a gradient has a type, an angle and stops")),
+        _fail(_join(path, ".type"), "solid or linear_gradient is needed"),
     )
-    return when(f"NOT {says(v, 'noFill')}", record)
+    of = lambda word, *fields: f"{has(v, ['type', *fields])} AND {says(p('type'), word)}"
+    record = f"CASE WHEN {of('solid', 'color', 'opacity')} THEN {solid} WHEN {of('linear_gradient', 'angle', 'stops')} THEN {gradient} ELSE {odd} END"
+    return when(f"{is_record(v)} OR NOT {says(v, 'noFill')}", record)
 
 
 def effects(v: str, path: str) -> str:
