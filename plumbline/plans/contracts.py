@@ -43,12 +43,15 @@ def member_keys(v: str) -> str:
 
 def is_record(v: str) -> str:
     """Whether v is a record; no member is looked at."""
-    return f"{get(v, '$', 'struct<a:boolean>')} IS NOT NULL"
+    return f"({get(v, '$', 'struct<a:boolean>')} IS NOT NULL)"
 
 
 def has(v: str, fields: list[str]) -> str:
-    """Whether v is a record of these members and no others.  A member that is taken as a VARIANT is built anew, so none is."""
-    return yes(f"sort_array(map_keys({get(v, '$', 'map<string,struct<a:boolean>>')})) = {_words(sorted(fields))}")
+    """Whether v is a record of these members and no others: a VARIANT has them in the order of their names.
+
+    A member that is taken as a VARIANT is built anew, so none is.
+    """
+    return yes(f"map_keys({get(v, '$', 'map<string,struct<a:boolean>>')}) = {_words(sorted(fields))}")
 
 
 def first_of(*parts: Fault | str) -> str:
@@ -81,8 +84,9 @@ def is_number(v: str) -> str:
     return yes(f"schema_of_variant({v}) RLIKE '^(BIGINT|DOUBLE|FLOAT|DECIMAL)'")
 
 
-def finite(x: str) -> str:
-    return f"({x} IS NOT NULL AND NOT isnan({x}) AND abs({x}) < double('Infinity'))"
+def finite(v: str) -> str:
+    """A JSON number that is finite; whole numbers and decimals are, and are not made doubles to learn it."""
+    return f"({yes(f"schema_of_variant({v}) RLIKE '^(BIGINT|DECIMAL)'")} OR {is_number(v)} AND {yes(f"abs({get(v, '$', 'double')}) < double('Infinity')")})"
 
 
 def number(v: str, low: float, high: float, *, below: bool = False) -> str:
@@ -117,6 +121,11 @@ def says(v: str, word: str) -> str:
     return among(v, [word])
 
 
+def is_word(v: str, word: str) -> str:
+    """As `says`, for what may be a record as well: a record is no word, and is not described to learn that."""
+    return f"(NOT {is_record(v)} AND {says(v, word)})"
+
+
 def null(v: str) -> str:
     """The JSON null, which is not a member that is absent."""
     return yes(f"schema_of_variant({v}) = 'VOID'")
@@ -205,7 +214,7 @@ def fill(v: str, path: str) -> str:
     )
     of = lambda word, *fields: f"{has(v, ['type', *fields])} AND {says(p('type'), word)}"
     record = f"CASE WHEN {of('solid', 'color', 'opacity')} THEN {solid} WHEN {of('linear_gradient', 'angle', 'stops')} THEN {gradient} ELSE {odd} END"
-    return when(f"{is_record(v)} OR NOT {says(v, 'noFill')}", record)
+    return when(f"NOT {is_word(v, 'noFill')}", record)
 
 
 def effects(v: str, path: str) -> str:
@@ -220,7 +229,7 @@ def effects(v: str, path: str) -> str:
         (f"NOT {whole(p('distance'), 0, 2**63 - 1)}", _fail(_join(at, ".distance"), "a whole number from 0 is needed")),
         (f"NOT {_angle(p('angle'))}", _fail(_join(at, ".angle"), "from 0 and under 360 is needed", "shape.effect.shadow")),
     )
-    return when(f"NOT {says(v, 'none')}", record)
+    return when(f"NOT {is_word(v, 'none')}", record)
 
 
 def crop(v: str, path: str) -> str:
@@ -291,7 +300,7 @@ def chart_font(v: str, path: str, *, named: bool = True) -> str:
 
 
 def chart_line(v: str, path: str) -> str:
-    return when(f"NOT {says(v, 'noFill')}", stroke(v, path, None))
+    return when(f"NOT {is_word(v, 'noFill')}", stroke(v, path, None))
 
 
 def chart_area(v: str, path: str) -> str:
@@ -302,7 +311,7 @@ def chart_area(v: str, path: str) -> str:
         (f"NOT {rgb(get(f, '$.color'))}", _fail(_join(at, ".color"), "#RRGGBB is needed")),
         (f"NOT {number(get(f, '$.opacity'), 0, 1)}", _fail(_join(at, ".opacity"), "0 to 1 is needed")),
     )
-    return first_of(closed(v, path, ["fill", "line"]), when(f"NOT {says(f, 'noFill')}", solid), chart_line(get(v, "$.line"), _join(path, ".line")))
+    return first_of(closed(v, path, ["fill", "line"]), when(f"NOT {is_word(f, 'noFill')}", solid), chart_line(get(v, "$.line"), _join(path, ".line")))
 
 
 def chart_legend(v: str, path: str) -> str:
@@ -359,7 +368,7 @@ def value_axis(v: str, path: str, chart_type: str, grouping: str) -> str:
         closed(v, path, cat.VALUE_AXIS_FIELDS),
         (f"NOT {boolean(p('visible'))}", _fail(_join(path, ".visible"), "true or false is needed")),
         _side(v, path, chart_type, ["top", "bottom"], ["left", "right"]),
-        *[(f"NOT {null(p(f))} AND NOT ({is_number(p(f))} AND {finite(n(f))})", _fail(_join(path, f".{f}"), "null or a finite number is needed")) for f in bounds],
+        *[(f"NOT ({finite(p(f))} OR {null(p(f))})", _fail(_join(path, f".{f}"), "null or a finite number is needed")) for f in bounds],
         (f"{n('minimum')} >= {n('maximum')}", _fail(path, "the minimum must lie below the maximum")),
         (f"{n('major_unit')} <= 0", _fail(_join(path, ".major_unit"), "a positive step is needed")),
         (f"NOT {string(p('number_format'))}", _fail(_join(path, ".number_format"), "a format is needed")),
@@ -377,7 +386,7 @@ def series_item(v: str, path: str, chart_type: str, n_categories: str) -> str:
     is_line, values = f"{chart_type} = 'line'", items(p("values"))
     odd = lambda x, at: first_of(
         (f"{null(x)} AND NOT {is_line}", _fail(at, "only lines may have gaps")),
-        (f"NOT {null(x)} AND NOT ({is_number(x)} AND {finite(get(x, '$', 'double'))})", _fail(at, "a finite number or a gap is needed")),
+        (f"NOT ({finite(x)} OR {null(x)})", _fail(at, "a finite number or a gap is needed")),
     )
     width = lambda x: whole(x, 1, cat.MAX_LINE_WIDTH)
     drawn = first_of(
@@ -437,7 +446,7 @@ def pie_chart(style: str, content: str, path: str) -> str:
     one = lambda v, p: first_of(
         closed(v, p, ["category", "value", "color", "value_source"]),
         (f"NOT {null(get(v, '$.category'))} AND NOT {string(get(v, '$.category'))}", _fail(_join(p, ".category"), "null or a name is needed")),
-        (f"NOT ({is_number(get(v, '$.value'))} AND {finite(get(v, '$.value', 'double'))} AND {yes(f'{get(v, "$.value", "double")} >= 0')})", _fail(_join(p, ".value"), "a finite number from 0 is needed")),
+        (f"NOT ({finite(get(v, '$.value'))} AND {yes(f'{get(v, "$.value", "double")} >= 0')})", _fail(_join(p, ".value"), "a finite number from 0 is needed")),
         (f"NOT {rgb(get(v, '$.color'))}", _fail(_join(p, ".color"), "#RRGGBB is needed", "chart.slice.explicit_color")),
         (f"NOT {among(get(v, '$.value_source'), ['explicit', 'derived_complement'])}", _fail(_join(p, ".value_source"), "explicit or derived_complement is needed", "chart.slice.value_source")),
     )
